@@ -110,13 +110,21 @@ def rhat_summary(draws: DataFrame) -> DataFrame:
     return six_numbers(split_rhat(draws), [], "rhat")
 
 
-def term_summary(draws: DataFrame) -> DataFrame:
-    """Mean, deviation, central 95 % bounds and convergence ratio per term."""
-    moments = draws.groupBy("terms").agg(
-        F.avg("value").alias("estimate"), F.stddev_samp("value").alias("est_error")
+def value_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, deviation and central 95 % bounds per key."""
+    moments = df.groupBy(*keys).agg(
+        F.avg(value).alias("estimate"), F.stddev_samp(value).alias("est_error")
     )
-    bounds = quantiles(draws, ["terms"], "value", {"q2_5": 0.025, "q97_5": 0.975})
-    return match_join(match_join(moments, bounds, ["terms"], "left"), split_rhat(draws), ["terms"], "left")
+    bounds = quantiles(df, keys, value, {"q2_5": 0.025, "q97_5": 0.975})
+    if keys:
+        return match_join(moments, bounds, keys, "left")
+    both = moments.select(F.struct("*")).scalar()
+    return bounds.withColumn("m", both).select("m.*", "q2_5", "q97_5")
+
+
+def term_summary(draws: DataFrame) -> DataFrame:
+    """Summary of every term with its convergence ratio."""
+    return match_join(value_summary(draws, ["terms"], "value"), split_rhat(draws), ["terms"], "left")
 
 
 def draw_correlations(wide: DataFrame, terms: list[str] | None = None) -> DataFrame:

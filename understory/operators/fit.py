@@ -24,11 +24,12 @@ from understory.functions.links import (
     normal_log_density,
 )
 from understory.operators.design import Formula
-from understory.operators.gram import Gram, gram, gram_by
+from understory.operators.gram import Gram, batch_sums, collect_vectors, gram, gram_by, to_matrix
 
 LINEAR = ("gaussian", "lognormal")
 LOGIT = ("bernoulli", "binomial", "beta")
 FAMILIES = (*LINEAR, *LOGIT)
+NEWTON_STEPS = 25
 
 
 @dataclass(frozen=True)
@@ -196,14 +197,61 @@ def fold_number(k: int = 10, seed: int = 1, row_id: str = "row_id") -> Column:
     return F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(k)).cast("int")
 
 
+def _leave_out_logit(frame: DataFrame, formula: Formula, family: str, k: int) -> dict[int, list[float]]:
+    """Parameters of the k fits that each leave one fold out, all in the same passes.
+
+    Newton steps from the fit of all rows; one pass over the frame advances every
+    fit, since each task adds a row to the sums of the k - 1 fits it belongs to.
+    """
+    start = fit(frame, formula, family)
+    p = len(start.coef)
+    names = [f"x{i}" for i in range(p - 1)]
+    data = frame.select(
+        "fold",
+        F.col(formula.response).cast("double").alias("y"),
+        *[F.col(f"`{t}`").cast("double").alias(n) for t, n in zip(formula.terms, names)],
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    coef = {f: start.coef for f in range(k)}
+    scale = dict.fromkeys(range(k), 1.0)
+
+    def newton(current: dict[int, np.ndarray]):
+        def part(batch):
+            table = to_matrix(batch, ["y", *names])
+            y, x = table[:, 0], np.column_stack([np.ones(len(table)), table[:, 1:]])
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            for f, beta in current.items():
+                rows = fold != f
+                mu = 1.0 / (1.0 + np.exp(-x[rows] @ beta))
+                spread, error = mu * (1.0 - mu), y[rows] - mu
+                hessian = x[rows].T @ (x[rows] * spread[:, None])
+                tail = [np.sum(error**2 / spread), rows.sum()]
+                yield f, np.concatenate([hessian.ravel(), x[rows].T @ error, tail])
+
+        return collect_vectors(batch_sums(data, part), p * p + p + 2)
+
+    try:
+        for _ in range(NEWTON_STEPS):
+            largest = 0.0
+            for f, sums in newton(coef).items():
+                step = np.linalg.solve(sums[: p * p].reshape(p, p), sums[p * p : p * p + p])
+                largest = max(largest, float(np.abs(step).max()))
+                coef[f] = coef[f] + step
+                if family == "beta":
+                    scale[f] = max((sums[-1] - p) / sums[-2] - 1.0, 1e-6)
+            if largest < 1e-8:
+                break
+    finally:
+        data.unpersist()
+    return {f: [*coef[f], scale[f]] for f in range(k)}
+
+
 def kfold_points(
     frame: DataFrame, formula: Formula, family: str, fold: Column, k: int = 10
 ) -> DataFrame:
     """Out-of-sample log density per row: ``(row_id, fold, elpd)``.
 
     For linear families one pass gives the cross-products of every fold, and
-    those of all other folds follow by subtraction; other families are fitted
-    once per fold on the kept frame.
+    those of all other folds follow by subtraction.
     """
     frame = frame.withColumn("fold", fold)
     response = F.col(formula.response).cast("double")
@@ -213,12 +261,7 @@ def kfold_points(
         fits = {f: solve(total - g) for f, g in grams.items()}
         parameters = {f: [*coef, scale] for f, (coef, _, scale) in fits.items()}
     else:
-        kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            models = {f: fit(kept.where(F.col("fold") != f), formula, family) for f in range(k)}
-        finally:
-            kept.unpersist()
-        parameters = {f: [*m.coef, m.scale] for f, m in models.items()}
+        parameters = _leave_out_logit(frame, formula, family, k)
     width = len(formula.terms) + 2
     by_fold = [
         F.element_at(

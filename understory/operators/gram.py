@@ -116,33 +116,38 @@ def gram(
     return gram_by(df, columns, response, weight)[0]
 
 
+# Squared mean over variance above which products lose too many digits uncentred.
+ILL_SCALED = 1e8
+
+
 def pairwise_moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Correlation and row count of each column pair over the rows complete for it.
 
-    Columns are centred by a first pass, which keeps the products of the second
-    well conditioned; a correlation does not depend on the shift.
+    One pass. Only where a mean turns out to be huge against its deviation are
+    the products taken again about that mean; a correlation does not depend on
+    the shift.
     """
     p = len(columns)
     names = [f"x{i}" for i in range(p)]
     clean = df.select(*[nan_to_null(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, names)])
 
-    def level(batch):
-        x = to_matrix(batch, names)
-        yield 0, np.concatenate([np.nansum(x, axis=0), (~np.isnan(x)).sum(axis=0)])
+    def moments(shift: np.ndarray) -> np.ndarray:
+        def part(batch):
+            x = to_matrix(batch, names) - shift
+            seen = (~np.isnan(x)).astype(float)
+            x = np.where(seen > 0, x, 0.0)
+            parts = (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)
+            yield 0, np.concatenate([m.ravel() for m in parts])
 
-    total, seen_rows = collect_vectors(batch_sums(clean, level), 2 * p).get(0, np.zeros(2 * p)).reshape(2, p)
-    shift = total / np.maximum(seen_rows, 1.0)
+        vectors = collect_vectors(batch_sums(clean, part), 4 * p * p)
+        return vectors.get(0, np.zeros(4 * p * p)).reshape(4, p, p)
 
-    def part(batch):
-        x = to_matrix(batch, names) - shift
-        seen = (~np.isnan(x)).astype(float)
-        x = np.where(seen > 0, x, 0.0)
-        parts = (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)
-        yield 0, np.concatenate([m.ravel() for m in parts])
-
-    vectors = collect_vectors(batch_sums(clean, part), 4 * p * p)
-    n, s, ss, cross = vectors.get(0, np.zeros(4 * p * p)).reshape(4, p, p)
     with np.errstate(divide="ignore", invalid="ignore"):
+        n, s, ss, cross = moments(np.zeros(p))
+        mean = np.nan_to_num(np.diag(s) / np.diag(n))
+        variance = np.diag(ss) / np.diag(n) - mean**2
+        if np.any(mean**2 > ILL_SCALED * variance):
+            n, s, ss, cross = moments(mean)
         covariance = cross - s * s.T / n
         spread = ss - s * s / n
         r = covariance / np.sqrt(spread * spread.T)

@@ -42,7 +42,7 @@ VIEWS = {
     "env_raw": f"""
         SELECT CAST(o_orderkey AS STRING) AS PlotIDn,
                {_LON} AS Long_Dec, {_LAT} AS Lat_Dec,
-               CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal / 400 END AS newMAT,
+               CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal / 365.25 END AS newMAT,
                o_totalprice / 100 AS newMAP,
                CAST(dayofyear(o_orderdate) AS DOUBLE) * 10 AS newElev,
                CAST(c_custkey % 83 AS DOUBLE) / 10 AS newVPD,
@@ -66,19 +66,19 @@ VIEWS = {
                      {_AREA} AS Plot_Area,
                      CASE WHEN l_linestatus = 'F' THEN 'MDWNC' ELSE 'MDNN' END AS PDmeasure,
                      concat(p_brand, '-', p_type) AS tip_label,
-                     max(c_acctbal) / 400 AS MAT,
+                     max(c_acctbal) / 365.25 AS MAT,
                      avg(o_totalprice) / 100 AS MAP,
                      CAST(max(dayofyear(o_orderdate)) AS DOUBLE) * 10 AS Elev_m,
-                     avg(o_totalprice / (1000 + 10 * c_nationkey)) AS AridInd,
+                     avg(o_totalprice / (1461 + 10 * c_nationkey)) AS AridInd,
                      avg(l_discount) * 30 AS VPD,
                      CAST(max(c_nationkey) AS DOUBLE) + avg(l_linenumber) AS HII,
                      CAST(max(month(o_orderdate)) AS DOUBLE) AS HFP,
-                     max(o_totalprice) AS SubstrateAge_range,
+                     max(o_totalprice) / 1461 AS SubstrateAge_range,
                      avg(l_tax) * 10 AS PD_stand,
                      avg(CAST(p_size AS DOUBLE)) / 10 AS WD_diff_lrr,
                      avg(p_size * l_quantity) / 100 AS WD_wt_diff_lrr,
                      avg(p_retailprice) / 100 AS maxDBH_diff_lrr,
-                     avg(l_extendedprice) / 10000 AS maxDBH_wt_diff_lrr,
+                     avg(l_extendedprice) / 14610 AS maxDBH_wt_diff_lrr,
                      avg(l_discount - l_tax) AS SM_diff_lrr,
                      avg(l_quantity) / 10 AS SM_wt_diff_lrr,
                      max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS PresAbs,
@@ -153,7 +153,7 @@ VIEWS = {
     # Log densities of the lines of each order as its draws.
     "loglik": """
         SELECT l_orderkey AS row_id, l_linenumber AS draw,
-               -0.9189385 - CAST(0.5 AS DOUBLE) * power((l_quantity - 25) / 10, 2) AS ll
+               CAST(-0.918938533204673 AS DOUBLE) - CAST(0.5 AS DOUBLE) * power((l_quantity - 25) / 10, 2) AS ll
         FROM {lineitem}""",
 }
 
