@@ -33,7 +33,7 @@ from understory.operators import (
     tree,
 )
 from understory.operators.design import Formula, design
-from understory.plans import models
+from understory.plans import models, plot_scale, plot_share, species_model
 from understory.session import scratch_path
 from understory.sources import schema, tables
 from understory.sources.sample_views import view, view_sql
@@ -156,7 +156,9 @@ def species_rows(spark, sf_dir):
 
 
 def zscore_then_filter(spark, sf_dir):
-    plots = prepare.alien_native(plot_species(spark, sf_dir), view(spark, sf_dir, "env_raw"))
+    plots = plot_share.prepare_plots(
+        plot_species(spark, sf_dir), view(spark, sf_dir, "env_raw"), scratch_path(spark, "plots")
+    )
     return rounded(
         transform.plot_predictors(plots).select(
             "PlotID", "Plot_Area", *transform.CLIMATE_SCORES.values()
@@ -548,6 +550,31 @@ def accuracy_from_draws(spark, sf_dir):
     return accuracy.accuracy_by_area(paired, accuracy.abundance_accuracy("y"))
 
 
+# Whole analyses ------------------------------------------------------------
+
+
+def share_models(spark, sf_dir):
+    """Terms of the share model refitted with the spatial autocovariate."""
+    results = plot_share.run(
+        plot_species(spark, sf_dir), view(spark, sf_dir, "env_raw"), scratch_path(spark, "share"), n_draws=1000
+    )
+    return results["spatial_terms"]
+
+
+def reduced_presence(spark, sf_dir):
+    """Terms left after two rounds of dropping interactions."""
+    return species_model.run_presence(
+        view(spark, sf_dir, "local"), scratch_path(spark, "presence"), n_draws=1000
+    )["terms"]
+
+
+def presence_scale(spark, sf_dir):
+    """Accuracy and precision by plot area of the reduced presence model."""
+    rows = species_model.prepare_species(view(spark, sf_dir, "local"), scratch_path(spark, "species"))
+    model, frame, drawn = species_model.fit_and_reduce(rows, models.PRESENCE_FINAL, n_draws=500)
+    return plot_scale.size_table(model, frame, drawn)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries by name."""
     registered = [
@@ -564,7 +591,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,
         shrunk_intercepts, crossed_intercepts, predict_rows, residual_summary, residual_mean,
         bayes_r2, conditional_grid, ppc_bins, accuracy_by_area, relative_error_by_area,
-        precision_by_area, scale_table, accuracy_from_draws,
+        precision_by_area, scale_table, accuracy_from_draws, share_models, reduced_presence,
+        presence_scale,
     ]
     return {f.__name__: f for f in registered}
 

@@ -1,0 +1,255 @@
+"""Fits, intercepts and predictions on generated tables with known answers."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from understory.operators import draws, fit, groups, predict
+from understory.operators.design import Formula, design, nested_groups, reduced
+from understory.plans import models, plot_scale, plot_share, species_model
+from understory.sources.sample_views import view
+
+N = 3000
+FORMULA = Formula("y", ("a", "b"), (("b", "a"),), nested_groups("area", "plot") + (("island",),))
+BETA = np.array([0.4, 0.8, -0.5, 0.3])
+
+
+@pytest.fixture(scope="module")
+def data():
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(2, N))
+    eta = BETA[0] + BETA[1] * a + BETA[2] * b + BETA[3] * a * b
+    mu = 1 / (1 + np.exp(-eta))
+    return {
+        "a": a, "b": b, "eta": eta,
+        "gaussian": eta + 0.3 * rng.normal(size=N),
+        "lognormal": np.exp(eta + 0.3 * rng.normal(size=N)),
+        "bernoulli": (rng.random(N) < mu).astype(float),
+        "beta": np.clip(rng.beta(mu * 8, (1 - mu) * 8), 1e-9, 1 - 1e-9),
+    }
+
+
+def frame_of(spark, data, family):
+    rows = [
+        (i, float(data[family][i]), float(data["a"][i]), float(data["b"][i]), i % 3, i % 30, f"i{i % 4}")
+        for i in range(N)
+    ]
+    table = spark.createDataFrame(
+        rows, "row_id long, y double, a double, b double, area int, plot int, island string"
+    )
+    return design(table, FORMULA)
+
+
+def design_matrix(data):
+    a, b = data["a"], data["b"]
+    return np.column_stack([np.ones(N), a, b, a * b])
+
+
+def test_interactions_are_named_in_main_effect_order(spark, data):
+    frame = frame_of(spark, data, "gaussian")
+    assert FORMULA.terms == ["a", "b", "a:b"]
+    assert FORMULA.group_names == ["area", "area:plot", "island"]
+    row = frame.where("row_id = 31").first()
+    assert row["area:plot"] == "1:1" and row["a:b"] == pytest.approx(data["a"][31] * data["b"][31])
+
+
+@pytest.mark.parametrize("family", fit.FAMILIES)
+def test_fits_recover_the_coefficients(spark, data, family):
+    source = "bernoulli" if family == "binomial" else family
+    model = fit.fit(frame_of(spark, data, source), FORMULA, family)
+    assert np.all(np.abs(model.coef - BETA) < 5 * np.sqrt(np.diag(model.cov)) + 0.02)
+    if family in fit.LINEAR:
+        y = np.log(data[family]) if family == "lognormal" else data[family]
+        want, rss, *_ = np.linalg.lstsq(design_matrix(data), y, rcond=None)
+        assert model.coef == pytest.approx(want)
+        assert model.scale == pytest.approx(math.sqrt(rss[0] / (N - 4)))
+    if family == "beta":
+        assert model.scale == pytest.approx(8, rel=0.1)
+
+
+def test_draws_have_the_moments_of_the_fit_and_do_not_depend_on_partitions(spark, data):
+    model = fit.fit(frame_of(spark, data, "gaussian"), FORMULA, "gaussian")
+    drawn = fit.fixed_effect_draws(spark, model, n=4000, seed=3)
+    x = np.array([[r[t] for t in model.term_names] for r in drawn.orderBy("draw").collect()])
+    assert np.abs(x.mean(0) - model.coef).max() < 5 * np.sqrt(np.diag(model.cov) / 4000).max()
+    assert np.allclose(np.cov(x.T), model.cov, rtol=0.15, atol=0.1 * model.cov.max())
+    again = fit.fixed_effect_draws(spark, model, n=4000, seed=3).repartition(3).orderBy("draw")
+    assert np.array_equal(x, np.array([[r[t] for t in model.term_names] for r in again.collect()]))
+    counts = {r["chain"]: r["count"] for r in drawn.groupBy("chain").count().collect()}
+    assert counts == {c: 1000 for c in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("family", ["lognormal", "bernoulli", "beta"])
+def test_kfold_equals_separate_fits(spark, data, family):
+    frame = frame_of(spark, data, family)
+    fold = F.pmod("row_id", F.lit(4)).cast("int")
+    points = fit.kfold_points(frame, FORMULA, family, fold, k=4)
+    got = {r["row_id"]: r["elpd"] for r in points.where("fold = 2").collect()}
+    model = fit.fit(frame.where(fold != 2), FORMULA, family)
+    x, y = design_matrix(data), data[family]
+    rows = [i for i in range(N) if i % 4 == 2]
+    eta = x[rows] @ model.coef
+    for i, e in zip(rows, eta):
+        mu = 1 / (1 + math.exp(-e))
+        if family == "lognormal":
+            z = (math.log(y[i]) - e) / model.scale
+            want = -0.5 * math.log(2 * math.pi) - math.log(model.scale) - z * z / 2 - math.log(y[i])
+        elif family == "bernoulli":
+            want = math.log(mu if y[i] else 1 - mu)
+        else:
+            s, t = mu * model.scale, (1 - mu) * model.scale
+            want = (
+                math.lgamma(s + t) - math.lgamma(s) - math.lgamma(t)
+                + (s - 1) * math.log(y[i]) + (t - 1) * math.log(1 - y[i])
+            )
+        assert got[i] == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_right_family_has_the_higher_log_density(spark, data):
+    frame = frame_of(spark, data, "beta")
+    fold = fit.fold_number(5)
+    a, b = (fit.kfold_points(frame, FORMULA, f, fold, 5) for f in ("beta", "lognormal"))
+    row = draws.compare_elpd(a, b).first()
+    assert row["elpd_diff"] > 2 * row["se_diff"]
+
+
+def test_crossed_intercepts_recover_the_effects(spark):
+    rng = np.random.default_rng(9)
+    u, v = rng.normal(0, 1.0, 30), rng.normal(0, 0.5, 20)
+    rows = []
+    for i in range(6000):
+        # A third of the rows sits on one level.
+        g, h = (0 if i % 3 == 0 else int(rng.integers(30))), int(rng.integers(20))
+        rows.append((i, f"g{g}", f"h{h}", float(u[g] + v[h] + 0.4 * rng.normal())))
+    df = spark.createDataFrame(rows, "row_id int, g string, h string, e double")
+    table = groups.random_intercepts(df, ["g", "h"], F.col("e"), passes=6)
+    got = {(r["grp"], r["level"]): r for r in table.collect()}
+    est_u = np.array([got["g", f"g{i}"]["estimate"] for i in range(30)])
+    est_v = np.array([got["h", f"h{i}"]["estimate"] for i in range(20)])
+    assert np.corrcoef(est_u, u)[0, 1] > 0.99 and np.corrcoef(est_v, v)[0, 1] > 0.98
+    assert got["g", "g1"]["residual_sd"] == pytest.approx(0.4, rel=0.1)
+    assert got["g", "g1"]["group_sd"] == pytest.approx(np.std(u), rel=0.4)
+    assert max(r["change"] for r in got.values()) < 0.01
+
+
+def test_one_row_per_level_leaves_nothing_to_shrink_to(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "g string, e double")
+    got = groups.random_intercepts(df, ["g"], F.col("e")).collect()
+    assert [r["estimate"] for r in got] == [0.0, 0.0]
+
+
+def fitted(spark, data, family, n=300):
+    frame = frame_of(spark, data, family).where("row_id < 200")
+    model = fit.fit(frame, FORMULA, family)
+    drawn = fit.fixed_effect_draws(spark, model, n=n)
+    matrix = np.array([[r[t] for t in model.term_names] for r in drawn.orderBy("draw").collect()])
+    return frame, model, drawn, design_matrix(data)[:200] @ matrix.T
+
+
+def test_expected_response_and_residuals_equal_brute_force(spark, data):
+    frame, model, drawn, eta = fitted(spark, data, "beta")
+    mu = 1 / (1 + np.exp(-eta))
+    got = predict.predict(frame, model, drawn, noise=False).orderBy("row_id").collect()
+    assert [r["estimate"] for r in got] == pytest.approx(list(mu.mean(1)))
+    assert [r["est_error"] for r in got] == pytest.approx(list(mu.std(1, ddof=1)))
+    assert [r["q97_5"] for r in got] == pytest.approx(list(np.quantile(mu, 0.975, axis=1)))
+    left = predict.residuals(frame, model, drawn).orderBy("row_id").collect()
+    want = data["beta"][:200, None] - mu
+    assert [r["estimate"] for r in left] == pytest.approx(list(want.mean(1)), abs=1e-12)
+    assert [r["q2_5"] for r in left] == pytest.approx(list(np.quantile(want, 0.025, axis=1)), abs=1e-12)
+
+
+def test_block_path_equals_matrix_path(spark, data, monkeypatch):
+    frame, model, drawn, _ = fitted(spark, data, "lognormal")
+    frame = frame.where("row_id < 40")
+    want = {r["row_id"]: r for r in predict.predict(frame, model, drawn, noise=False).collect()}
+    monkeypatch.setattr(predict, "DRAW_LIMIT_BYTES", 0)
+    monkeypatch.setattr(predict, "DRAWS_PER_BLOCK", 64)
+    got = predict.predict(frame, model, drawn, noise=False).collect()
+    assert len(got) == 40
+    for r in got:
+        assert list(r)[1:] == pytest.approx(list(want[r["row_id"]])[1:])
+    assert predict.predict(frame, model, drawn).count() == 40
+    with pytest.raises(ValueError):
+        predict.draw_matrix(drawn, model)
+
+
+@pytest.mark.parametrize("family", ["lognormal", "bernoulli", "beta"])
+def test_simulated_outcomes_are_wider_and_repeatable(spark, data, family):
+    frame, model, drawn, eta = fitted(spark, data, family)
+    first = predict.predict(frame, model, drawn).orderBy("row_id").collect()
+    again = predict.predict(frame.repartition(5), model, drawn).orderBy("row_id").collect()
+    assert first == again
+    expected = predict.predict(frame, model, drawn, noise=False).orderBy("row_id").collect()
+    assert sum(a["est_error"] > b["est_error"] for a, b in zip(first, expected)) > 190
+    gap = np.mean([a["estimate"] - b["estimate"] for a, b in zip(first, expected)])
+    assert abs(gap) < 0.02 * max(1.0, np.mean([b["estimate"] for b in expected]))
+
+
+def test_explained_variance_equals_brute_force(spark, data):
+    frame, model, drawn, eta = fitted(spark, data, "beta")
+    mu = 1 / (1 + np.exp(-eta))
+    error = data["beta"][:200, None] - mu
+    want = mu.var(0) / (mu.var(0) + error.var(0))
+    got = predict.bayes_r2(frame, model, drawn).orderBy("draw").collect()
+    assert [r["r2"] for r in got] == pytest.approx(list(want))
+
+
+def test_predictive_check_counts_all_rows(spark, data):
+    frame, model, drawn, _ = fitted(spark, data, "lognormal")
+    for log_scale in (False, True):
+        table = predict.predictive_check(frame, model, drawn, nsamples=20, bins=7, log_scale=log_scale)
+        counts = {r["draw"]: r["n"] for r in table.groupBy("draw").agg(F.sum("rows").alias("n")).collect()}
+        assert counts == {k: 200 for k in range(21)}
+        outside = table.where("draw = 0 and bin in (0, 8)").agg(F.sum("rows")).first()[0]
+        assert outside == 0
+
+
+def test_conditional_effect_holds_the_others_at_their_mean(spark, data):
+    frame, model, drawn, _ = fitted(spark, data, "gaussian")
+    got = predict.conditional_effect(frame, model, drawn, "a", points=5).orderBy("a").collect()
+    a, b = data["a"][:200], data["b"][:200].mean()
+    grid = np.linspace(a.min(), a.max(), 5)
+    assert [r["a"] for r in got] == pytest.approx(list(grid))
+    matrix = np.array([[r[t] for t in model.term_names] for r in drawn.collect()]).mean(0)
+    want = np.column_stack([np.ones(5), grid, np.full(5, b), grid * b]) @ matrix
+    assert [r["estimate"] for r in got] == pytest.approx(list(want))
+    assert predict.conditional_effect(frame, model, drawn, "a", points=5, by="b").count() == 15
+
+
+def test_reduced_formula_keeps_named_interactions():
+    assert reduced(FORMULA, ["b_a"]).interactions == ()
+    assert reduced(FORMULA, ["b_a", "b_a:b"]).interactions == (("b", "a"),)
+
+
+def test_model_tables():
+    sizes = {
+        "PRESENCE_FULL": 24, "PRESENCE_REDUCED": 20, "PRESENCE_FINAL": 17, "PRESENCE_FULL_NO_ISLAND": 24,
+        "PRESENCE_REDUCED_NO_ISLAND": 10, "ABUNDANCE_BETA": 24, "ABUNDANCE_LOGNORMAL": 24,
+        "ABUNDANCE_REDUCED": 8, "ABUNDANCE_CHECK": 24, "RICHNESS_SHARE": 4, "ABUNDANCE_SHARE": 4,
+        "ABUNDANCE_SHARE_SPATIAL": 5,
+    }
+    assert {n: len(getattr(models, n).formula.terms) for n in sizes} == sizes
+
+
+def test_plot_share_analysis(spark, folder, tmp_path):
+    results = plot_share.run(
+        view(spark, folder, "plot_species"), view(spark, folder, "env_raw"), str(tmp_path), n_draws=200
+    )
+    assert [r["terms"] for r in results["spatial_terms"].orderBy("pos").collect()][-1] == "b_rac"
+    assert results["abundance_intercepts"].select("grp").distinct().count() == 2
+    assert results["richness_r2"].where("r2 between 0 and 1").count() == 200
+
+
+def test_species_analysis_and_scale_table(spark, folder, tmp_path):
+    local = view(spark, folder, "local")
+    results = species_model.run_abundance(local, str(tmp_path), n_draws=200)
+    assert results["inflation"].count() == 24 and results["correlations"].count() == 28
+    assert results["comparison"].first()["se_diff"] > 0
+    rows = species_model.prepare_species(local, f"{tmp_path}/rows")
+    fitted_model, frame, drawn = species_model.fit_and_reduce(rows, models.PRESENCE_FULL, n_draws=200)
+    table = plot_scale.size_table(fitted_model, frame, drawn).collect()
+    assert {r["Plot_Area2"] for r in table} == {100.0 + 12.5 * k for k in range(8)}
+    assert sum(r["N"] for r in table) == frame.count()

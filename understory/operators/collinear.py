@@ -5,11 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from understory.functions.nulls import nan_to_null
 from understory.functions.student import holm, two_sided_p
 from understory.operators.gram import pairwise_moments
+from understory.operators.prepare import complete_cases
 
 PAIR_SCHEMA = (
     "term_a string, term_b string, n long, r double, t double, p double, p_holm double, high boolean"
@@ -49,7 +49,7 @@ def corr_pairs(df: DataFrame, columns: list[str], threshold: float = 0.7) -> Dat
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation of each design column, ordinary least squares weights."""
-    complete = df.select(*[nan_to_null(f"`{c}`").alias(c) for c in columns]).na.drop("any")
+    complete = complete_cases(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
     correlation, _ = pairwise_moments(complete, columns)
     inflation = np.diag(np.linalg.inv(correlation))
     return df.sparkSession.createDataFrame(

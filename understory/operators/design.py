@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from understory.operators.prepare import complete_cases
+
 
 @dataclass(frozen=True)
 class Formula:
@@ -40,6 +42,12 @@ class Formula:
         return list(dict.fromkeys([self.response, *self.main, *nested]))
 
 
+def reduced(formula: Formula, kept_terms: list[str]) -> Formula:
+    """The formula with only those interactions whose term ``b_...`` is kept."""
+    kept = tuple(p for p in formula.interactions if f"b_{formula.interaction_name(p)}" in kept_terms)
+    return replace(formula, interactions=kept)
+
+
 def nested_groups(outer: str, inner: str) -> tuple[tuple[str, ...], ...]:
     """``outer/inner``: the outer factor and the inner one within it."""
     return ((outer,), (outer, inner))
@@ -47,7 +55,7 @@ def nested_groups(outer: str, inner: str) -> tuple[tuple[str, ...], ...]:
 
 def design(df: DataFrame, formula: Formula, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Complete model rows with interaction columns and one text key per factor."""
-    rows = df.select(*dict.fromkeys([*keep, *formula.source_columns])).na.drop("any")
+    rows = complete_cases(df.select(*dict.fromkeys([*keep, *formula.source_columns])))
     products = {
         formula.interaction_name((a, b)): F.col(a) * F.col(b) for a, b in formula.interactions
     }

@@ -141,20 +141,18 @@ def waic_points(loglik: DataFrame) -> DataFrame:
     by_row = loglik.groupBy("row_id").agg(
         F.max("ll").alias("top"), F.var_samp("ll").alias("p_waic"), F.count("ll").alias("n")
     )
-    lifted = (
-        match_join(loglik.select("row_id", "ll"), by_row.select("row_id", "top"), ["row_id"], "inner")
+    lppd = F.first("top") + F.ln(F.sum(F.exp(F.col("ll") - F.col("top"))) / F.first("n"))
+    return (
+        loglik.select("row_id", "ll")
+        .join(by_row, "row_id")
         .groupBy("row_id")
-        .agg(F.sum(F.exp(F.col("ll") - F.col("top"))).alias("lifted"))
-    )
-    return match_join(by_row, lifted, ["row_id"], "inner").select(
-        "row_id",
-        (F.col("top") + F.ln(F.col("lifted") / F.col("n"))).alias("lppd"),
-        "p_waic",
-    ).withColumns(
-        {
-            "elpd": F.col("lppd") - F.col("p_waic"),
-            "waic": -2 * (F.col("lppd") - F.col("p_waic")),
-        }
+        .agg(lppd.alias("lppd"), F.first("p_waic").alias("p_waic"))
+        .withColumns(
+            {
+                "elpd": F.col("lppd") - F.col("p_waic"),
+                "waic": -2 * (F.col("lppd") - F.col("p_waic")),
+            }
+        )
     )
 
 
@@ -166,32 +164,23 @@ def loo_points(loglik: DataFrame) -> DataFrame:
     by_row = loglik.groupBy("row_id").agg(
         F.min("ll").alias("low"), F.max("ll").alias("top"), F.count("ll").alias("n")
     )
-    raw = match_join(loglik.select("row_id", "ll"), by_row, ["row_id"], "inner")
-    mean_weight = raw.groupBy("row_id").agg(
-        (F.sum(F.exp(F.col("low") - F.col("ll"))) / F.max("n")).alias("mean_weight")
-    )
-    cut = F.least(
-        F.exp(F.col("low") - F.col("ll")), F.sqrt(F.col("n")) * F.col("mean_weight")
-    )
+    raw = loglik.select("row_id", "ll").join(by_row, "row_id")
+    weight = F.exp(F.col("low") - F.col("ll"))
+    mean_weight = raw.groupBy("row_id").agg((F.sum(weight) / F.first("n")).alias("mean_weight"))
+    cut = F.least(weight, F.sqrt(F.col("n")) * F.col("mean_weight"))
+    kept = F.sum(F.col("w") * F.exp(F.col("ll") - F.col("top"))) / F.sum("w")
     return (
-        match_join(raw, mean_weight, ["row_id"], "inner")
+        raw.join(mean_weight, "row_id")
         .withColumn("w", cut)
         .groupBy("row_id")
-        .agg(
-            (
-                F.max("top")
-                + F.ln(F.sum(F.col("w") * F.exp(F.col("ll") - F.col("top"))) / F.sum("w"))
-            ).alias("elpd_loo")
-        )
+        .agg((F.first("top") + F.ln(kept)).alias("elpd_loo"))
     )
 
 
 def compare_elpd(a: DataFrame, b: DataFrame) -> DataFrame:
     """Difference of summed pointwise log density (a minus b) and its error."""
-    both = match_join(
-        a.select("row_id", F.col("elpd").alias("elpd_a")),
-        b.select("row_id", F.col("elpd").alias("elpd_b")),
-        ["row_id"], "inner",
+    both = a.select("row_id", F.col("elpd").alias("elpd_a")).join(
+        b.select("row_id", F.col("elpd").alias("elpd_b")), "row_id"
     )
     d = F.col("elpd_a") - F.col("elpd_b")
     return both.agg(

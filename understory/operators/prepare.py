@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from understory.functions.nulls import gt0, match_join, null_to_zero, share, sum_na
@@ -114,7 +116,13 @@ def richness_shares(plots: DataFrame) -> DataFrame:
 
 
 def complete_cases(df: DataFrame) -> DataFrame:
-    return df.na.drop("any")
+    """Rows without null or NaN in any column.
+
+    One predicate per column, so that each can reach the scan by itself.
+    """
+    known = [F.col(f"`{c}`").isNotNull() for c in df.columns]
+    numbers = [~F.isnan(f"`{c}`") for c, t in df.dtypes if t in ("double", "float")]
+    return df.where(reduce(lambda a, b: a & b, known + numbers))
 
 
 def _sum_where(condition: Column, x: Column) -> Column:
@@ -192,9 +200,17 @@ def plot_summary(plots: DataFrame) -> DataFrame:
 
 
 def alien_native(plots: DataFrame, env_raw: DataFrame) -> DataFrame:
-    """Alien and native abundance, richness and environment per plot, complete rows only."""
-    joined = match_join(plot_summary(plots), tidy_environment(env_raw), ["PlotID"], "left")
-    return complete_cases(joined)
+    """Alien and native abundance, richness and environment per plot, complete rows only.
+
+    A plot without environment or without a name would be dropped as incomplete,
+    so the join is an inner one on the partitions the summary already has, and
+    incomplete rows of either side are dropped before it.
+    """
+    summary = complete_cases(plot_summary(plots))
+    env = complete_cases(tidy_environment(env_raw))
+    return summary.join(env, "PlotID", "inner").select(
+        *summary.columns, *[c for c in env.columns if c != "PlotID"]
+    )
 
 
 def alien_native_stepwise(plots: DataFrame, env_raw: DataFrame) -> DataFrame:
@@ -235,4 +251,4 @@ def rows_per_level(df: DataFrame, level: str, name: str = "N") -> DataFrame:
 def model_frame(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """Columns of a model, complete rows only, with the row identity kept."""
     names = [row_id] + [c for c in dict.fromkeys(columns) if c != row_id]
-    return df.select(*names).na.drop("any")
+    return complete_cases(df.select(*names))

@@ -153,7 +153,7 @@ VIEWS = {
     # Log densities of the lines of each order as its draws.
     "loglik": """
         SELECT l_orderkey AS row_id, l_linenumber AS draw,
-               CAST(-0.918938533204673 AS DOUBLE) - CAST(0.5 AS DOUBLE) * power((l_quantity - 25) / 10, 2) AS ll
+               CAST(-0.918938533204673 AS DOUBLE) - ln(7) - CAST(0.5 AS DOUBLE) * power((l_quantity - 25) / 7, 2) AS ll
         FROM {lineitem}""",
 }
 
