@@ -165,13 +165,16 @@ def test_block_path_equals_matrix_path(spark, data, monkeypatch):
     frame, model, drawn, _ = fitted(spark, data, "lognormal")
     frame = frame.where("row_id < 40")
     want = {r["row_id"]: r for r in predict.predict(frame, model, drawn, noise=False).collect()}
-    monkeypatch.setattr(predict, "DRAW_LIMIT_BYTES", 0)
+    r2 = {r["draw"]: r["r2"] for r in predict.bayes_r2(frame, model, drawn).collect()}
+    monkeypatch.setattr(predict, "DRAW_LIMIT_BYTES", 4000)
     monkeypatch.setattr(predict, "DRAWS_PER_BLOCK", 64)
     got = predict.predict(frame, model, drawn, noise=False).collect()
     assert len(got) == 40
     for r in got:
         assert list(r)[1:] == pytest.approx(list(want[r["row_id"]])[1:])
     assert predict.predict(frame, model, drawn).count() == 40
+    sliced = {r["draw"]: r["r2"] for r in predict.bayes_r2(frame, model, drawn).collect()}
+    assert sliced == pytest.approx(r2) and len(r2) == 300
     with pytest.raises(ValueError):
         predict.draw_matrix(drawn, model)
 

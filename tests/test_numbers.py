@@ -44,8 +44,10 @@ def shortest(x, width):
     return x[i], x[i + k]
 
 
-def test_ranks_with_a_hot_key_and_a_hot_value(spark, monkeypatch):
+@pytest.mark.parametrize("few_keys", [0, 100_000])
+def test_ranks_with_a_hot_key_and_a_hot_value(spark, monkeypatch, few_keys):
     monkeypatch.setattr(rank, "RANKS_PER_BLOCK", 16)
+    monkeypatch.setattr(rank, "BROADCAST_KEYS", few_keys)
     rng = np.random.default_rng(5)
     groups = {
         "hot": np.concatenate([rng.gamma(2.0, size=700), np.full(500, 1.25)]),

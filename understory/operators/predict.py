@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,18 +21,21 @@ DRAWS_PER_BLOCK = 4096
 SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
 
 
-def draws_fit_in_memory(draws: DataFrame, model: Fit) -> bool:
-    return draws.count() * len(model.coef) * 8 <= DRAW_LIMIT_BYTES
+def slices_needed(draws: DataFrame, model: Fit) -> int:
+    """Parts into which the draws must be cut so that each fits into every task."""
+    return max(1, math.ceil(draws.count() * len(model.coef) * 8 / DRAW_LIMIT_BYTES))
 
 
-def draw_matrix(draws: DataFrame, model: Fit) -> np.ndarray:
-    """Draws as a (draw, term) matrix at the driver, for a checked size only."""
-    if not draws_fit_in_memory(draws, model):
+def draw_matrix(draws: DataFrame, model: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Draw numbers and draws as a (draw, term) matrix at the driver, for a checked size only."""
+    if slices_needed(draws, model) > 1:
         raise ValueError("too many draws to hand to every task")
     quoted = [F.col(f"`{t}`").cast("double").alias(f"b{i}") for i, t in enumerate(model.term_names)]
     table = draws.select("draw", *quoted).toArrow()
-    order = np.argsort(table.column("draw").to_numpy(), kind="stable")
-    return np.column_stack([table.column(f"b{i}").to_numpy() for i in range(len(quoted))])[order]
+    numbers = table.column("draw").to_numpy()
+    order = np.argsort(numbers, kind="stable")
+    beta = np.column_stack([table.column(f"b{i}").to_numpy() for i in range(len(quoted))])
+    return numbers[order], beta[order]
 
 
 def _expected(eta: np.ndarray, family: str, scale: float) -> np.ndarray:
@@ -85,9 +89,9 @@ def predict(
     joined in blocks and the bounds found by exact distributed quantiles.
     """
     keep = list(keep)
-    if not draws_fit_in_memory(draws, model):
+    if slices_needed(draws, model) > 1:
         return _predict_blocks(frame, model, draws, noise, keep, seed)
-    matrix = frame.sparkSession.sparkContext.broadcast(draw_matrix(draws, model))
+    matrix = frame.sparkSession.sparkContext.broadcast(draw_matrix(draws, model)[1])
     rows = _design_columns(frame, model, keep, seed)
     names = [f"__x{i}" for i in range(len(model.formula.terms))]
 
@@ -116,15 +120,23 @@ def predict(
 def _predict_blocks(
     frame: DataFrame, model: Fit, draws: DataFrame, noise: bool, keep: list[str], seed: int
 ) -> DataFrame:
+    spark = frame.sparkSession
     blocks = math.ceil(draws.count() / DRAWS_PER_BLOCK)
+    # There are few blocks of draws, so each is copied to many salts; a row takes
+    # the salt of its own hash, and no task gets all rows of a block.
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     beta = [F.col(f"`{t}`").cast("double") for t in model.term_names]
-    drawn = draws.groupBy(F.pmod("draw", F.lit(blocks)).alias("__block")).agg(
-        F.collect_list(F.array(*beta)).alias("__beta")
+    drawn = (
+        draws.groupBy(F.pmod("draw", F.lit(blocks)).alias("__block"))
+        .agg(F.collect_list(F.array(*beta)).alias("__beta"))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     rows = _design_columns(frame, model, keep, seed)
-    work = rows.withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).join(drawn, "__block")
+    work = (
+        rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("__salt", F.pmod("__key", F.lit(salts)))
+        .join(drawn, ["__block", "__salt"])
+    )
     names = [f"__x{i}" for i in range(len(model.formula.terms))]
 
     def run(batches):
@@ -164,8 +176,16 @@ def mean_residual(frame: DataFrame, model: Fit, name: str = "residual") -> DataF
 
 
 def bayes_r2(frame: DataFrame, model: Fit, draws: DataFrame) -> DataFrame:
-    """Per draw: var(expected) / (var(expected) + var(residual))."""
-    beta = draw_matrix(draws, model)
+    """Per draw: var(expected) / (var(expected) + var(residual)).
+
+    Draws are independent of each other here, so too many for one matrix are
+    taken in several passes.
+    """
+    slices = slices_needed(draws, model)
+    if slices > 1:
+        parts = [draws.where(F.pmod("draw", F.lit(slices)) == i) for i in range(slices)]
+        return reduce(DataFrame.unionByName, [bayes_r2(frame, model, part) for part in parts])
+    numbers, beta = draw_matrix(draws, model)
     matrix = frame.sparkSession.sparkContext.broadcast(beta)
     names = [f"x{i}" for i in range(len(model.formula.terms))]
     x = [F.col(f"`{t}`").cast("double").alias(n) for t, n in zip(model.formula.terms, names)]
@@ -190,7 +210,7 @@ def bayes_r2(frame: DataFrame, model: Fit, draws: DataFrame) -> DataFrame:
     s = total[:-1].reshape(4, d)
     fitted = s[1] - s[0] ** 2 / n
     error = s[3] - s[2] ** 2 / n
-    rows = [(k + 1, float(v)) for k, v in enumerate(fitted / (fitted + error))]
+    rows = [(int(k), float(v)) for k, v in zip(numbers, fitted / (fitted + error))]
     return frame.sparkSession.createDataFrame(rows, "draw int, r2 double")
 
 
@@ -210,7 +230,7 @@ def predictive_check(
     """
     spark = frame.sparkSession
     chosen = draws.orderBy(F.xxhash64("draw", F.lit(seed))).limit(nsamples)
-    beta = draw_matrix(chosen, model)
+    _, beta = draw_matrix(chosen, model)
     y = F.col(model.formula.response).cast("double")
     span = frame.agg(F.min(y), F.max(y)).first()
     low, high = (math.log(v) if log_scale else float(v) for v in span)
