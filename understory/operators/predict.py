@@ -63,6 +63,17 @@ def _design_columns(frame: DataFrame, model: Fit, keep: list[str], seed: int) ->
     return frame.select(*keep, F.xxhash64(F.lit(seed), *keep).alias("__key"), *x)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all tasks.
+
+    A row is small but costs thousands of draws, so partitions that are right by
+    size, or skewed, would leave most cores idle. The narrow shuffle is cheap
+    beside that work.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "__key")
+
+
 def _outcomes(eta: np.ndarray, keys: np.ndarray, model: Fit, noise: bool, seed: int, block: int = 0):
     """Response per (row, draw); noise depends on row, block and seed only."""
     if not noise:
@@ -92,7 +103,7 @@ def predict(
     if slices_needed(draws, model) > 1:
         return _predict_blocks(frame, model, draws, noise, keep, seed)
     matrix = frame.sparkSession.sparkContext.broadcast(draw_matrix(draws, model)[1])
-    rows = _design_columns(frame, model, keep, seed)
+    rows = _spread(_design_columns(frame, model, keep, seed))
     names = [f"__x{i}" for i in range(len(model.formula.terms))]
 
     def run(batches):
@@ -189,7 +200,8 @@ def bayes_r2(frame: DataFrame, model: Fit, draws: DataFrame) -> DataFrame:
     matrix = frame.sparkSession.sparkContext.broadcast(beta)
     names = [f"x{i}" for i in range(len(model.formula.terms))]
     x = [F.col(f"`{t}`").cast("double").alias(n) for t, n in zip(model.formula.terms, names)]
-    data = frame.select(F.col(model.formula.response).cast("double").alias("y"), *x)
+    y = F.col(model.formula.response).cast("double").alias("y")
+    data = frame.select(y, *x, F.xxhash64("row_id").alias("__key"))
     # Variances do not depend on a shift; this one keeps the squares small.
     centre = data.agg(F.avg("y")).first()[0]
 
@@ -205,7 +217,7 @@ def bayes_r2(frame: DataFrame, model: Fit, draws: DataFrame) -> DataFrame:
             yield 0, np.append(np.concatenate(sums), len(rows))
 
     d = len(beta)
-    total = collect_vectors(batch_sums(data, part), 4 * d + 1)[0]
+    total = collect_vectors(batch_sums(_spread(data), part), 4 * d + 1)[0]
     n = total[-1]
     s = total[:-1].reshape(4, d)
     fitted = s[1] - s[0] ** 2 / n
@@ -238,7 +250,7 @@ def predictive_check(
     edges[-1] = np.nextafter(edges[-1], np.inf)
     matrix = spark.sparkContext.broadcast(beta)
     names = [f"__x{i}" for i in range(len(model.formula.terms))]
-    data = _design_columns(frame.withColumn("__y", y), model, ["row_id", "__y"], seed)
+    data = _spread(_design_columns(frame.withColumn("__y", y), model, ["row_id", "__y"], seed))
 
     def place(values):
         with np.errstate(divide="ignore"):

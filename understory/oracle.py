@@ -435,10 +435,10 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT term_a, term_b, {r('r')} FROM c"
         ),
         "divergences": (
-            f"SELECT sum(Value) AS divergent FROM ({view_sql('diagnostics')}) d WHERE Parameter = 'divergent__'"
+            f"SELECT CAST(sum(Value) AS BIGINT) AS divergent FROM ({view_sql('diagnostics')}) d WHERE Parameter = 'divergent__'"
         ),
         "divergences_by_chain": (
-            f"SELECT chain, sum(Value) AS divergent FROM ({view_sql('diagnostics')}) d "
+            f"SELECT chain, CAST(sum(Value) AS BIGINT) AS divergent FROM ({view_sql('diagnostics')}) d "
             "WHERE Parameter = 'divergent__' GROUP BY chain"
         ),
         "waic_points": WAIC,
