@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from understory.functions.nulls import gt0, match_join, null_to_zero, share, sum_na
+from understory.functions.nulls import gt0, match_join, n_distinct_na, null_to_zero, share, sum_na
 from understory.sources.schema import ENV_NAMES
 
 STATUSES = ["alien", "native"]
@@ -233,15 +233,7 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def global_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Number of distinct values of each column, a missing value being one more."""
-    return df.agg(
-        *[
-            (
-                F.count_distinct(F.col(c))
-                + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))
-            ).alias(f"n_{c}")
-            for c in columns
-        ]
-    )
+    return df.agg(*[n_distinct_na(c).alias(f"n_{c}") for c in columns])
 
 
 def rows_per_level(df: DataFrame, level: str, name: str = "N") -> DataFrame:
