@@ -7,6 +7,8 @@ here, not in the operators, because two engines add doubles in different order.
 
 from __future__ import annotations
 
+import functools
+import importlib
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -34,7 +36,7 @@ from understory.operators import (
 )
 from understory.operators.design import Formula, design
 from understory.plans import models, plot_scale, plot_share, species_model
-from understory.session import scratch_path
+from understory.session import scratch_path, ship_package
 from understory.sources import schema, tables
 from understory.sources.sample_views import view
 
@@ -44,6 +46,7 @@ RADIUS_KM = 25.0
 
 def entry(spark: SparkSession) -> DataFrame:
     """Alien and native abundance, richness and environment per plot."""
+    ship_package(spark)
     return alien_native(spark, SMOKE_DIR)
 
 
@@ -594,9 +597,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         precision_by_area, scale_table, accuracy_from_draws, share_models, reduced_presence,
         presence_scale,
     ]
-    return {f.__name__: f for f in registered}
+    found = {f.__name__: f for f in registered} | {n: f for part in _parts() for n, f in part.queries().items()}
+    return {name: _shipped(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of every query that SQL can state over whole tables."""
-    return oracle.oracle_sql()
+    return oracle.oracle_sql() | {n: q for part in _parts() for n, q in part.oracle_sql().items()}
+
+
+def _parts() -> list:
+    """Query modules of the training-data subpackage and its pipeline, as far as they are installed."""
+    found = []
+    for name in ("understory.llm.queries", "corpus_pipeline"):
+        try:
+            found.append(importlib.import_module(name))
+        except ModuleNotFoundError as error:
+            if error.name not in ("understory.llm", "understory.llm.queries", "corpus_pipeline"):
+                raise
+    return found
+
+
+def _shipped(query):
+    """The query, run after the package has gone to the workers."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run

@@ -15,7 +15,6 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as registry
-from understory.sources.sample_views import TABLES
 
 
 def local_session(cores: int = 8):
@@ -37,8 +36,9 @@ def local_session(cores: int = 8):
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for path in sorted(Path(folder).glob("*.parquet")):
+        files = f"{path}/*.parquet" if path.is_dir() else path
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{files}'")
     return con
 
 

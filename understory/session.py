@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,17 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and cut its lineage."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_understory_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "understory.zip"  # the driver's own; Spark serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(here.rglob("*.py")):
+            z.write(path, path.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._understory_shipped = True
