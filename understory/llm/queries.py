@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import line_dedup, quality, sharding, warc
+from understory.llm import bpe, line_dedup, quality, sharding, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -14,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every whole text with the word-end vocabulary."""
+    coded = bpe.tokenize(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), bpe.ids_digest("ids").alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to seekable bundles and states what the records read back say."""
     records = warc.read_archive(warc.archive_pages(_table(spark, sf_dir, "pages")))
@@ -122,7 +132,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding]
+    registered = [op1_bpe_round_trip, op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding]
     return {f.__name__: f for f in registered}
 
 
