@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, line_dedup, quality, sharding, warc
+from understory.llm import bpe, decontaminate, line_dedup, quality, sharding, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -24,6 +24,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within the edit budget, with its place."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to seekable bundles and states what the records read back say."""
     records = warc.read_archive(warc.archive_pages(_table(spark, sf_dir, "pages")))
@@ -132,7 +137,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op1_bpe_round_trip, op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding]
+    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding]
     return {f.__name__: f for f in registered}
 
 
