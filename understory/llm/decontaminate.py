@@ -66,8 +66,9 @@ def masks_of(pattern: str) -> dict[str, int]:
     return dict(found)
 
 
-def grams(text: str) -> set[str]:
-    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+def grams(text: str) -> list[str]:
+    """Disjoint parts of ``GRAM`` letters."""
+    return [text[i : i + GRAM] for i in range(0, len(text) - GRAM + 1, GRAM)]
 
 
 class Matcher:
@@ -75,7 +76,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple], rate: float):
         self.items = [(i, t, int(len(t) * rate)) for i, t in ((i, normal(t or "")) for i, t in items) if t]
-        self.masks: dict[int, tuple[dict, dict, set]] = {}
+        self.masks: dict[int, tuple[dict, dict, list]] = {}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, t, k) in enumerate(self.items):
             cuts = [j * len(t) // (k + 1) for j in range(k + 2)]
@@ -136,8 +137,8 @@ class Matcher:
             t = self.items[n][1]
             self.masks[n] = masks_of(t), masks_of(t[::-1]), grams(t)
         forward, backward, own = self.masks[n]
-        # An edit spoils at most GRAM of the item's grams, so a passage within the budget keeps the others.
-        if len(own & grams(part)) < len(own) - GRAM * k:
+        # An edit spoils at most one of the item's disjoint grams, so a passage within the budget has all others.
+        if sum([g in part for g in own]) < len(own) - k:
             return None
         m = len(self.items[n][1])
         edits, end = distance(forward, m, part)
