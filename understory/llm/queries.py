@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, decontaminate, line_dedup, quality, sharding, warc
+from understory.llm import bpe, decontaminate, language, line_dedup, quality, sharding, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -65,6 +65,15 @@ def op8_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS, SLOTS)
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts by trees fitted on the documents that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out).select("lang", "text"))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language.identify(texts, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 OP4_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b),
@@ -137,7 +146,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding]
+    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding, op9_ppm_language]
     return {f.__name__: f for f in registered}
 
 
