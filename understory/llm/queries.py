@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, decontaminate, language, line_dedup, quality, sharding, warc
+from understory.llm import bpe, decontaminate, language, line_dedup, quality, sharding, token_counts, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -55,6 +55,26 @@ def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text before and after three edits that its own row decides:
+    a line that names the source comes first, two dozen letters in the middle are masked,
+    and the last sentence's end goes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    size, source = F.coalesce(F.length("_row.text"), F.lit(0)).cast("long"), F.coalesce(F.col("_row.source"), F.lit(""))
+    step = lambda at, n, new: F.struct(at.cast("long").alias("start"), F.lit(n).cast("long").alias("delete"), new.alias("insert"))
+    edits = F.array(
+        step(F.lit(0), 0, F.concat(F.lit("source: "), source, F.lit("\n"))),
+        step(F.floor(size / 2), 24, F.lit("[masked]")),
+        step(size - 10, 12, F.lit("")),
+    )
+    done = token_counts.follow(token_counts.plant(docs, path), path, edits)
+    return done.select(
+        F.col("_row.doc_id").alias("doc_id"), token_counts.total(F.col("tree")).alias("n_tokens"),
+        token_counts.total(F.col("new_tree")).alias("n_tokens_edited"), F.length("new_text").cast("long").alias("n_chars_edited"), "n_encoded",
+    )
+
+
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(_table(spark, sf_dir, "documents"))
     return found.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("clean").alias("text"))
@@ -146,7 +166,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op7_line_windows, op8_lookup_sharding, op9_ppm_language]
+    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language]
     return {f.__name__: f for f in registered}
 
 
