@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, decontaminate, language, line_dedup, quality, sharding, token_counts, warc
+from understory.llm import bpe, decontaminate, jaccard, language, line_dedup, quality, sharding, token_counts, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -94,6 +94,11 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(texts, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document on five-word shingles at 0.8."""
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP4_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b),
@@ -166,7 +171,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language]
+    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language, op10_chosen_path_join]
     return {f.__name__: f for f in registered}
 
 
