@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, decontaminate, jaccard, language, line_dedup, quality, sharding, token_counts, warc
+from understory.llm import bpe, decontaminate, html_text, jaccard, language, line_dedup, quality, sharding, token_counts, warc
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -24,6 +24,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds within the edit budget, with its place."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -171,7 +177,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op1_bpe_round_trip, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language, op10_chosen_path_join]
+    registered = [op1_bpe_round_trip, op2_wrapper_text, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language, op10_chosen_path_join]
     return {f.__name__: f for f in registered}
 
 
