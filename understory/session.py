@@ -42,8 +42,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch. Texts may be long, and a worker holds its batch and what becomes of it.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the workers, once per application: they need not have it installed."""
+    """Sends this package to the workers, once per application: they need not have it installed.
+
+    Arrow batches are made smaller, unless the session says how large they are.
+    """
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_understory_shipped", False):
         return
