@@ -191,7 +191,8 @@ def _finder(docs: DataFrame, items: list[tuple], rate: float, kind: T.DataType):
         found = (matcher.find(t.as_py() or "") for t in texts)
         return pa.array([[dict(zip(("item_id", "edits", "start", "end"), x)) for x in f] for f in found], arrow)
 
-    return matches
+    # Else Spark may move a filter on the matches below joins, where it can't run Python, or run it twice.
+    return matches.asNondeterministic()
 
 
 def leaks(

@@ -292,6 +292,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     documents of their own; null ids are classed by the smallest id that isn't null.
     Empty tables give no rows; other columns are not read.
     """
+    found = _classed(docs, threshold, recall, doc_id, text)
+    return found.select(F.col("_id").alias("doc_id"), "class_id", "n_copies", "n_links")
+
+
+def _classed(docs: DataFrame, threshold: float, recall: float, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``join`` with ``_id`` and ``_text_id``."""
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
     every = pin(sketched(docs, doc_id, text))
@@ -312,9 +318,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     known = known.join(heads, "_class", "left").select(
         "_set", "_copies", F.coalesce("_head", "_least").alias("_class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links")
     )
-    out = every.select("_id", "_set").join(known, "_set", "left")
+    out = every.select("_id", "_text_id", "_set").join(known, "_set", "left")
     return out.select(
-        F.col("_id").alias("doc_id"), F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("_class_id")).alias("class_id"),
+        "_id", "_text_id", F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("_class_id")).alias("class_id"),
         F.coalesce("_copies", F.lit(1)).alias("n_copies"), F.coalesce("_links", F.lit(0)).alias("n_links"),
     )
 
@@ -325,7 +331,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     Rows linked to nothing stay. A row with null id stays only if no row of its class
     has an id. Rows that repeat the smallest id of a class all stay.
     """
-    classes = join(docs, threshold, recall, doc_id, text)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"))
-    return row.join(small_side(gone), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    gone = _classed(docs, threshold, recall, doc_id, text).where(~F.col("_id").eqNullSafe(F.col("class_id")))
+    gone = small_side(gone.select(F.col("_id").alias("_gone"), F.col("_text_id").alias("_gone_text")).distinct())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("_text_id"))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & F.col("_text_id").eqNullSafe(F.col("_gone_text"))
+    return rows.join(gone, same, "left_anti").select("_row.*")

@@ -38,6 +38,8 @@ _letters = re.compile(r"[^\W\d_]+")
 def plain(text: str | None) -> bytes:
     """The words of a text in lower case, a blank before each; empty if it has no letter."""
     found = _letters.findall(text or "")
+    if not all(map(str.isalpha, found)):  # numerals that are no digits
+        found = [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
     return (" " + " ".join(found)).lower().encode("utf-8", "replace") if found else b""
 
 
