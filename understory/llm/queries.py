@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from understory.llm import bpe, decontaminate, html_text, jaccard, language, line_dedup, quality, sharding, token_counts, warc
+from understory.session import pin
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 16381
@@ -39,9 +40,8 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to seekable bundles and states what the records read back say."""
     records = warc.read_archive(warc.archive_pages(_table(spark, sf_dir, "pages")))
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    said = records.select(
-        "record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("n")
-    )
+    # Kept, so that the archives are read once.
+    said = pin(records.select("record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("n")))
     responses = said.where("record_type = 'response'")
     whole = responses.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("payload_bytes"))
     own = responses.select("record_id", "record_type", "payload_digest", "refers_to", F.col("n").alias("payload_bytes"))

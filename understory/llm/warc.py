@@ -27,6 +27,8 @@ from understory.session import scratch_path
 
 #: Plain bytes after which a frame is closed, and bytes of a bundle after which the next one starts.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Plain bytes of the records that a task reads, about.
+TASK_BYTES = 16 << 20
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed value of the format: the profile of a record that repeats an earlier payload.
@@ -204,7 +206,9 @@ def read_archive(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     frames = index.groupBy("bundle", "frame", "frame_start", "frame_bytes").agg(F.collect_list("offset").alias("offsets"))
-    return frames.mapInArrow(read, RECORD)
+    # Dealt by the bytes to be read, which Spark can't see in the few bytes of the index.
+    size = index.select(F.sum(F.col("length")).alias("n")).first()["n"] or 0
+    return frames.repartition(max(1, -(-size // TASK_BYTES)), "bundle", "frame").mapInArrow(read, RECORD)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", uri: str = "url", payload: str = "html", at_least: int = 0) -> DataFrame:
