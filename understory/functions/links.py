@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -30,6 +31,17 @@ def log_gamma(x: Column) -> Column:
     return (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.ln(product)
 
 
+def log_gamma_array(x: np.ndarray) -> np.ndarray:
+    """``log_gamma`` of an array."""
+    z = x + 8.0
+    product = x.copy() if x.ndim else x
+    for step in range(1, 8):
+        product = product * (x + step)
+    z2 = z * z
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / z2) / z2) / z2) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
+
+
 def normal_log_density(y: Column, mean: Column, sd: Column) -> Column:
     return (
         F.lit(-0.5 * math.log(2 * math.pi)) - F.ln(sd) - F.pow((y - mean) / sd, F.lit(2.0)) / 2

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from understory.functions.nulls import match_join
 from understory.operators.collinear import corr_pairs
-from understory.operators.rank import quantiles, shortest_intervals, six_numbers
+from understory.operators.rank import quantiles, ranked, shortest_intervals, six_numbers, value_at
 
 DRAW_IDS = ["chain", "iteration", "draw"]
 INTERCEPT = "b_Intercept"
@@ -83,17 +83,21 @@ def divergences(diagnostics: DataFrame, parameter: str = "divergent__", by_chain
 def split_rhat(draws: DataFrame) -> DataFrame:
     """Convergence ratio per term from the two halves of every chain.
 
-    The half follows from the iteration number and the length of the longest
-    chain, so no chain has to be sorted; of an odd length the middle is left out.
+    The halves go by the position of a draw in its own chain, whatever number the
+    iterations start from; of an odd length the middle is left out. Where the chain
+    is cut follows from exact distributed ranks, so no chain is sorted in one task.
     """
-    length = draws.agg(F.max("iteration")).scalar()
-    half = F.when(F.col("iteration") <= F.floor(length / 2), 1).when(
-        F.col("iteration") > F.ceil(length / 2), 2
+    keys = ["terms", "chain"]
+    places = ranked(draws, keys, F.col("iteration").cast("double"))
+    cuts = places.groupBy(*keys).agg(
+        value_at(F.floor(F.col("n") / 2) - 1).alias("last"), value_at(F.ceil(F.col("n") / 2)).alias("first")
     )
+    half = F.when(F.col("iteration") <= F.col("last"), 1).when(F.col("iteration") >= F.col("first"), 2)
     halves = (
-        draws.select("terms", "chain", half.alias("half"), "value")
+        match_join(draws.select(*keys, "iteration", "value"), cuts, keys, "inner")
+        .select(*keys, half.alias("half"), "value")
         .where("half is not null")
-        .groupBy("terms", "chain", "half")
+        .groupBy(*keys, "half")
         .agg(
             F.avg("value").alias("m"),
             F.var_samp("value").alias("v"),

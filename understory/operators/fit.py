@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -23,13 +24,16 @@ from understory.functions.links import (
     lognormal_mean,
     normal_log_density,
 )
+from understory.functions.noise import normal_column
+from understory.functions.nulls import nan_to_null
 from understory.operators.design import Formula
 from understory.operators.gram import Gram, batch_sums, collect_vectors, gram, gram_by, to_matrix
 
 LINEAR = ("gaussian", "lognormal")
 LOGIT = ("bernoulli", "binomial", "beta")
 FAMILIES = (*LINEAR, *LOGIT)
-NEWTON_STEPS = 25
+#: Steps after which an iteration that hasn't converged is an error.
+MAX_STEPS = 50
 
 
 @dataclass(frozen=True)
@@ -86,11 +90,29 @@ def fitted_response(formula: Formula, family: str) -> Column:
 
 def solve(g: Gram) -> tuple[np.ndarray, np.ndarray, float]:
     """Coefficients, covariance and residual deviation from cross-products."""
-    inverse = np.linalg.inv(g.xx)
-    coef = np.linalg.solve(g.xx, g.xy)
-    residual = max(g.yy - float(coef @ g.xy), 0.0)
+    if g.n <= len(g.xy):
+        raise ValueError(f"{g.n} complete rows leave no degree of freedom for {len(g.xy)} coefficients")
+    coef, residual = g.coefficients()
     variance = residual / (g.n - len(coef))
-    return coef, inverse * variance, math.sqrt(variance)
+    return coef, g.inverse() * variance, math.sqrt(variance)
+
+
+def complete(frame: DataFrame, formula: Formula, *more: str) -> DataFrame:
+    """Rows with a value of the response and of every term."""
+    known = [nan_to_null(F.col(f"`{c}`")).isNotNull() for c in (formula.response, *formula.terms, *more)]
+    return frame.where(reduce(lambda a, b: a & b, known))
+
+
+def check_support(frame: DataFrame, formula: Formula, family: str) -> None:
+    """Raises if a response has no density in the family."""
+    y = F.col(formula.response).cast("double")
+    outside = {
+        "lognormal": ~(y > 0), "bernoulli": ~y.isin(0.0, 1.0), "binomial": ~y.between(0.0, 1.0), "beta": ~((y > 0) & (y < 1)),
+    }.get(family)
+    if outside is not None:
+        count = frame.where(y.isNotNull()).where(outside).count()
+        if count:
+            raise ValueError(f"{count} responses of {formula.response} are outside the support of {family}")
 
 
 def fit(frame: DataFrame, formula: Formula, family: str, trials: str | None = None) -> Fit:
@@ -103,6 +125,8 @@ def fit(frame: DataFrame, formula: Formula, family: str, trials: str | None = No
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family!r}")
     terms = formula.terms
+    frame = complete(frame, formula, *([trials] if trials else []))
+    check_support(frame, formula, family)
     y = fitted_response(formula, family)
     if family in LINEAR:
         g = gram(frame, terms, y)
@@ -116,21 +140,30 @@ def fit(frame: DataFrame, formula: Formula, family: str, trials: str | None = No
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = GeneralizedLinearRegression(
-            family="binomial", link="logit", weightCol="weight", maxIter=50, tol=1e-10
+            family="binomial", link="logit", weightCol="weight", maxIter=MAX_STEPS, tol=1e-10
         ).fit(data)
+        if model.summary.numIterations >= MAX_STEPS:
+            raise RuntimeError(f"the {family} fit did not converge in {MAX_STEPS} steps")
         coef = np.append(model.intercept, model.coefficients.toArray())
         mu = inverse_logit(linear_predictor(names, [float(b) for b in coef]))
         spread = mu * (1 - mu)
         # With this weight the response product of the Gram is Pearson's statistic.
         pearson = (F.col("label") - mu) / spread
-        g = gram(data, names, pearson, F.col("weight") * spread)
+        g = gram(data, names, pearson, F.col("weight") * spread, centre_response=False)
     finally:
         data.unpersist()
-    cov = np.linalg.inv(g.xx)
+    cov = g.inverse()
     if family != "beta":
         return Fit(formula, family, coef, cov, 1.0, g.n)
     dispersion = g.yy / (g.n - len(coef))
-    return Fit(formula, family, coef, cov * dispersion, max(1.0 / dispersion - 1.0, 1e-6), g.n)
+    return Fit(formula, family, coef, cov * dispersion, precision_of(dispersion), g.n)
+
+
+def precision_of(dispersion: float) -> float:
+    """Precision of a beta response whose Pearson residuals have this variance."""
+    if not 0 < dispersion < 1:
+        raise ValueError(f"a dispersion of {dispersion:.4g} fits no beta distribution")
+    return 1.0 / dispersion - 1.0
 
 
 @dataclass(frozen=True)
@@ -166,16 +199,10 @@ def fixed_effect_draws(spark: SparkSession, model: Fit, n: int = 8000, chains: i
     Each standard normal is a function of draw number, term and seed alone, so
     the table does not depend on how it is partitioned.
     """
-    root = np.linalg.cholesky(model.cov + 1e-15 * np.eye(len(model.coef)))
-
-    def uniform(k: int) -> Column:
-        bits = F.pmod(F.xxhash64("draw", F.lit(k), F.lit(seed)), F.lit(1 << 52))
-        return (bits.cast("double") + 0.5) / float(1 << 52)
-
-    z = [
-        F.sqrt(-2.0 * F.ln(uniform(2 * k))) * F.cos(2.0 * math.pi * uniform(2 * k + 1))
-        for k in range(len(model.coef))
-    ]
+    # Scaled first, so that no term is too small for the decomposition.
+    size = np.sqrt(np.diag(model.cov))
+    root = np.linalg.cholesky(model.cov / np.outer(size, size)) * size[:, None]
+    z = [normal_column(F.lit(k + 1), F.col("draw"), seed) for k in range(len(model.coef))]
     per_chain = -(-n // chains)
     base = spark.range(1, n + 1).select(
         F.floor((F.col("id") - 1) / per_chain + 1).cast("int").alias("chain"),
@@ -230,16 +257,18 @@ def _leave_out_logit(frame: DataFrame, formula: Formula, family: str, k: int) ->
         return collect_vectors(batch_sums(data, part), p * p + p + 2)
 
     try:
-        for _ in range(NEWTON_STEPS):
+        for _ in range(MAX_STEPS):
             largest = 0.0
             for f, sums in newton(coef).items():
                 step = np.linalg.solve(sums[: p * p].reshape(p, p), sums[p * p : p * p + p])
                 largest = max(largest, float(np.abs(step).max()))
                 coef[f] = coef[f] + step
                 if family == "beta":
-                    scale[f] = max((sums[-1] - p) / sums[-2] - 1.0, 1e-6)
+                    scale[f] = precision_of(sums[-2] / (sums[-1] - p))
             if largest < 1e-8:
                 break
+        else:
+            raise RuntimeError(f"the {family} fits did not converge in {MAX_STEPS} steps")
     finally:
         data.unpersist()
     return {f: [*coef[f], scale[f]] for f in range(k)}
@@ -250,15 +279,16 @@ def kfold_points(
 ) -> DataFrame:
     """Out-of-sample log density per row: ``(row_id, fold, elpd)``.
 
-    For linear families one pass gives the cross-products of every fold, and
-    those of all other folds follow by subtraction.
+    For linear families one pass gives the cross-products of every fold; those of
+    all folds but one are added up, as a difference would lose digits. Rows with a
+    missing value take no part.
     """
-    frame = frame.withColumn("fold", fold)
+    frame = complete(frame, formula).withColumn("fold", fold)
+    check_support(frame, formula, family)
     response = F.col(formula.response).cast("double")
     if family in LINEAR:
         grams = gram_by(frame, formula.terms, fitted_response(formula, family), group=F.col("fold"))
-        total = sum(list(grams.values())[1:], list(grams.values())[0])
-        fits = {f: solve(total - g) for f, g in grams.items()}
+        fits = {f: solve(reduce(Gram.__add__, [g for other, g in grams.items() if other != f])) for f in grams}
         parameters = {f: [*coef, scale] for f, (coef, _, scale) in fits.items()}
     else:
         parameters = _leave_out_logit(frame, formula, family, k)

@@ -60,18 +60,50 @@ def collect_vectors(sums: DataFrame, size: int) -> dict[int, np.ndarray]:
 
 @dataclass(frozen=True)
 class Gram:
-    """Cross-products with an intercept in position zero."""
+    """Cross-products of columns about ``shift`` and of the response about ``y_shift``.
+
+    The intercept is in position zero and isn't shifted. Grams add up if their shifts are equal.
+    """
 
     xx: np.ndarray
     xy: np.ndarray
     yy: float
     n: int
-
-    def __sub__(self, other: "Gram") -> "Gram":
-        return Gram(self.xx - other.xx, self.xy - other.xy, self.yy - other.yy, self.n - other.n)
+    shift: np.ndarray
+    y_shift: float
 
     def __add__(self, other: "Gram") -> "Gram":
-        return Gram(self.xx + other.xx, self.xy + other.xy, self.yy + other.yy, self.n + other.n)
+        return Gram(self.xx + other.xx, self.xy + other.xy, self.yy + other.yy, self.n + other.n, self.shift, self.y_shift)
+
+    def _scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Products of columns scaled to length one, and the scales."""
+        size = np.sqrt(np.diag(self.xx))
+        if self.n < len(size) or not np.all(size > 0):
+            raise ValueError(f"{self.n} complete rows cannot determine {len(size)} coefficients, or a column is constant")
+        return self.xx / np.outer(size, size), size
+
+    def _unshifted(self) -> np.ndarray:
+        """Turns coefficients of the shifted columns into those of the columns as they are."""
+        turn = np.eye(len(self.shift))
+        turn[0, 1:] = -self.shift[1:]
+        return turn
+
+    def coefficients(self) -> tuple[np.ndarray, float]:
+        """Least-squares coefficients and the residual sum of squares."""
+        products, size = self._scaled()
+        coef = np.linalg.solve(products, self.xy / size) / size
+        residual = self.yy - float(coef @ self.xy)
+        if residual < -1e-9 * self.yy:
+            raise ArithmeticError("the cross-products lost too many digits")
+        coef = self._unshifted() @ coef
+        coef[0] += self.y_shift
+        return coef, abs(residual)
+
+    def inverse(self) -> np.ndarray:
+        """Inverse of the cross-products of the columns as they are."""
+        products, size = self._scaled()
+        turn = self._unshifted()
+        return turn @ (np.linalg.inv(products) / np.outer(size, size)) @ turn.T
 
 
 def gram_by(
@@ -80,19 +112,28 @@ def gram_by(
     response: Column | None = None,
     weight: Column | None = None,
     group: Column | None = None,
+    centre_response: bool = True,
 ) -> dict[int, Gram]:
-    """Cross-products per value of a small integer column, such as a fold number."""
+    """Cross-products per value of a small integer column, such as a fold number.
+
+    Rows with a missing value take no part. Products are always taken about the means,
+    which one pass before finds: about zero, a column far from it would lose its digits.
+    """
     p = len(columns) + 1
     names = [f"x{i}" for i in range(p - 1)]
     data = df.select(
-        *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)],
-        (F.lit(0.0) if response is None else response.cast("double")).alias("y"),
-        (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"),
+        *[nan_to_null(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, names)],
+        (F.lit(0.0) if response is None else nan_to_null(response)).alias("y"),
+        (F.lit(1.0) if weight is None else nan_to_null(weight)).alias("w"),
         (F.lit(0) if group is None else group.cast("int")).alias("grp"),
-    )
+    ).na.drop()
+    centre = data.agg(*[F.avg(n).alias(n) for n in [*names, "y"]]).first()
+    shift = np.array([0.0, *[centre[n] or 0.0 for n in names]])
+    y_shift = (centre["y"] or 0.0) if centre_response else 0.0
+    about = np.append(shift[1:], y_shift)
 
     def part(batch):
-        x = np.column_stack([np.ones(batch.num_rows), to_matrix(batch, [*names, "y"])])
+        x = np.column_stack([np.ones(batch.num_rows), to_matrix(batch, [*names, "y"]) - about])
         w = to_matrix(batch, ["w"])[:, 0]
         groups = batch.column("grp").to_numpy(zero_copy_only=False)
         for value in np.unique(groups):
@@ -105,49 +146,47 @@ def gram_by(
     result = {}
     for value, vector in vectors.items():
         cross = vector[:-1].reshape(p + 1, p + 1)
-        result[value] = Gram(cross[:p, :p], cross[:p, p], float(cross[p, p]), int(round(vector[-1])))
+        result[value] = Gram(cross[:p, :p], cross[:p, p], float(cross[p, p]), int(round(vector[-1])), shift, y_shift)
     return result
 
 
 def gram(
-    df: DataFrame, columns: list[str], response: Column | None = None, weight: Column | None = None
+    df: DataFrame,
+    columns: list[str],
+    response: Column | None = None,
+    weight: Column | None = None,
+    centre_response: bool = True,
 ) -> Gram:
     """Cross-products over the whole table; only (p+1)^2 sums reach the driver."""
-    return gram_by(df, columns, response, weight)[0]
-
-
-# Squared mean over variance above which products lose too many digits uncentred.
-ILL_SCALED = 1e8
+    found = gram_by(df, columns, response, weight, centre_response=centre_response)
+    if not found:
+        raise ValueError("no complete rows")
+    return found[0]
 
 
 def pairwise_moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Correlation and row count of each column pair over the rows complete for it.
 
-    One pass. Only where a mean turns out to be huge against its deviation are
-    the products taken again about that mean; a correlation does not depend on
-    the shift.
+    Products are taken about the means of the columns, which one pass before finds; a
+    correlation does not depend on the shift.
     """
     p = len(columns)
     names = [f"x{i}" for i in range(p)]
     clean = df.select(*[nan_to_null(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, names)])
 
-    def moments(shift: np.ndarray) -> np.ndarray:
-        def part(batch):
-            x = to_matrix(batch, names) - shift
-            seen = (~np.isnan(x)).astype(float)
-            x = np.where(seen > 0, x, 0.0)
-            parts = (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)
-            yield 0, np.concatenate([m.ravel() for m in parts])
-
-        vectors = collect_vectors(batch_sums(clean, part), 4 * p * p)
-        return vectors.get(0, np.zeros(4 * p * p)).reshape(4, p, p)
+    centre = clean.agg(*[F.avg(n).alias(n) for n in names]).first()
+    shift = np.array([centre[n] or 0.0 for n in names])
 
+    def part(batch):
+        x = to_matrix(batch, names) - shift
+        seen = (~np.isnan(x)).astype(float)
+        x = np.where(seen > 0, x, 0.0)
+        parts = (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)
+        yield 0, np.concatenate([m.ravel() for m in parts])
+
+    vectors = collect_vectors(batch_sums(clean, part), 4 * p * p)
+    n, s, ss, cross = vectors.get(0, np.zeros(4 * p * p)).reshape(4, p, p)
     with np.errstate(divide="ignore", invalid="ignore"):
-        n, s, ss, cross = moments(np.zeros(p))
-        mean = np.nan_to_num(np.diag(s) / np.diag(n))
-        variance = np.diag(ss) / np.diag(n) - mean**2
-        if np.any(mean**2 > ILL_SCALED * variance):
-            n, s, ss, cross = moments(mean)
         covariance = cross - s * s.T / n
         spread = ss - s * s / n
         r = covariance / np.sqrt(spread * spread.T)

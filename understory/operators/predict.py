@@ -1,177 +1,201 @@
-"""Operators that meet every row with every draw, without making rows of the pairs."""
+"""Operators that meet every row with every draw, without making rows of the pairs.
+
+The draws go to the tasks as one matrix; their number is a setting of the analysis
+and doesn't grow with the data. Rows are taken in chunks whose size follows from the
+number of draws. Simulated outcomes depend on row, draw and seed only. Level effects
+of a fitted model join the linear predictor by level; a level without one counts zero.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from understory.functions.links import log_gamma_array
+from understory.functions.noise import mix_column, normals, row_key, salt, uniforms
 from understory.functions.nulls import match_join
-from understory.operators.fit import Fit
-from understory.operators.gram import batch_sums, collect_vectors, to_matrix
-from understory.operators.rank import quantiles
-from understory.session import pin
-
-DRAW_LIMIT_BYTES = 128 << 20
-ROWS_PER_CHUNK = 256
-DRAWS_PER_BLOCK = 4096
+from understory.operators.fit import Fit, ZeroOneFit, complete
+from understory.operators.gram import batch_sums, to_matrix
+
+#: Largest matrix of draws, in bytes; a larger one is refused.
+DRAW_LIMIT_BYTES = 512 << 20
+#: Values of one row-by-draw matrix in a task, and of all of them together that are worth a task.
+CHUNK_VALUES, TASK_VALUES = 1 << 20, 1 << 27
 SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
 
 
-def slices_needed(draws: DataFrame, model: Fit) -> int:
-    """Parts into which the draws must be cut so that each fits into every task."""
-    return max(1, math.ceil(draws.count() * len(model.coef) * 8 / DRAW_LIMIT_BYTES))
+@dataclass(frozen=True)
+class Response:
+    """What a model says of its response, given the linear predictor."""
+
+    family: str
+    scale: float
+    zoi: float = 0.0
+    coi: float = 0.0
+
+    def expected(self, eta: np.ndarray) -> np.ndarray:
+        if self.family == "gaussian":
+            return eta
+        if self.family == "lognormal":
+            return np.exp(eta + self.scale * self.scale / 2.0)
+        mu = 1.0 / (1.0 + np.exp(-eta))
+        return self.zoi * self.coi + (1.0 - self.zoi) * mu
+
+    def simulated(self, eta: np.ndarray, keys: np.ndarray, draws: np.ndarray, seed: int, trials: np.ndarray) -> np.ndarray:
+        """One outcome for every row and draw."""
+        if self.family in ("gaussian", "lognormal"):
+            y = eta + self.scale * normals(keys, draws, seed)
+            return np.exp(y) if self.family == "lognormal" else y
+        mu = 1.0 / (1.0 + np.exp(-eta))
+        if self.family == "bernoulli":
+            return (uniforms(keys, draws, 0, seed) < mu).astype(float)
+        y = np.empty_like(mu)
+        # No closed form: a generator for every row, keyed by the row, over all draws in their order.
+        for i, key in enumerate(keys):
+            rng = np.random.Generator(np.random.Philox(key=[seed, int(key)]))
+            if self.family == "binomial":
+                y[i] = rng.binomial(int(trials[i]), mu[i]) / trials[i]
+            else:
+                a, b = mu[i] * self.scale, (1.0 - mu[i]) * self.scale
+                inner = (a > 0) & (b > 0)
+                y[i] = np.where(inner, rng.beta(np.where(inner, a, 1.0), np.where(inner, b, 1.0)), mu[i])
+        if self.zoi:
+            edge = uniforms(keys, draws, 2, seed) < self.zoi
+            y = np.where(edge, uniforms(keys, draws, 3, seed) < self.coi, y)
+        return y
+
+    def log_density(self, y: np.ndarray, eta: np.ndarray, trials: np.ndarray) -> np.ndarray:
+        """Log density of the observed response ``y`` (a column) for every draw."""
+        if self.family in ("gaussian", "lognormal"):
+            z = ((np.log(y) if self.family == "lognormal" else y) - eta) / self.scale
+            density = -0.5 * z * z - math.log(self.scale) - 0.5 * math.log(2.0 * math.pi)
+            return density - np.log(y) if self.family == "lognormal" else density
+        # ln(mu) and ln(1 - mu) without loss where mu is next to 0 or 1.
+        yes, no = -np.logaddexp(0.0, -eta), -np.logaddexp(0.0, eta)
+        if self.family == "bernoulli":
+            return np.where(y == 1, yes, no)
+        if self.family == "binomial":
+            n = trials[:, None]
+            k = np.rint(n * y)
+            choose = log_gamma_array(n + 1.0) - log_gamma_array(k + 1.0) - log_gamma_array(n - k + 1.0)
+            return choose + k * yes + (n - k) * no
+        inner = (y > 0) & (y < 1)
+        at, a, b = np.where(inner, y, 0.5), np.exp(yes) * self.scale, np.exp(no) * self.scale
+        density = log_gamma_array(np.array(self.scale)) - log_gamma_array(a) - log_gamma_array(b) + (a - 1) * np.log(at) + (b - 1) * np.log1p(-at)
+        if not self.zoi:
+            return np.where(inner, density, -np.inf)
+        with np.errstate(divide="ignore"):
+            edge = np.log(self.zoi) + np.where(y == 1, np.log(self.coi), np.log1p(-self.coi))
+            return np.where(inner, np.log1p(-self.zoi) + density, edge)
+
+
+def _parts(model: Fit | ZeroOneFit) -> tuple[Fit, Response]:
+    if isinstance(model, ZeroOneFit):
+        return model.interior, Response("beta", model.interior.scale, model.zoi, model.coi or 0.0)
+    return model, Response(model.family, model.scale)
 
 
 def draw_matrix(draws: DataFrame, model: Fit) -> tuple[np.ndarray, np.ndarray]:
     """Draw numbers and draws as a (draw, term) matrix at the driver, for a checked size only."""
-    if slices_needed(draws, model) > 1:
-        raise ValueError("too many draws to hand to every task")
+    if draws.count() * len(model.coef) * 8 > DRAW_LIMIT_BYTES:
+        raise ValueError("too many draws to hand to every task; thin them")
     quoted = [F.col(f"`{t}`").cast("double").alias(f"b{i}") for i, t in enumerate(model.term_names)]
     table = draws.select("draw", *quoted).toArrow()
     numbers = table.column("draw").to_numpy()
     order = np.argsort(numbers, kind="stable")
     beta = np.column_stack([table.column(f"b{i}").to_numpy() for i in range(len(quoted))])
-    return numbers[order], beta[order]
-
-
-def _expected(eta: np.ndarray, family: str, scale: float) -> np.ndarray:
-    if family == "gaussian":
-        return eta
-    if family == "lognormal":
-        return np.exp(eta + scale * scale / 2.0)
-    return 1.0 / (1.0 + np.exp(-eta))
-
-
-def _simulated(eta: np.ndarray, family: str, scale: float, rng: np.random.Generator) -> np.ndarray:
-    """One outcome per draw of one row."""
-    if family in ("gaussian", "lognormal"):
-        y = eta + scale * rng.standard_normal(len(eta))
-        return np.exp(y) if family == "lognormal" else y
-    mu = 1.0 / (1.0 + np.exp(-eta))
-    if family == "beta":
-        mu = np.clip(mu, 1e-12, 1.0 - 1e-12)
-        return rng.beta(mu * scale, (1.0 - mu) * scale)
-    return (rng.random(len(eta)) < mu).astype(float)
+    return numbers[order].astype(np.int64), beta[order]
 
 
-def _design_columns(frame: DataFrame, model: Fit, keep: list[str], seed: int) -> DataFrame:
-    x = [F.col(f"`{t}`").cast("double").alias(f"__x{i}") for i, t in enumerate(model.formula.terms)]
-    return frame.select(*keep, F.xxhash64(F.lit(seed), *keep).alias("__key"), *x)
+def with_level_effects(frame: DataFrame, model: Fit, effects: DataFrame | None, name: str = "__offset") -> DataFrame:
+    """``frame`` with the sum of its rows' level effects. Every factor is one equi-join on its levels."""
+    out = frame.withColumn(name, F.lit(0.0))
+    for g in model.formula.group_names if effects is not None else []:
+        levels = effects.where(F.col("grp") == g).select(F.col("level").alias("__level"), F.col("estimate").alias("__effect"))
+        out = match_join(out.withColumn("__level", F.col(f"`{g}`").cast("string")), levels, ["__level"], "left")
+        out = out.withColumn(name, F.col(name) + F.coalesce("__effect", F.lit(0.0))).drop("__level", "__effect")
+    return out
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt evenly over all tasks.
+def _rows(frame: DataFrame, model: Fit, effects: DataFrame | None, n_draws: int, keep: list[str], more: dict[str, Column], trials: str | None, key: list[str]) -> DataFrame:
+    """Design columns, offset, key and trials of complete rows, dealt by the work they make.
 
     A row is small but costs thousands of draws, so partitions that are right by
-    size, or skewed, would leave most cores idle. The narrow shuffle is cheap
-    beside that work.
+    size would leave most cores idle; their number grows with rows and draws.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "__key")
-
-
-def _outcomes(eta: np.ndarray, keys: np.ndarray, model: Fit, noise: bool, seed: int, block: int = 0):
-    """Response per (row, draw); noise depends on row, block and seed only."""
-    if not noise:
-        return _expected(eta, model.family, model.scale)
-    y = np.empty_like(eta)
-    for i, key in enumerate(keys):
-        rng = np.random.Generator(np.random.Philox(key=[seed * 1_000_003 + block, int(key) & (2**64 - 1)]))
-        y[i] = _simulated(eta[i], model.family, model.scale, rng)
-    return y
+    x = [F.col(f"`{t}`").cast("double").alias(f"__x{i}") for i, t in enumerate(model.formula.terms)]
+    held = with_level_effects(frame, model, effects)
+    for t in model.formula.terms:
+        held = held.where(F.col(f"`{t}`").isNotNull() & ~F.isnan(F.col(f"`{t}`").cast("double")))
+    size = F.lit(1.0) if trials is None else F.col(f"`{trials}`").cast("double")
+    rows = held.select(*keep, row_key(*key).alias("__key"), "__offset", size.alias("__trials"), *[c.alias(n) for n, c in more.items()], *x)
+    tasks = max(1, math.ceil(frame.count() * n_draws / TASK_VALUES))
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(tasks, least), "__key")
+
+
+def _chunks(batch: pa.RecordBatch, beta: np.ndarray, extra: list[str] = []):
+    """(slice, key, trials, linear predictor, extra columns) of parts of a batch."""
+    names = [f"__x{i}" for i in range(beta.shape[1] - 1)]
+    table = to_matrix(batch, ["__offset", "__trials", *names, *extra])
+    keys = batch.column("__key").to_numpy()
+    size = max(1, CHUNK_VALUES // max(1, len(beta)))
+    for start in range(0, len(table), size):
+        part = slice(start, start + size)
+        rows = table[part]
+        x = np.column_stack([np.ones(len(rows)), rows[:, 2 : 2 + len(names)]])
+        yield part, keys[part], rows[:, 1], x @ beta.T + rows[:, :1], rows[:, 2 + len(names) :]
 
 
 def predict(
     frame: DataFrame,
-    model: Fit,
+    model: Fit | ZeroOneFit,
     draws: DataFrame,
     noise: bool = True,
     keep: tuple[str, ...] = ("row_id",),
     seed: int = 1,
+    effects: DataFrame | None = None,
+    trials: str | None = None,
+    key: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Mean, deviation and 95 % bounds over draws for every row.
+    """Mean, deviation and 95 % bounds over draws for every row with all predictors.
 
     With ``noise`` the outcome itself is drawn, without it the expected response.
-    The draws go to the tasks as one checked matrix; beyond that size they are
-    joined in blocks and the bounds found by exact distributed quantiles.
+    ``effects`` are level effects as ``model_intercepts`` gives them, ``trials`` the
+    denominators of a binomial response, ``key`` the columns that identify a row for
+    its noise (``keep`` unless given).
     """
+    fitted, response = _parts(model)
+    numbers, beta = draw_matrix(draws, fitted)
+    shared = frame.sparkSession.sparkContext.broadcast((numbers, beta))
     keep = list(keep)
-    if slices_needed(draws, model) > 1:
-        return _predict_blocks(frame, model, draws, noise, keep, seed)
-    matrix = frame.sparkSession.sparkContext.broadcast(draw_matrix(draws, model)[1])
-    rows = _spread(_design_columns(frame, model, keep, seed))
-    names = [f"__x{i}" for i in range(len(model.formula.terms))]
+    rows = _rows(frame, fitted, effects, len(numbers), keep, {}, trials, list(key or keep))
 
     def run(batches):
-        beta = matrix.value.T
+        numbers, beta = shared.value
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), *[batch[n].to_numpy() for n in names]])
-            keys = batch["__key"].to_numpy()
-            out = np.empty((len(batch), 4))
-            for start in range(0, len(batch), ROWS_PER_CHUNK):
-                part = slice(start, start + ROWS_PER_CHUNK)
-                y = _outcomes(x[part] @ beta, keys[part], model, noise, seed)
-                out[part, 0] = y.mean(axis=1)
-                out[part, 1] = y.std(axis=1, ddof=1)
-                out[part, 2:] = np.quantile(y, [0.025, 0.975], axis=1).T
-            yield pd.concat(
-                [batch[keep].reset_index(drop=True), pd.DataFrame(out, columns=list(SUMMARY))], axis=1
-            )
-
-    schema = T.StructType(
-        [rows.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in SUMMARY]
-    )
-    return rows.mapInPandas(run, schema)
+            out = np.empty((4, batch.num_rows))
+            for part, keys, sizes, eta, _ in _chunks(batch, beta):
+                y = response.simulated(eta, keys, numbers, seed, sizes) if noise else response.expected(eta)
+                out[0, part] = y.mean(axis=1)
+                out[1, part] = y.std(axis=1, ddof=1)
+                out[2:, part] = np.quantile(y, [0.025, 0.975], axis=1, overwrite_input=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c) for c in out]], [*keep, *SUMMARY])
 
-
-def _predict_blocks(
-    frame: DataFrame, model: Fit, draws: DataFrame, noise: bool, keep: list[str], seed: int
-) -> DataFrame:
-    spark = frame.sparkSession
-    blocks = math.ceil(draws.count() / DRAWS_PER_BLOCK)
-    # There are few blocks of draws, so each is copied to many salts; a row takes
-    # the salt of its own hash, and no task gets all rows of a block.
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    beta = [F.col(f"`{t}`").cast("double") for t in model.term_names]
-    drawn = (
-        draws.groupBy(F.pmod("draw", F.lit(blocks)).alias("__block"))
-        .agg(F.collect_list(F.array(*beta)).alias("__beta"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    rows = _design_columns(frame, model, keep, seed)
-    work = (
-        rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("__salt", F.pmod("__key", F.lit(salts)))
-        .join(drawn, ["__block", "__salt"])
-    )
-    names = [f"__x{i}" for i in range(len(model.formula.terms))]
-
-    def run(batches):
-        for batch in batches:
-            for _, row in batch.iterrows():
-                x = np.array([1.0, *[row[n] for n in names]])
-                beta = np.array([list(b) for b in row["__beta"]])
-                eta = (beta @ x)[None, :]
-                y = _outcomes(eta, np.array([row["__key"]]), model, noise, seed, int(row["__block"]))[0]
-                yield pd.DataFrame({**{c: [row[c]] * len(y) for c in keep}, "y": y})
-
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("y", T.DoubleType())])
-    long = pin(work.mapInPandas(run, schema))
-    moments = long.groupBy(*keep).agg(F.avg("y").alias("estimate"), F.stddev_samp("y").alias("est_error"))
-    bounds = quantiles(long, keep, "y", {"q2_5": 0.025, "q97_5": 0.975})
-    return match_join(moments, bounds, keep, "inner")
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in SUMMARY])
+    return rows.mapInArrow(run, schema)
 
 
 def residuals(
-    frame: DataFrame, model: Fit, draws: DataFrame, keep: tuple[str, ...] = ("row_id",)
+    frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, keep: tuple[str, ...] = ("row_id",), effects: DataFrame | None = None
 ) -> DataFrame:
     """Observed minus expected response, summarised over draws."""
-    y = model.formula.response
-    fitted = predict(frame, model, draws, noise=False, keep=(*dict.fromkeys([*keep, y]),))
+    y = _parts(model)[0].formula.response
+    fitted = predict(frame, model, draws, noise=False, keep=(*dict.fromkeys([*keep, y]),), effects=effects)
     return fitted.select(
         *keep,
         (F.col(y) - F.col("estimate")).alias("estimate"),
@@ -186,54 +210,76 @@ def mean_residual(frame: DataFrame, model: Fit, name: str = "residual") -> DataF
     return frame.withColumn(name, F.col(model.formula.response) - model.mean())
 
 
-def bayes_r2(frame: DataFrame, model: Fit, draws: DataFrame) -> DataFrame:
-    """Per draw: var(expected) / (var(expected) + var(residual)).
-
-    Draws are independent of each other here, so too many for one matrix are
-    taken in several passes.
-    """
-    slices = slices_needed(draws, model)
-    if slices > 1:
-        parts = [draws.where(F.pmod("draw", F.lit(slices)) == i) for i in range(slices)]
-        return reduce(DataFrame.unionByName, [bayes_r2(frame, model, part) for part in parts])
-    numbers, beta = draw_matrix(draws, model)
-    matrix = frame.sparkSession.sparkContext.broadcast(beta)
-    names = [f"x{i}" for i in range(len(model.formula.terms))]
-    x = [F.col(f"`{t}`").cast("double").alias(n) for t, n in zip(model.formula.terms, names)]
-    y = F.col(model.formula.response).cast("double").alias("y")
-    data = frame.select(y, *x, F.xxhash64("row_id").alias("__key"))
+def bayes_r2(frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effects: DataFrame | None = None) -> DataFrame:
+    """Per draw: var(expected) / (var(expected) + var(residual)) over the complete rows."""
+    fitted, response = _parts(model)
+    numbers, beta = draw_matrix(draws, fitted)
+    spark = frame.sparkSession
+    shared = spark.sparkContext.broadcast(beta)
+    known = complete(frame, fitted.formula)
+    y = F.col(fitted.formula.response).cast("double")
     # Variances do not depend on a shift; this one keeps the squares small.
-    centre = data.agg(F.avg("y")).first()[0]
+    centre = known.agg(F.avg(y)).first()[0] or 0.0
+    data = _rows(known, fitted, effects, len(numbers), [], {"__y": y}, None, ["row_id"])
 
     def part(batch):
-        table = to_matrix(batch, ["y", *names])
-        for start in range(0, len(table), ROWS_PER_CHUNK):
-            rows = table[start:start + ROWS_PER_CHUNK]
-            eta = np.column_stack([np.ones(len(rows)), rows[:, 1:]]) @ matrix.value.T
-            mu = _expected(eta, model.family, model.scale)
-            error = rows[:, :1] - mu
+        for _, _, _, eta, more in _chunks(batch, shared.value, ["__y"]):
+            mu = response.expected(eta)
+            error = more - mu
             mu = mu - centre
-            sums = [mu.sum(0), (mu * mu).sum(0), error.sum(0), (error * error).sum(0)]
-            yield 0, np.append(np.concatenate(sums), len(rows))
+            for k, sums in enumerate((mu.sum(0), (mu * mu).sum(0), error.sum(0), (error * error).sum(0), np.full(len(mu[0]), len(mu)))):
+                yield k, sums
+
+    sums = batch_sums(data, part).groupBy("pos").pivot("grp", [0, 1, 2, 3, 4]).agg(F.first("total"))
+    n = F.col("4")
+    fitted_ss, error_ss = F.col("1") - F.col("0") * F.col("0") / n, F.col("3") - F.col("2") * F.col("2") / n
+    names = spark.createDataFrame(pa.table({"pos": pa.array(np.arange(len(numbers), dtype=np.int32)), "draw": pa.array(numbers.astype(np.int32))}))
+    return sums.join(names, "pos").select("draw", F.try_divide(fitted_ss, fitted_ss + error_ss).alias("r2"))
+
+
+def pointwise_fit(
+    frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effects: DataFrame | None = None, trials: str | None = None
+) -> DataFrame:
+    """Predictive fit of every complete row over the draws: ``lppd``, ``p_waic``, ``elpd``, ``waic``, ``elpd_loo``.
+
+    The leave-one-out density weighs a draw by 1/density, cut at sqrt(draws) times the
+    mean weight. Densities never leave the task; extremes are taken out before exponentials.
+    """
+    fitted, response = _parts(model)
+    numbers, beta = draw_matrix(draws, fitted)
+    shared = frame.sparkSession.sparkContext.broadcast(beta)
+    known = complete(frame, fitted.formula)
+    y = F.col(fitted.formula.response).cast("double")
+    data = _rows(known, fitted, effects, len(numbers), ["row_id"], {"__y": y}, trials, ["row_id"])
+    names = ("lppd", "p_waic", "elpd", "waic", "elpd_loo")
+
+    def run(batches):
+        for batch in batches:
+            out = np.empty((5, batch.num_rows))
+            for part, _, sizes, eta, more in _chunks(batch, shared.value, ["__y"]):
+                ll = response.log_density(more, eta, sizes)
+                top, low = ll.max(1, keepdims=True), ll.min(1, keepdims=True)
+                lppd = top[:, 0] + np.log(np.exp(ll - top).mean(1))
+                spread = ll.var(1, ddof=1)
+                weight = np.exp(low - ll)
+                weight = np.minimum(weight, math.sqrt(ll.shape[1]) * weight.mean(1, keepdims=True))
+                loo = top[:, 0] + np.log((weight * np.exp(ll - top)).sum(1) / weight.sum(1))
+                out[:, part] = lppd, spread, lppd - spread, -2.0 * (lppd - spread), loo
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *[pa.array(c) for c in out]], ["row_id", *names])
 
-    d = len(beta)
-    total = collect_vectors(batch_sums(_spread(data), part), 4 * d + 1)[0]
-    n = total[-1]
-    s = total[:-1].reshape(4, d)
-    fitted = s[1] - s[0] ** 2 / n
-    error = s[3] - s[2] ** 2 / n
-    rows = [(int(k), float(v)) for k, v in zip(numbers, fitted / (fitted + error))]
-    return frame.sparkSession.createDataFrame(rows, "draw int, r2 double")
+    return data.mapInArrow(run, T.StructType([data.schema["row_id"]] + [T.StructField(c, T.DoubleType()) for c in names]))
 
 
 def predictive_check(
     frame: DataFrame,
-    model: Fit,
+    model: Fit | ZeroOneFit,
     draws: DataFrame,
     nsamples: int = 100,
     bins: int = 30,
     log_scale: bool = False,
     seed: int = 1,
+    effects: DataFrame | None = None,
+    trials: str | None = None,
 ) -> DataFrame:
     """Histogram of the response (draw 0) and of ``nsamples`` simulated responses.
 
@@ -241,16 +287,17 @@ def predictive_check(
     and the last bin hold what falls outside, so every histogram counts all rows.
     """
     spark = frame.sparkSession
-    chosen = draws.orderBy(F.xxhash64("draw", F.lit(seed))).limit(nsamples)
-    _, beta = draw_matrix(chosen, model)
-    y = F.col(model.formula.response).cast("double")
-    span = frame.agg(F.min(y), F.max(y)).first()
+    fitted, response = _parts(model)
+    chosen = draws.orderBy(mix_column(F.col("draw").cast("long").bitwiseXOR(F.lit(salt(9, seed)).cast("long"))), "draw").limit(nsamples)
+    numbers, beta = draw_matrix(chosen, fitted)
+    known = complete(frame, fitted.formula)
+    y = F.col(fitted.formula.response).cast("double")
+    span = known.agg(F.min(y), F.max(y)).first()
     low, high = (math.log(v) if log_scale else float(v) for v in span)
     edges = np.linspace(low, high, bins + 1)
     edges[-1] = np.nextafter(edges[-1], np.inf)
-    matrix = spark.sparkContext.broadcast(beta)
-    names = [f"__x{i}" for i in range(len(model.formula.terms))]
-    data = _spread(_design_columns(frame.withColumn("__y", y), model, ["row_id", "__y"], seed))
+    shared = spark.sparkContext.broadcast((numbers, beta))
+    data = _rows(known, fitted, effects, len(numbers), [], {"__y": y}, trials, ["row_id"])
 
     def place(values):
         with np.errstate(divide="ignore"):
@@ -258,13 +305,10 @@ def predictive_check(
         return np.searchsorted(edges, values, side="right")
 
     def part(batch):
-        table = to_matrix(batch, ["__y", *names])
-        keys = batch.column("__key").to_numpy()
-        for start in range(0, len(table), ROWS_PER_CHUNK):
-            rows, key = table[start:start + ROWS_PER_CHUNK], keys[start:start + ROWS_PER_CHUNK]
-            yield 0, np.bincount(place(rows[:, 0]), minlength=bins + 2)
-            eta = np.column_stack([np.ones(len(rows)), rows[:, 1:]]) @ matrix.value.T
-            simulated = place(_outcomes(eta, key, model, True, seed))
+        numbers, beta = shared.value
+        for _, keys, sizes, eta, more in _chunks(batch, beta, ["__y"]):
+            yield 0, np.bincount(place(more[:, 0]), minlength=bins + 2)
+            simulated = place(response.simulated(eta, keys, numbers, seed, sizes))
             for k in range(simulated.shape[1]):
                 yield k + 1, np.bincount(simulated[:, k], minlength=bins + 2)
 
@@ -284,18 +328,19 @@ def predictive_check(
 
 def conditional_effect(
     frame: DataFrame,
-    model: Fit,
+    model: Fit | ZeroOneFit,
     draws: DataFrame,
     predictor: str,
     points: int = 100,
     by: str | None = None,
 ) -> DataFrame:
-    """Expected response along one predictor, the others held at their mean.
+    """Expected response along one predictor, the others held at their mean, levels at zero.
 
     ``by`` adds curves at one deviation below, at, and above the mean of a
     second predictor, which shows an interaction.
     """
-    main = list(model.formula.main)
+    formula = _parts(model)[0].formula
+    main = list(formula.main)
     wanted = [F.avg(c).alias(f"m_{c}") for c in main] + [
         F.min(predictor).alias("low"), F.max(predictor).alias("high")
     ]
@@ -312,9 +357,6 @@ def conditional_effect(
         levels = [float(at[f"m_{by}"] + k * at["sd"]) for k in (-1, 0, 1)]
         grid = grid.withColumn(by, F.explode(F.array(*[F.lit(v) for v in levels])))
         keep.append(by)
-    products = {
-        model.formula.interaction_name((a, b)): F.col(a) * F.col(b)
-        for a, b in model.formula.interactions
-    }
+    products = {formula.interaction_name((a, b)): F.col(a) * F.col(b) for a, b in formula.interactions}
     grid = grid.withColumns(products) if products else grid
     return predict(grid, model, draws, noise=False, keep=tuple(keep))

@@ -159,10 +159,9 @@ best AS (SELECT * FROM spans
 mid AS (SELECT terms, quantile_cont(value, 0.5) AS median FROM lng GROUP BY terms),
 ivl AS (SELECT best.terms, width, median, lower, upper FROM best JOIN mid ON best.terms = mid.terms)"""
 RHAT = """
-len AS (SELECT max(iteration) AS n FROM lng),
-halves AS (SELECT terms, chain,
-                  CASE WHEN iteration <= floor(n / 2.0) THEN 1 WHEN iteration > ceil(n / 2.0) THEN 2 END AS half,
-                  value FROM lng, len),
+halves AS (SELECT terms, chain, value, CASE WHEN k <= floor(n / 2.0) THEN 1 WHEN k > ceil(n / 2.0) THEN 2 END AS half
+           FROM (SELECT *, row_number() OVER (PARTITION BY terms, chain ORDER BY iteration) AS k,
+                        count(*) OVER (PARTITION BY terms, chain) AS n FROM lng) ranks),
 hs AS (SELECT terms, avg(value) AS m, var_samp(value) AS v, count(*) AS n
        FROM halves WHERE half IS NOT NULL GROUP BY terms, chain, half),
 rh AS (SELECT terms, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / nullif(avg(v), 0)) AS rhat

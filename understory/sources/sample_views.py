@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _AREA = "CAST(100.0 + 12.5 * (c_nationkey % 8) AS DOUBLE)"
 _LON = "CAST(-160.0 + (c_acctbal + 1000.0) / 2200.0 AS DOUBLE)"
-_LAT = "CAST(18.9 + 0.03 * (c_custkey % 97) AS DOUBLE)"
+_LAT = (
+    "CAST(CASE WHEN c_custkey % 499 = 7 THEN -60 + 0.5 * (floor(c_custkey / 499) % 200) "
+    "ELSE 18.9 + 0.03 * (c_custkey % 97) END AS DOUBLE)"
+)
 
 VIEWS = {
     # Plots are orders, species are brand and type. Some abundances are zero or
@@ -95,11 +98,12 @@ VIEWS = {
               FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
               GROUP BY 1, 2) t
           ON g.PlotID = t.PlotID AND g.PDmeasure = t.PDmeasure""",
-    # One row per order with three numeric and one binary predictor.
+    # One row per order with three numeric and one binary predictor. The response
+    # differs by area and by plot; some plots lie far from all others.
     "obs": f"""
         SELECT o_orderkey AS row_id,
                CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS PresAbs,
-               o_totalprice / 500500 AS y,
+               o_totalprice / 500500 * (0.4 + 0.05 * (c_nationkey % 8)) * (0.5 + 0.04 * (c_custkey % 13)) AS y,
                CASE WHEN cents < 2 * lines THEN CAST(0 AS DOUBLE)
                     WHEN cents > 8 * lines THEN CAST(1 AS DOUBLE)
                     ELSE o_totalprice / 500500 END AS y01,
@@ -119,16 +123,16 @@ VIEWS = {
               FROM {{lineitem}} GROUP BY l_orderkey) q ON o_orderkey = l_orderkey
         JOIN {{customer}} ON o_custkey = c_custkey
         JOIN {{nation}} ON c_nationkey = n_nationkey""",
-    # One draw per order, four chains of equal length; orders without lines
-    # leave two terms missing.
+    # One draw per order, four chains numbered from 2501 on as after a warm-up;
+    # orders without lines leave two terms missing.
     "draws_wide": """
         SELECT CAST(o_orderkey % 4 + 1 AS INT) AS chain,
-               CAST(floor(o_orderkey / 4) + 1 AS INT) AS iteration,
+               CAST(floor(o_orderkey / 4) + 2501 AS INT) AS iteration,
                CAST(o_orderkey + 1 AS INT) AS draw,
                o_totalprice / 100000 - 2.5 AS `b_Intercept`,
                (q - 25) / 10 AS `b_AridInds`,
                CAST(dayofyear(o_orderdate) - 120 AS DOUBLE) / 100 AS `b_MATs`,
-               o_totalprice / 250000 - 0.02 AS `b_HIIs`,
+               CAST(o_custkey % 101 AS DOUBLE) / 25 - 1.6 AS `b_HIIs`,
                CAST(month(o_orderdate) AS DOUBLE) / 4 AS `b_MATs:PD_stands`,
                (d - 0.05) * 20 AS `b_HIIs:PD_stands`
         FROM {orders}
