@@ -73,9 +73,10 @@ def test_edge_rows(spark, library):
     rows = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (None, "Hello, world", None), (4, long, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, `ids` string").withColumnRenamed("ids", "decoded")
     got = bpe.tokenize(df, PATH).collect()
-    assert len(got) == 5 and set(got[0].asDict()) == {"doc_id", "text", "ids", "decoded"}
+    assert len(got) == 5 and set(got[0].asDict()) == {"doc_id", "text", "ids", "packed", "decoded"}
     for r in got:
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert bytes(r["packed"]) == np.array(ids, "<u4").tobytes()
         assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 SCAN_PARTS = 128
 NO_RANK = 1 << 60
 
@@ -210,38 +210,34 @@ def decoder(spark: SparkSession, path: str):
 
 
 def coder(spark: SparkSession, path: str):
-    """Function of a text column that gives ``ids`` and what they decode to, ``decoded``, in one pass."""
+    """Function of a text column that gives ``ids``, the same as little-endian unsigned 32-bit
+    integers in ``packed``, and what they decode to, ``decoded``: one pass through one worker."""
     key, content = load(spark, path)
+    kinds = (("ids", T.ArrayType(T.IntegerType())), ("packed", T.BinaryType()), ("decoded", T.StringType()))
 
-    @F.arrow_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType()))
+    @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in kinds]))
     def code(texts: pa.Array) -> pa.Array:
         words = words_of(key, content)
         ids = _encode(texts, words)
-        return pa.StructArray.from_arrays([ids, _decode(ids, words.vocabulary.tokens)], ["ids", "decoded"])
+        ends = pa.array(ids.offsets.to_numpy() * 4, pa.int32())
+        packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, ends.buffers()[1], ids.values.buffers()[1]])
+        return pa.StructArray.from_arrays([ids, packed, _decode(ids, words.vocabulary.tokens)], [n for n, _ in kinds])
 
     return code
 
 
-@F.arrow_udf(T.StringType())
-def ids_digest(ids: pa.Array) -> pa.Array:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-    return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
-
-
-def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the token ids of each whole text, and the text that they decode to.
+def tokenize(docs: DataFrame, path: str, text: str = "text", out: tuple[str, str, str] = ("ids", "packed", "decoded")) -> DataFrame:
+    """``docs`` with the token ids of each whole text, the same packed in bytes, and the text that they decode to.
 
     Nothing is shuffled. Null and empty texts have no ids and decode to empty text;
     repeated rows get equal results; an empty table stays empty. Columns of ``docs``
     named as the outputs are replaced, other columns stay as they are.
     """
-    spark = docs.sparkSession
-    if text in (ids, decoded):
-        raise ValueError("the outputs need names other than the text's")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids, decoded)])
-    coded = docs.select(row.alias("_row"), coder(spark, path)(F.col(f"`{text}`")).alias("_coded"))
-    return coded.select("_row.*", F.col("_coded.ids").alias(ids), F.col("_coded.decoded").alias(decoded))
+    if text in out or len(set(out)) < 3:
+        raise ValueError("the outputs need three names other than the text's")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
+    coded = docs.select(row.alias("_row"), coder(docs.sparkSession, path)(F.col(f"`{text}`")).alias("_coded"))
+    return coded.select("_row.*", *[F.col(f"_coded.{n}").alias(c) for n, c in zip(("ids", "packed", "decoded"), out)])
 
 
 def n_tokens(ids: Column) -> Column:
