@@ -43,7 +43,7 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of an Arrow batch. Texts may be long, and a worker holds its batch and what becomes of it.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"
 
 
 def ship_package(spark: SparkSession) -> None:
