@@ -397,7 +397,7 @@ def fit_roundtrip(spark, sf_dir):
         {
             "frame": frame,
             "terms": model.terms(spark),
-            "draws": fit.fixed_effect_draws(spark, model, n=400),
+            "draws": fit.fixed_effect_draws(spark, model),
         },
         path,
     )
@@ -412,7 +412,7 @@ def first_terms(spark, sf_dir):
 
 
 def approx_draws(spark, sf_dir):
-    return fit.fixed_effect_draws(spark, fit.fit(obs(spark, sf_dir), TWO_TERMS, "lognormal"))
+    return rounded(fit.fixed_effect_draws(spark, fit.fit(obs(spark, sf_dir), ONE_TERM, "lognormal")))
 
 
 def kfold_points(spark, sf_dir):
@@ -472,18 +472,32 @@ def crossed_intercepts(spark, sf_dir):
 # Predictions ---------------------------------------------------------------
 
 
-def fitted_model(spark, sf_dir, family="lognormal"):
-    frame = design(obs(spark, sf_dir), THREE_TERMS)
-    model = fit.fit(frame, THREE_TERMS, family)
-    return frame, model, fit.fixed_effect_draws(spark, model, n=1000)
+AREA_LINE = Formula("y", ("x1",), (), (("Plot_Area2",),))
+
+
+def line_model(spark, sf_dir, family="lognormal"):
+    """A line with area effects: frame, model, 8,000 draws, level effects."""
+    frame = design(obs(spark, sf_dir), AREA_LINE)
+    model = fit.fit(frame, AREA_LINE, family)
+    return frame, model, fit.fixed_effect_draws(spark, model), groups.model_intercepts(frame, model)
 
 
 def predict_rows(spark, sf_dir):
-    return predict.predict(*fitted_model(spark, sf_dir))
+    frame, model, drawn, effects = line_model(spark, sf_dir)
+    return rounded(predict.predict(frame, model, drawn, effects=effects), 4)
 
 
 def residual_summary(spark, sf_dir):
-    return predict.residuals(*fitted_model(spark, sf_dir, "beta"))
+    frame, model, drawn, effects = line_model(spark, sf_dir, "gaussian")
+    return rounded(predict.residuals(frame, model, drawn, effects=effects), 4)
+
+
+def crossed_predictions(spark, sf_dir):
+    """Predictions of a model with an interaction and four grouping factors."""
+    frame = design(obs(spark, sf_dir), THREE_TERMS)
+    model = fit.fit(frame, THREE_TERMS, "beta")
+    effects = groups.model_intercepts(frame, model)
+    return predict.predict(frame, model, fit.fixed_effect_draws(spark, model), effects=effects)
 
 
 def residual_mean(spark, sf_dir):
@@ -493,15 +507,26 @@ def residual_mean(spark, sf_dir):
 
 
 def bayes_r2(spark, sf_dir):
-    return draws.value_summary(predict.bayes_r2(*fitted_model(spark, sf_dir, "beta")), [], "r2")
+    frame, model, drawn, effects = line_model(spark, sf_dir, "gaussian")
+    return rounded(draws.value_summary(predict.bayes_r2(frame, model, drawn, effects), [], "r2"), 4)
 
 
 def conditional_grid(spark, sf_dir):
-    return predict.conditional_effect(*fitted_model(spark, sf_dir, "beta"), "x1", by="x2")
+    frame, model, drawn, _ = line_model(spark, sf_dir)
+    table = predict.conditional_effect(frame, model, drawn, "x1")
+    nearest = lambda c, digits: (F.floor(F.col(c) * 10.0**digits + 0.5) / 10.0**digits).alias(c)
+    return table.select(nearest("x1", 6), *[nearest(c, 4) for c in predict.SUMMARY])
 
 
 def ppc_bins(spark, sf_dir):
-    return predict.predictive_check(*fitted_model(spark, sf_dir), log_scale=True)
+    frame, model, drawn, effects = line_model(spark, sf_dir)
+    return rounded(predict.predictive_check(frame, model, drawn, log_scale=True, effects=effects))
+
+
+def fit_predictive(spark, sf_dir):
+    """Predictive fit of every row from a fit and its draws."""
+    frame, model, drawn, effects = line_model(spark, sf_dir)
+    return rounded(predict.pointwise_fit(frame, model, drawn, effects), 5)
 
 
 # Accuracy and precision by plot size ---------------------------------------
@@ -548,36 +573,79 @@ def scale_table(spark, sf_dir):
 
 def accuracy_from_draws(spark, sf_dir):
     """Accuracy by area from simulated outcomes instead of the point estimate."""
-    frame, model, drawn = fitted_model(spark, sf_dir)
-    paired = accuracy.pair_with_frame(predict.predict(frame, model, drawn), frame)
-    return accuracy.accuracy_by_area(paired, accuracy.abundance_accuracy("y"))
+    frame, model, drawn, effects = line_model(spark, sf_dir)
+    paired = accuracy.pair_with_frame(predict.predict(frame, model, drawn, effects=effects), frame)
+    return rounded(accuracy.accuracy_by_area(paired, accuracy.abundance_accuracy("y")), 4)
 
 
 # Whole analyses ------------------------------------------------------------
 
 
+def share_fits(spark, sf_dir):
+    return plot_share.run(plot_species(spark, sf_dir), view(spark, sf_dir, "env_raw"), scratch_path(spark, "share"))
+
+
 def share_models(spark, sf_dir):
-    """Terms of the share model refitted with the spatial autocovariate."""
-    results = plot_share.run(
-        plot_species(spark, sf_dir), view(spark, sf_dir, "env_raw"), scratch_path(spark, "share"), n_draws=1000
-    )
-    return results["spatial_terms"]
+    """Terms of the share models of richness and abundance, and of the latter with the spatial autocovariate."""
+    return plot_share.all_terms(share_fits(spark, sf_dir))
+
+
+def share_r2(spark, sf_dir):
+    """Explained variance of the three share models over all draws."""
+    parts = [draws.value_summary(s.r2(), [], "r2").withColumn("model", F.lit(n)) for n, s in share_fits(spark, sf_dir).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def share_effects(spark, sf_dir):
+    """Level effects of the three share models."""
+    parts = [s.effects.withColumn("model", F.lit(n)) for n, s in share_fits(spark, sf_dir).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def share_check(spark, sf_dir):
+    """Simulated against observed shares of the zero-one model."""
+    return share_fits(spark, sf_dir)["spatial"].check()
+
+
+def share_predictive(spark, sf_dir):
+    """Predictive fit of every plot under the abundance model."""
+    return share_fits(spark, sf_dir)["abundance"].predictive_fit()
 
 
 def reduced_presence(spark, sf_dir):
     """Terms left after two rounds of dropping interactions."""
-    return species_model.run_presence(
-        view(spark, sf_dir, "local"), scratch_path(spark, "presence"), n_draws=1000
-    )["terms"]
+    return species_model.run_presence(view(spark, sf_dir, "local"), scratch_path(spark, "presence"))["terms"]
+
+
+def reduced_presence_no_island(spark, sf_dir):
+    """The same without the islands as levels."""
+    folder = scratch_path(spark, "presence")
+    return species_model.run_presence(view(spark, sf_dir, "local"), folder, islands=False)["terms"]
+
+
+def abundance_terms(spark, sf_dir):
+    """Terms of the relative abundance model after its weak interactions went."""
+    return species_model.run_abundance(view(spark, sf_dir, "local"), scratch_path(spark, "abundance"))["terms"]
+
+
+def abundance_families(spark, sf_dir):
+    """Beta against lognormal relative abundance, with the rows that either family leaves out."""
+    results = species_model.run_abundance(view(spark, sf_dir, "local"), scratch_path(spark, "abundance"))
+    return results["comparison"].crossJoin(results["left_out"])  # one row each
 
 
 def presence_scale(spark, sf_dir):
     """Accuracy and precision by plot area of the reduced presence model."""
     rows = species_model.prepare_species(view(spark, sf_dir, "local"), scratch_path(spark, "species"))
-    model, frame, drawn = species_model.fit_and_reduce(rows, models.PRESENCE_FINAL, n_draws=500)
+    model, frame, drawn = species_model.fit_and_reduce(rows, models.PRESENCE_FINAL)
     return plot_scale.size_table(model, frame, drawn)
 
 
+def species_and_tips(spark, sf_dir):
+    """Whether the species of the plots are the tips of the model table."""
+    return prepare.label_overlap(plot_species(spark, sf_dir), "SPP_CODE3A", view(spark, sf_dir, "local"), "tip_label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries by name."""
     registered = [
@@ -592,10 +660,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tree_log_det, scaled_vcv, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
         binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,
-        shrunk_intercepts, crossed_intercepts, predict_rows, residual_summary, residual_mean,
+        shrunk_intercepts, crossed_intercepts, predict_rows, crossed_predictions, residual_summary, residual_mean,
+        fit_predictive,
         bayes_r2, conditional_grid, ppc_bins, accuracy_by_area, relative_error_by_area,
-        precision_by_area, scale_table, accuracy_from_draws, share_models, reduced_presence,
-        presence_scale,
+        precision_by_area, scale_table, accuracy_from_draws, share_models, share_r2, share_effects,
+        share_check, share_predictive, reduced_presence, reduced_presence_no_island, abundance_terms,
+        abundance_families, presence_scale, species_and_tips,
     ]
     found = {f.__name__: f for f in registered} | {n: f for part in _parts() for n, f in part.queries().items()}
     return {name: _shipped(f) for name, f in found.items()}

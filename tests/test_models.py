@@ -322,9 +322,13 @@ def test_plot_share_analysis(spark, folder, tmp_path):
     results = plot_share.run(
         view(spark, folder, "plot_species"), view(spark, folder, "env_raw"), str(tmp_path), n_draws=200
     )
-    assert [r["terms"] for r in results["spatial_terms"].orderBy("pos").collect()][-1] == "b_rac"
-    assert results["abundance_intercepts"].select("grp").distinct().count() == 2
-    assert results["richness_r2"].where("r2 between 0 and 1").count() == 200
+    terms = plot_share.all_terms(results).collect()
+    assert [r["terms"] for r in terms if r["model"] == "spatial"][-1] == "b_rac" and len(terms) == 5 + 5 + 6
+    assert results["abundance"].effects.select("grp").distinct().count() == 2
+    for share in results.values():
+        assert share.r2().where("r2 between 0 and 1").count() == 200
+    assert results["spatial"].check(10).select("draw").distinct().count() == 11
+    assert results["richness"].predictive_fit().where("isnan(elpd_loo)").count() == 0
 
 
 def test_species_analysis_and_scale_table(spark, folder, tmp_path):
@@ -332,6 +336,8 @@ def test_species_analysis_and_scale_table(spark, folder, tmp_path):
     results = species_model.run_abundance(local, str(tmp_path), n_draws=200)
     assert results["inflation"].count() == 24 and results["correlations"].count() == 28
     assert results["comparison"].first()["se_diff"] > 0
+    assert results["left_out"].first()["not_below_one"] >= 0 and results["terms"].count() >= 9
+    assert species_model.run_presence(local, f"{tmp_path}/none", n_draws=200, islands=False)["terms"].count() >= 9
     rows = species_model.prepare_species(local, f"{tmp_path}/rows")
     fitted_model, frame, drawn = species_model.fit_and_reduce(rows, models.PRESENCE_FULL, n_draws=200)
     table = plot_scale.size_table(fitted_model, frame, drawn).collect()

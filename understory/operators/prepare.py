@@ -244,3 +244,15 @@ def model_frame(df: DataFrame, columns: list[str], row_id: str = "row_id") -> Da
     """Columns of a model, complete rows only, with the row identity kept."""
     names = [row_id] + [c for c in dict.fromkeys(columns) if c != row_id]
     return complete_cases(df.select(*names))
+
+
+def label_overlap(a: DataFrame, column_a: str, b: DataFrame, column_b: str) -> DataFrame:
+    """How many distinct labels two tables have: only the first, only the second, both, and whether the sets are equal."""
+    left = a.select(F.col(column_a).alias("label")).where("label is not null").distinct().withColumn("in_a", F.lit(1))
+    right = b.select(F.col(column_b).alias("label")).where("label is not null").distinct().withColumn("in_b", F.lit(1))
+    both = left.join(right, "label", "full")
+    counts = both.agg(
+        F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"),
+        F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("shared"),
+    )
+    return counts.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))

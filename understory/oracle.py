@@ -7,8 +7,10 @@ sorting every term, shared branches by walking the tree.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+from understory.functions.noise import MASK, mix_sql, normal_sql, row_key_sql, salt
 from understory.sources.sample_views import view_sql
 
 EARTH_KM = 6371.0088
@@ -254,11 +256,11 @@ def kfold_sql(predictor: str) -> str:
     ON o.row_id % 10 = m.fold"""
 
 
-def intercepts_sql(level: str) -> str:
+def intercepts_sql(level: str, response: str = "y") -> str:
     """One factor: variance components from mean squares, then shrunken level means."""
     return f"""
-    {OBS}, {LINE},
-    res AS (SELECT {level} AS level, y - b0 - b1 * x1 AS e FROM obs, line),
+    {OBS}, {LINE.replace('y', response)},
+    res AS (SELECT {level} AS level, {response} - b0 - b1 * x1 AS e FROM obs, line),
     lev AS (SELECT level, CAST(count(*) AS DOUBLE) AS n, avg(e) AS m, sum(power(e, 2)) - count(*) * power(avg(e), 2) AS ssw
             FROM res GROUP BY level),
     tot AS (SELECT sum(n) AS big_n, count(*) AS levels, sum(n * m) / sum(n) AS grand, sum(n * n) AS n2,
@@ -274,6 +276,41 @@ def intercepts_sql(level: str) -> str:
             FROM lev, bet)"""
 
 
+DRAWS = 8000
+# Draws of a line's two coefficients: the Cholesky root of their covariance times two normal deviates.
+LINE_DRAWS = f"""
+par AS (SELECT b0, b1, sqrt(rss / (n - 2)) AS sd, sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS s0,
+               sqrt(rss / (n - 2) / sxx) AS s1, -mx * rss / (n - 2) / sxx AS c01 FROM line),
+dr AS (SELECT draw, b0 + s0 * z0 AS d0, b1 + c01 / s0 * z0 + sqrt(s1 * s1 - c01 * c01 / (s0 * s0)) * z1 AS d1, {mix_sql('draw')} AS h
+       FROM par, (SELECT draw, {normal_sql('1::BIGINT', 'draw', 1)} AS z0, {normal_sql('2::BIGINT', 'draw', 1)} AS z1
+                  FROM (SELECT unnest(range(1, {DRAWS} + 1)) AS draw) k) z)"""
+# Rows with the effect of their area and the row's part of the noise.
+LINE_ROWS = f"""
+rw AS (SELECT row_id, Plot_Area2, x1, y, coalesce(estimate, 0) AS lev, {mix_sql(f'xor({row_key_sql("row_id")}, {salt(0, 1)}::BIGINT)')} AS h0,
+              {mix_sql(f'xor({row_key_sql("row_id")}, {salt(1, 1)}::BIGINT)')} AS h1
+       FROM obs LEFT JOIN eff ON obs.Plot_Area2 = eff.level)"""
+
+
+def _deviate(row: str, draw: str) -> str:
+    u = [f"(({mix_sql(f'xor({row}{k}, {draw})')}) + 0.5) / {MASK + 1}.0" for k in (0, 1)]
+    return f"(sqrt(-2.0 * ln({u[0]})) * cos({2.0 * math.pi!r} * {u[1]}))"
+
+
+def line_model(response: str) -> str:
+    """Line on x1 with area effects, its draws and its rows."""
+    return f"{intercepts_sql('Plot_Area2', response)}, {LINE_DRAWS}, {LINE_ROWS}"
+
+
+SIMULATED = f"exp(d0 + d1 * x1 + lev + sd * {_deviate('rw.h', 'dr.h')})"
+SUMMARY_4 = (
+    r("avg(v)", "estimate", 4) + ", " + r("stddev_samp(v)", "est_error", 4) + ", "
+    + r("quantile_cont(v, 0.025)", "q2_5", 4) + ", " + r("quantile_cont(v, 0.975)", "q97_5", 4)
+)
+# What the simulated outcomes of every row average to; only the mean is needed.
+DRAWN_ACCURACY = f"""
+pred AS (SELECT rw.Plot_Area2, (avg({SIMULATED}) - any_value(y)) / any_value(y) AS a FROM rw, dr, par GROUP BY row_id, rw.Plot_Area2)"""
+
+
 # Expansion of the 97.5 % t quantile in 1/df; exact to six places above 100 df.
 T_CRIT = (
     f"({Z_95} * (1 + ({Z_95**2} + 1) / (4.0 * (n - 1)) "
@@ -367,6 +404,13 @@ def oracle_sql() -> dict[str, str]:
             "count(DISTINCT SPP_CODE3A) + max(CASE WHEN SPP_CODE3A IS NULL THEN 1 ELSE 0 END) AS \"n_SPP_CODE3A\", "
             "count(DISTINCT Plot_Area) AS \"n_Plot_Area\" FROM ps"
         ),
+        "species_and_tips": f"""
+            WITH {PLOTS}, {LOCAL}, a AS (SELECT DISTINCT SPP_CODE3A AS x FROM ps WHERE SPP_CODE3A IS NOT NULL),
+            b AS (SELECT DISTINCT tip_label AS x FROM loc WHERE tip_label IS NOT NULL),
+            c AS (SELECT (SELECT count(*) FROM a WHERE x NOT IN (SELECT x FROM b)) AS only_a,
+                         (SELECT count(*) FROM b WHERE x NOT IN (SELECT x FROM a)) AS only_b,
+                         (SELECT count(*) FROM a WHERE x IN (SELECT x FROM b)) AS shared)
+            SELECT only_a, only_b, shared, only_a = 0 AND only_b = 0 AS equal FROM c""",
         "rows_per_area": f"SELECT Plot_Area2, count(*) AS N FROM ({obs}) o GROUP BY 1",
         "model_frame": (
             f"SELECT draw AS row_id, {rs(['b_AridInds', 'b_MATs'])} FROM ({view_sql('draws_wide')}) w "
@@ -512,6 +556,52 @@ def oracle_sql() -> dict[str, str]:
             WITH {intercepts_sql('PlotID')} SELECT level, {rs(['n', 'estimate', 'est_error'], 5)},
             {r(f'estimate - {Z_95} * est_error', 'q2_5', 5)}, {r(f'estimate + {Z_95} * est_error', 'q97_5', 5)}
             FROM eff""",
+        "approx_draws": f"""
+            WITH {OBS}, {LINE.replace('y', 'ln(y)')}, {LINE_DRAWS}
+            SELECT CAST(floor((draw - 1) / 2000.0) + 1 AS INT) AS chain, CAST((draw - 1) % 2000 + 1 AS INT) AS iteration,
+                   CAST(draw AS INT) AS draw, {r('d0', 'b_Intercept')}, {r('d1', 'b_x1')} FROM dr""",
+        "predict_rows": f"""
+            WITH {line_model('ln(y)')}, v AS (SELECT row_id, {SIMULATED} AS v FROM rw, dr, par)
+            SELECT row_id, {SUMMARY_4} FROM v GROUP BY row_id""",
+        "residual_summary": f"""
+            WITH {line_model('y')}, v AS (SELECT row_id, y - (d0 + d1 * x1 + lev) AS v FROM rw, dr)
+            SELECT row_id, {SUMMARY_4} FROM v GROUP BY row_id""",
+        "bayes_r2": f"""
+            WITH {line_model('y')}, m AS (SELECT draw, d0 + d1 * x1 + lev AS mu, y FROM rw, dr),
+            v AS (SELECT var_pop(mu) / (var_pop(mu) + var_pop(y - mu)) AS v FROM m GROUP BY draw)
+            SELECT {SUMMARY_4} FROM v""",
+        "conditional_grid": f"""
+            WITH {OBS}, {LINE.replace('y', 'ln(y)')}, {LINE_DRAWS},
+            g AS (SELECT low + k * (high - low) / 99 AS x1 FROM (SELECT min(x1) AS low, max(x1) AS high FROM obs) s,
+                  (SELECT unnest(range(100)) AS k) n),
+            v AS (SELECT x1, exp(d0 + d1 * x1 + sd * sd / 2) AS v FROM g, dr, par)
+            SELECT {r('x1')}, {SUMMARY_4} FROM v GROUP BY v.x1""",
+        "ppc_bins": f"""
+            WITH {line_model('ln(y)')},
+            few AS (SELECT *, row_number() OVER (ORDER BY draw) AS k FROM (
+                    SELECT * FROM dr ORDER BY {mix_sql(f'xor(draw, {salt(9, 1)}::BIGINT)')}, draw LIMIT 100) c),
+            sp AS (SELECT ln(min(y)) AS low, ln(max(y)) AS high FROM obs),
+            vals AS (SELECT 0 AS draw, ln(y) AS v FROM obs UNION ALL
+                     SELECT k, ln({SIMULATED.replace('dr.h', 'few.h')}) FROM rw, few, par),
+            cnt AS (SELECT draw, CASE WHEN v < low THEN 0 WHEN v > high THEN 31
+                                      ELSE least(30, CAST(floor((v - low) / (high - low) * 30) AS INT) + 1) END AS bin, count(*) AS n
+                    FROM vals, sp GROUP BY 1, 2),
+            every AS (SELECT draw, bin FROM (SELECT unnest(range(101)) AS draw) a, (SELECT unnest(range(32)) AS bin) b)
+            SELECT CAST(e.draw AS INT) AS draw, CAST(e.bin AS INT) AS bin, coalesce(n, 0) AS rows,
+                   {r('CASE WHEN e.bin > 0 THEN low + (e.bin - 1) * (high - low) / 30 END', 'lower')},
+                   {r('CASE WHEN e.bin < 31 THEN low + e.bin * (high - low) / 30 END', 'upper')}
+            FROM every e LEFT JOIN cnt ON e.draw = cnt.draw AND e.bin = cnt.bin, sp""",
+        "accuracy_from_draws": f"""
+            WITH {line_model('ln(y)')}, {DRAWN_ACCURACY}, {accuracy_sql('a', 'pred')}
+            SELECT Plot_Area2, {rs(ACC_NAMES, 4)} FROM accuracy""",
+        "fit_predictive": f"""
+            WITH {line_model('ln(y)')},
+            ll AS (SELECT row_id, -0.5 * power((ln(y) - d0 - d1 * x1 - lev) / sd, 2) - ln(sd) - 0.5 * ln(2 * pi()) - ln(y) AS ll FROM rw, dr, par),
+            q AS (SELECT row_id, ln(avg(exp(ll))) AS lppd, var_samp(ll) AS p_waic, avg(exp(-ll)) AS mw FROM ll GROUP BY row_id),
+            t AS (SELECT ll.row_id, ll, least(exp(-ll), sqrt({DRAWS}) * mw) AS w FROM ll JOIN q ON ll.row_id = q.row_id),
+            loo AS (SELECT row_id, ln(sum(w * exp(ll)) / sum(w)) AS elpd_loo FROM t GROUP BY row_id)
+            SELECT q.row_id, {rs(['lppd', 'p_waic'], 5)}, {r('lppd - p_waic', 'elpd', 5)}, {r('-2 * (lppd - p_waic)', 'waic', 5)},
+                   {r('elpd_loo', None, 5)} FROM q JOIN loo ON q.row_id = loo.row_id""",
         "residual_mean": f"WITH {OBS}, {LINE} SELECT row_id, {r('y - b0 - b1 * x1', 'residual')} FROM obs, line",
         "accuracy_by_area": f"WITH {OBS}, {PRESENCE_ACCURACY} SELECT Plot_Area2, {rs(ACC_NAMES)} FROM accuracy",
         "relative_error_by_area": (
