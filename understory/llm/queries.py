@@ -44,6 +44,7 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = pin(records.select("record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("n")))
     responses = said.where("record_type = 'response'")
     whole = responses.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("payload_bytes"))
+    whole = whole.hint("merge")  # as many as there are pages: never broadcast
     own = responses.select("record_id", "record_type", "payload_digest", "refers_to", F.col("n").alias("payload_bytes"))
     other = said.where("record_type = 'revisit'").join(whole, ["refers_to", "payload_digest"])
     both = own.unionByName(other.select(own.columns))
