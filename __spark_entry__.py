@@ -329,6 +329,12 @@ def tree_log_det(spark, sf_dir):
     return rounded(tree.log_determinant(edges(spark, sf_dir)))
 
 
+def tree_times(spark, sf_dir):
+    """Row sums of the tip covariance from its sparse factor."""
+    factor = tree.tip_factor(edges(spark, sf_dir))
+    return rounded(tree.times(factor, factor.select("tip").distinct().withColumn("x", F.lit(1.0))))
+
+
 def scaled_vcv(spark, sf_dir):
     return rounded(tree.scaled_vcv(edges(spark, sf_dir)))
 
@@ -657,7 +663,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         draws_long, draws_spread, hdi_terms, interval_figure, select_terms, split_rhat,
         rhat_summary, six_number, term_summary, draw_corr, divergences, divergences_by_chain,
         waic_points, loo_points, great_circle, neighbour_stats, autocovariate, tree_vcv,
-        tree_log_det, scaled_vcv, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
+        tree_log_det, tree_times, scaled_vcv, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
         binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,
         shrunk_intercepts, crossed_intercepts, predict_rows, crossed_predictions, residual_summary, residual_mean,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -17,6 +18,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as registry
 
 
+SCRATCH = tempfile.TemporaryDirectory(prefix="tests-")  # goes when the process ends
+
+
 def local_session(cores: int = 8):
     from pyspark.sql import SparkSession
 
@@ -25,6 +29,7 @@ def local_session(cores: int = 8):
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", SCRATCH.name)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from understory.functions import noise
 from understory.functions.links import log_gamma
 from understory.functions.student import critical_value, holm, two_sided_p
 from understory.operators import accuracy, collinear, draws, rank, spatial, tree
@@ -225,3 +226,67 @@ def test_tree_covariance_and_determinant(spark, shape):
     assert row["n_tips"] == len(leaves)
     assert row["log_det"] == pytest.approx(np.linalg.slogdet(want)[1])
     assert np.linalg.det(dense(tree.scaled_vcv(table))) == pytest.approx(1.0)
+    vector = spark.createDataFrame([(leaf, float(i) - 3.0) for leaf, i in place.items()], "tip string, x double")
+    product = {r["tip"]: r["y"] for r in tree.times(tree.tip_factor(table), vector).collect()}
+    x = np.array([place[leaf] - 3.0 for leaf in leaves])
+    assert [product[leaf] for leaf in leaves] == pytest.approx(list(want @ x))
+
+
+def test_long_chain_is_one_branch_and_a_cycle_is_refused(spark):
+    chain = [(f"n{i}", f"n{i + 1}", 0.5) for i in range(59)] + [("n0", "other", 2.0)]
+    table = spark.createDataFrame(chain, "parent string, child string, length double")
+    assert tree.without_chains(table).count() == 2
+    row = tree.log_determinant(table).first()
+    assert (row["n_tips"], row["log_det"]) == (2, pytest.approx(math.log(59 * 0.5) + math.log(2.0)))
+    loop = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0)], "parent string, child string, length double")
+    with pytest.raises(ValueError, match="cycle"):
+        tree.root_paths(loop)
+
+
+def test_blocks_too_far_apart_never_meet(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-156.6, -155.4, 900), rng.uniform(19.5, 20.5, 900)))]
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    whole = sorted(tuple(r) for r in spatial.neighbour_stats(df, "lon", "lat").select("id", "neighbours", F.round("nearest_km", 9)).collect())
+    pairs = []
+    kept = spatial.block_pairs
+    monkeypatch.setattr(spatial, "block_pairs", lambda g, b: pairs.append((b.count(), kept(g, b).count())) or kept(g, b))
+    monkeypatch.setattr(spatial, "BLOCK_SIZE", 10)
+    cut = sorted(tuple(r) for r in spatial.neighbour_stats(df, "lon", "lat").select("id", "neighbours", F.round("nearest_km", 9)).collect())
+    assert cut == whole
+    blocks, met = pairs[0]
+    assert blocks > 90 and met < 0.5 * blocks * blocks
+
+
+def test_rows_without_a_position_have_no_neighbour(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.1, 0.0, 3.0), (3, None, 0.0, 2.0), (4, 0.0, None, 2.0)], "id int, lon double, lat double, z double")
+    got = {r["id"]: (r["neighbours"], r["nearest_km"] is None) for r in spatial.neighbour_stats(df, "lon", "lat").collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (0, True), 4: (0, True)}
+    assert {r["id"]: r["rac"] for r in spatial.autocovariate(df, "z", lon="lon", lat="lat").collect()} == {1: 3.0, 2: 1.0, 3: 0.0, 4: 0.0}
+
+
+def test_noise_is_the_same_in_every_engine_and_normal(spark, duck):
+    rows, numbers = np.array([5, 77, 2**27]), np.arange(1, 5)
+    want = noise.normals(rows, numbers, 3)
+    df = spark.createDataFrame([(int(r), int(d)) for r in rows for d in numbers], "r long, d long")
+    got = [x[0] for x in df.select(noise.normal_column(F.col("r"), F.col("d"), 3)).collect()]
+    assert got == pytest.approx(list(want.ravel()), abs=1e-12)
+    sql = [duck.execute(f"SELECT {noise.normal_sql(f'{r}::BIGINT', f'{d}::BIGINT', 3)}").fetchone()[0] for r in rows for d in numbers]
+    assert sql == pytest.approx(got, abs=1e-12)
+    key = spark.createDataFrame([("a", 1)], "x string, y int").select(noise.row_key("x", "y")).first()[0]
+    assert key == duck.execute(f"""SELECT {noise.row_key_sql("'a|1'")}""").fetchone()[0]
+    z = noise.normals(np.arange(400) * 31, np.arange(4000), 1)
+    assert abs(z.mean()) < 0.005 and abs(z.std() - 1) < 0.005 and abs((z**4).mean() - 3) < 0.05
+    assert abs(np.corrcoef(z[:30])[np.triu_indices(30, 1)]).max() < 0.09
+
+
+def test_rhat_goes_by_position_in_the_chain(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(2, 200)) + np.linspace(0, 2, 200)
+    rows = [(c, i, "b", float(values[c, i])) for c in range(2) for i in range(200)]
+    late = [(c, 2501 + 3 * i, t, v) for c, i, t, v in rows]
+    schema = "chain int, iteration int, terms string, value double"
+    a, b = (draws.split_rhat(spark.createDataFrame(x, schema)).first()["rhat"] for x in (rows, late))
+    halves = values.reshape(4, 100)
+    within, between = halves.var(1, ddof=1).mean(), halves.mean(1).var(ddof=1)
+    assert a == b == pytest.approx(math.sqrt((0.99 * within + between) / within))

@@ -37,8 +37,10 @@ def root_paths(edges: DataFrame) -> DataFrame:
         )
         if found.isEmpty():
             return paths
+        if not found.where("node = ancestor").isEmpty():
+            raise ValueError("the edge table has a cycle")
         paths = pin(paths.unionByName(found))
-    raise ValueError("the edge table has a cycle or is deeper than supported")
+    raise ValueError(f"a path has more than {1 << MAX_DOUBLINGS} edges")
 
 
 def node_depths(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
@@ -55,6 +57,25 @@ def tips(edges: DataFrame) -> DataFrame:
     )
 
 
+def tip_factor(edges: DataFrame) -> DataFrame:
+    """``(tip, branch, length)``: every branch between a tip and the root, named by its lower node.
+
+    The scale form of the covariance V = F diag(length) F': as many rows as tips times
+    depth, where the pairs of ``vcv`` grow with the square of a clade.
+    """
+    edges = pin(edges)
+    leaves = tips(edges)
+    above = root_paths(edges).join(leaves, F.col("node") == F.col("tip"), "left_semi").select(F.col("node").alias("tip"), F.col("ancestor").alias("branch"))
+    branches = edges.select(F.col("child").alias("branch"), F.col("length").cast("double").alias("length"))
+    return above.unionByName(leaves.select("tip", F.col("tip").alias("branch"))).join(branches, "branch").select("tip", "branch", "length")
+
+
+def times(factor: DataFrame, vector: DataFrame) -> DataFrame:
+    """The covariance times a vector (``tip``, ``x``) as ``(tip, y)``: two aggregates, no pair of tips."""
+    below = factor.join(vector, "tip").groupBy("branch").agg(F.sum("x").alias("x"))
+    return factor.join(below, "branch").groupBy("tip").agg(F.sum(F.col("length") * F.col("x")).alias("y"))
+
+
 def vcv(edges: DataFrame) -> DataFrame:
     """Shared branch length of tip pairs as sparse triplets ``(tip_i, tip_j, shared)``.
 
@@ -62,6 +83,7 @@ def vcv(edges: DataFrame) -> DataFrame:
     is produced once, at the node where its lineages part, from the two child
     branches it lies on; no pair is built and then summed or thrown away.
     """
+    edges = pin(edges)
     paths = root_paths(edges)
     depths = node_depths(edges, paths)
     leaves = tips(edges)
@@ -87,12 +109,30 @@ def vcv(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(own)
 
 
+def without_chains(edges: DataFrame) -> DataFrame:
+    """The tree whose nodes are the root, the tips and the forks: branches in a row become one.
+
+    The tips' covariance stays the same.
+    """
+    paths = root_paths(edges)
+    children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    top = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
+    kept = children.where("n > 1").select("node").unionByName(top).distinct()
+    ends = kept.unionByName(tips(edges).select(F.col("tip").alias("node"))).distinct()
+    up = paths.join(ends, "node", "left_semi").join(kept.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi")
+    return up.groupBy(F.col("node").alias("child")).agg(
+        F.min_by("ancestor", "hops").alias("parent"), F.min_by("length", "hops").alias("length")
+    )
+
+
 def log_determinant(edges: DataFrame) -> DataFrame:
     """Log determinant of the tip covariance and the number of tips, as one row.
 
-    The tree is folded from the deepest level up, one small aggregate per level;
-    the matrix itself is never built. Tip branches must be longer than zero.
+    Chains of single branches are drawn together; then the tree is folded from the
+    deepest fork up, one small aggregate per level of forks; the matrix itself is
+    never built. Tip branches must be longer than zero.
     """
+    edges = pin(without_chains(pin(edges)))
     table = pin(
         edges.join(node_depths(edges), edges["child"] == F.col("node"))
         .select("parent", "child", F.col("length").cast("double").alias("t"), "level")

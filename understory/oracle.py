@@ -499,6 +499,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "tree_vcv": f"WITH {PATHS} SELECT tip_i, tip_j, {r('shared')} FROM cov",
         "tree_log_det": f"WITH {LOG_DET} SELECT {r('log_det')}, CAST(n_tips AS BIGINT) AS n_tips FROM ldet",
+        "tree_times": f"WITH {PATHS} SELECT tip_i AS tip, {r('sum(shared)', 'y')} FROM cov GROUP BY tip_i",
         "scaled_vcv": (
             f"WITH {PATHS}, {LOG_DET} SELECT tip_i, tip_j, {r('shared * exp(-log_det / n_tips)', 'shared')} "
             "FROM cov, ldet"

@@ -15,8 +15,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a machine-local folder would not be seen by the other machines.
+    Only a local session without the setting gets a folder of its own, which goes
+    when the process ends; on a cluster a machine-local folder would not be seen by
+    the other machines.
     """
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
@@ -25,7 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        sc._understory_scratch = tempfile.TemporaryDirectory(prefix="run-")
+        folder = sc._understory_scratch.name
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
