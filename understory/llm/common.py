@@ -26,6 +26,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the named columns, each computed once a row.
+
+    A plain projection may be merged into what uses it, and a filter on it moved below
+    it; costly expressions are then computed again. A generator stays where it is.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def bytes_of(df: DataFrame) -> int:
     """Bytes of the rows of ``df`` as text, a bound of what a broadcast holds."""
     found = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long") + 32).alias("n")).first()

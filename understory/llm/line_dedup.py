@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from understory.llm.common import aside, let, small_side
+from understory.llm.common import aside, let, once, small_side
 from understory.llm.quality import BLANKS
 
 WINDOW = 3
@@ -77,8 +77,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     joined = aside(docs, **keys).join(starts, ["_id", "_text_id"], "left")
     solid = lambda t: F.size(F.filter(_lines(t), lambda x: x != "")).cast("long")
     cut = F.when(F.col("_starts").isNull(), F.col("_text")).otherwise(F.array_join(_cut(F.col("_text"), F.col("_starts"), window), "\n"))
-    out = joined.select("_row", cut.alias("clean"), solid(F.col("_text")).alias("n_lines"))
-    return out.select("_row", "clean", "n_lines", (F.col("n_lines") - solid(F.col("clean"))).alias("n_removed"))
+    found = once(joined, ["_row", "_text"], clean=cut)
+    out = once(found, ["_row", "clean"], n_lines=solid(F.col("_text")), n_left=solid(F.col("clean")))
+    return out.select("_row", "clean", "n_lines", (F.col("n_lines") - F.col("n_left")).alias("n_removed"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars", window: int = WINDOW) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from understory.llm.common import aside, let, small_side
+from understory.llm.common import aside, let, once, small_side
 
 #: Blanks that separate words: space and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -138,11 +138,8 @@ def assess(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
         ),
     )
     plain = F.struct(F.lit(0).cast("long").alias("lost"), F.col("_text").alias("clean"))
-    found = joined.select(
-        "_row",
-        base_rules(F.col("_text"), limits).alias("_base"),
-        F.when(F.col("_often").isNull() | F.col("_text").isNull(), plain).otherwise(stays).alias("_cross"),
-    )
+    cross = F.when(F.col("_often").isNull() | F.col("_text").isNull(), plain).otherwise(stays)
+    found = once(joined, ["_row"], _base=base_rules(F.col("_text"), limits), _cross=cross)
     base, lost = F.col("_base"), F.col("_cross.lost")
     failed = (base["n_words"] < limits.min_words) | (100 * base["n_repeat_words"] > limits.repeat_percent * base["n_words"])
     return found.select(
