@@ -4,7 +4,7 @@ A word is a contiguous array of parts beside an array of the ranks of adjacent p
 The smallest rank is found by scanning, its boundary deleted and the two
 neighbouring ranks refreshed, until no pair has a rank. Words are short, so a scan
 costs less than a queue; words beyond ``SCAN_PARTS`` parts go through a queue that
-gives the same parts. Each worker keeps words it has met, up to ``KEPT_WORDS``.
+gives the same parts. A task keeps words it has met, up to ``KEPT_WORDS``.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 SCAN_PARTS = 128
 NO_RANK = 1 << 60
 
@@ -216,12 +217,14 @@ def coder(spark: SparkSession, path: str):
     kinds = (("ids", T.ArrayType(T.IntegerType())), ("packed", T.BinaryType()), ("decoded", T.StringType()))
 
     @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in kinds]))
-    def code(texts: pa.Array) -> pa.Array:
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = words_of(key, content)
-        ids = _encode(texts, words)
-        ends = pa.array(ids.offsets.to_numpy() * 4, pa.int32())
-        packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, ends.buffers()[1], ids.values.buffers()[1]])
-        return pa.StructArray.from_arrays([ids, packed, _decode(ids, words.vocabulary.tokens)], [n for n, _ in kinds])
+        for texts in batches:
+            ids = _encode(texts, words)
+            ends = pa.array(ids.offsets.to_numpy() * 4, pa.int32())
+            packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, ends.buffers()[1], ids.values.buffers()[1]])
+            yield pa.StructArray.from_arrays([ids, packed, _decode(ids, words.vocabulary.tokens)], [n for n, _ in kinds])
+        words.clear()  # an idle worker holds nothing but the vocabulary
 
     return code
 

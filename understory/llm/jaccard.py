@@ -60,7 +60,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = _word.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 300_000:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(len(h) - size + 1, 1)
@@ -105,6 +105,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [batch.column("_id"), batch.column("_text_id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
                 ["_id", "_text_id", "_set", "_n", "_sketch"],
             )
+        _hashes.clear()  # an idle worker holds none
 
     schema = T.StructType().add("_id", kind).add("_text_id", T.StringType()).add("_set", T.BinaryType()).add("_n", T.LongType()).add("_sketch", T.BinaryType())
     return _keyed(docs, doc_id, text).mapInArrow(work, schema)
@@ -268,6 +269,7 @@ def verified(docs: DataFrame, members: DataFrame, groups: DataFrame, threshold:
             flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [column], others + ["_shingles"])
+        _hashes.clear()
 
     others = ["root", "_set", "_copies", "_blocks"]
     sizes = groups.join(members.select(F.col("_set").alias("node"), "_n", "_copies", "_one"), "node")
