@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 SCAN_PARTS = 128
 NO_RANK = 1 << 60
 
