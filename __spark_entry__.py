@@ -193,7 +193,7 @@ def flipped_and_logged(spark, sf_dir):
     )
 
 
-# Raw columns standing in for the eight predictors, in the order of the models.
+# Raw columns standing in for the eight predictors, in the order of the models.
 RAW_MAIN = (
     "AridInd", "MAT", "HII", "SubstrateAge_range",
     "PD_stand", "WD_wt_diff_lrr", "maxDBH_wt_diff_lrr", "SM_wt_diff_lrr",

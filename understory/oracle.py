@@ -17,6 +17,7 @@ EARTH_KM = 6371.0088
 RADIUS_KM = 25.0
 Z_95 = 1.959963984540054
 
+# Column, score and term names of the survey tables.
 ENV_NAMES = (
     "PlotIDn AS PlotID, Long_Dec, Lat_Dec, newMAT AS MAT, newMAP AS MAP, newElev AS Elev_m, "
     "newVPD AS VPD, newPET AS PET, newAridInd AS AridInd, HFP, HII, SubstrateAge_range, SubstrateAge_code"
