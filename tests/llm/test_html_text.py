@@ -69,6 +69,50 @@ def test_matching_is_the_largest_where_no_run_is_split():
         assert H.align(a, b)[0] == brute(a, b)
 
 
+def test_matching_is_the_largest_where_runs_are_split():
+    draw, number = random.Random(2), iter(range(10**9))
+
+    def tree():
+        return H.content("".join(draw.choice(["<p>{}</p>", "<div>{}</div>", "<ul><li>{}<li>x</ul>", "<div><p>{}</p></div>"]).format(next(number)) for _ in range(draw.randint(0, 9))))
+
+    for _ in range(200):
+        a, b = tree(), tree()
+        nodes, pairs = H.align(a, b)
+        if not any(x.text == y.text for x, y in pairs):
+            assert nodes == brute(a, b)
+        assert [x.number for x, _ in pairs] == sorted(x.number for x, _ in pairs)
+
+
+def test_equal_text_in_a_run_meets_wherever_it_stands(monkeypatch):
+    def paragraphs(*texts):
+        return H.content("".join(f"<p>{t}</p>" for t in texts))
+
+    def equal():
+        a = paragraphs("Letter", "a1", "a2", "Middle", "a3", "a4", "a5", "Rights", "a6")
+        b = paragraphs("b0", "Letter", "b1", "Middle", "b2", "Rights")
+        return [x.text for x, y in H.align(a, b)[1] if x.text == y.text]
+
+    assert equal() == ["Letter", "Middle", "Rights"]
+    monkeypatch.setattr(H, "CELLS", 0)
+    assert equal() == ["Letter", "Middle", "Rights"]
+    deep = ["<div><p>x</p>" * 300 + t + "</div>" * 300 for t in ("one", "two")]
+    assert len(H.align(*map(H.content, deep))[1]) >= 200
+
+
+def test_template_in_runs_and_in_every_layout_of_a_host_goes(spark):
+    said = lambda n, k: f"Page {n} says its own things about matter number {k} in many words"
+    rows, want = [], {}
+    for n in range(24):
+        own = [said(n, k) for k in range(n % 5 + 1)]
+        wide, closing = n % 2, "All rights on this wide layout are ours" if n % 2 else "All rights are ours"
+        extra = "<div class=legal>The wide layout has a legal text</div>" if wide else ""
+        body = "".join(f"<p>{t}</p>" for t in (*own, closing))
+        rows.append((n, "http://two.example/", f"<body><div class={'wide' if wide else 'slim'}>{extra}{body}</div></body>"))
+        want[n] = "\n".join(own)
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_template_slots_of_a_host_go(spark):
     rows = [(n, f"http://Host.example/{n}", page(n, f"Quite long words that only page {n} has " * 3), "x") for n in range(1, 9)]
     rows += [(20, "http://small.example/", page(20), "x"), (21, None, page(21), "x"), (22, "no address", page(22), None)]

@@ -1,24 +1,27 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of block elements; menus, scripts, forms and their like, known by
-tag, role or class, are left out. The trees of a host's pages are aligned with that
-of a reference page of the host by simple tree matching. Slots whose text hardly ever
-varies over those pages are template, all others are content: slots that vary and
-slots the reference doesn't have. Pages that mostly repeat the reference's text are
+tag, role or class, are left out. The trees of a host's pages are aligned with those
+of a reference page of the host, and of one of their layout, by simple tree matching.
+Slots whose text hardly ever varies over those pages are template, all others are
+content: slots that vary and slots the references don't have. Pages that mostly repeat the reference's text are
 copies of its article, and don't vote. A host of few pages has no template.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from understory.llm.common import small_side
+from understory.session import pin
 
 #: Votes that a slot needs, and the share of them that find the reference's text there, to be template.
 VOTES, CONSTANT = 5, 0.9
@@ -26,6 +29,10 @@ VOTES, CONSTANT = 5, 0.9
 REFERENCE_BYTES = 4096
 #: Elements below this depth are taken for children of the one at this depth; their text stays.
 DEPTH = 200
+#: Pairs of children up to which all matchings are weighed; a pair that needs a matching of its own counts as so many.
+CELLS, DEEP = 1 << 20, 64
+#: What a slot with equal text weighs, in nodes.
+EQUAL = 1 << 32
 
 # Elements of HTML by what they are.
 SKIPPED = "script style noscript template textarea title iframe svg math select object noembed xmp audio video canvas"
@@ -66,6 +73,10 @@ class Node:
     text: str = ""
     marked: bool = False
     number: int = -1
+    nodes: int = 0
+    key: int | None = None
+    slot: Node | None = None
+    chain: tuple = ()
 
 
 def _mark(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
@@ -169,55 +180,134 @@ def slots(node: Node) -> Iterator[Node]:
         yield from slots(c)
 
 
-def _single(node: Node) -> Node | None:
-    """The slot of a node that is one, or that has nothing else."""
-    while len(node.children) == 1:
-        node = node.children[0]
-    return node if node.tag == "#" else None
-
-
-def _units(node: Node) -> list[tuple[str, list[Node] | Node]]:
-    """Children, where neighbours of one kind with a single slot each are one unit: paragraphs in a row."""
-    units: list[tuple[str, list[Node] | Node]] = []
+def _seal(node: Node) -> None:
+    """Sets what matching needs: a key that identical trees share, nodes, and the only slot with the labels down to it."""
     for c in node.children:
-        slot = _single(c)
-        if slot is None:
-            units.append((c.label, c))
-        elif units and units[-1][0] == c.label and isinstance(units[-1][1], list):
-            units[-1][1].append(slot)
-        else:
-            units.append((c.label, [slot]))
-    return units
+        _seal(c)
+    node.nodes = 1 + sum(c.nodes for c in node.children)
+    node.key = hash((node.label, node.text, *[c.key for c in node.children]))
+    if node.tag == "#":
+        node.slot, node.chain = node, (node.label,)
+    elif len(node.children) == 1 and node.children[0].slot:
+        node.slot, node.chain = node.children[0].slot, (node.label, *node.children[0].chain)
 
 
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most nodes of two trees that match in order, and the matched slots.
+    """Simple tree matching: the nodes of two trees that match in order, their number and the matched slots.
 
-    Elements match if their tag and classes are equal and their parents match.
+    Elements match if their tag and classes are equal and their parents match. Of all
+    matchings it is the one with the most slots of equal text, of these one with the most
+    nodes. Only of children beyond ``CELLS`` pairs identical ones are matched first, by
+    their longest order-preserving sequence, and what lies between them on its own.
     """
-    left, right = _units(a), _units(b)
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, (kind, x) in enumerate(left, 1):
-        for j, (other, y) in enumerate(right, 1):
-            weight = 0
-            if kind == other and isinstance(x, list) == isinstance(y, list):
-                if isinstance(x, list):
-                    found[i, j] = min(len(x), len(y)), list(zip(x, y))
-                else:
-                    found[i, j] = align(x, y)
-                weight = found[i, j][0]
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight)
-    pairs, i, j = [], len(left), len(right)
+    for tree in (a, b):
+        if tree.key is None:
+            _seal(tree)
+    score, pairs = _matched(a, b)
+    return score % EQUAL, pairs
+
+
+def _matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Score (equal slots times ``EQUAL``, and nodes) and matched slots of two nodes with one label."""
+    if a.key == b.key:
+        pairs = list(zip(slots(a), slots(b)))
+        return a.nodes + EQUAL * len(pairs), pairs
+    if a.tag == "#" or b.tag == "#":
+        return 1, [(a, b)] if a.tag == b.tag else []
+    # Identical children at either end match in one best matching.
+    x, y = a.children, b.children
+    start, end = 0, min(len(x), len(y))
+    while start < end and x[start].key == y[start].key:
+        start += 1
+    tail = 0
+    while tail < end - start and x[-1 - tail].key == y[-1 - tail].key:
+        tail += 1
+    inner = _between(x[start : len(x) - tail], y[start : len(y) - tail])
+    ends = [_matched(x[i], y[i]) for i in range(start)], [_matched(x[i], y[i]) for i in range(-tail, 0)]
+    done = [*ends[0], inner, *ends[1]]
+    return 1 + sum(score for score, _ in done), [p for _, pairs in done for p in pairs]
+
+
+def _between(x: list[Node], y: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+    """Score and matched slots of children in order."""
+    if not x or not y:
+        return 0, []
+    if len(x) == len(y) == 1:
+        return _matched(x[0], y[0]) if x[0].label == y[0].label else (0, [])
+    if len(x) * len(y) <= CELLS:
+        kinds: dict[str, int] = {}
+        left, right = (np.array([kinds.setdefault(c.label, len(kinds)) for c in side]) for side in (x, y))
+        same = left[:, None] == right[None, :]
+        deep = same & (np.array([c.slot is None for c in x])[:, None] | np.array([c.slot is None for c in y])[None, :])
+        if DEEP * np.count_nonzero(deep) <= CELLS:
+            return _best(x, y, deep)
+    found = _rising([c.key for c in x], [c.key for c in y])
+    if not found:
+        found = _rising([c.label for c in x], [c.label for c in y])
+        done = [_matched(x[i], y[j]) for i, j in found]
+    else:
+        done, i, j = [], 0, 0
+        for p, q in [*found, (len(x), len(y))]:
+            done.append(_between(x[i:p], y[j:q]))
+            if p < len(x):
+                done.append(_matched(x[p], y[q]))
+            i, j = p + 1, q + 1
+    return sum(score for score, _ in done), [p for _, pairs in done for p in pairs]
+
+
+def _rising(x: list, y: list) -> list[tuple[int, int]]:
+    """The longest sequence that rises in both lists among the pairs of the k-th occurrences of a value."""
+    places: dict = {}
+    for j in range(len(y) - 1, -1, -1):
+        places.setdefault(y[j], []).append(j)
+    tops, last, before, at = [], [], [], []
+    for i, value in enumerate(x):
+        if places.get(value):
+            j = places[value].pop()
+            k = bisect.bisect_left(tops, j)
+            at.append((i, j))
+            before.append(last[k - 1] if k else -1)
+            tops[k : k + 1], last[k : k + 1] = [j], [len(at) - 1]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(at[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _best(x: list[Node], y: list[Node], deep: np.ndarray) -> tuple[int, list[tuple[Node, Node]]]:
+    """The best of all order-preserving matchings. ``deep`` are the pairs of one label that aren't both a single slot."""
+    chains: dict[tuple, int] = {}
+    left, right = (np.array([chains.setdefault(c.chain, len(chains)) for c in side]) for side in (x, y))
+    shared = np.zeros((len(chains), len(chains)), np.int64)
+    for c, i in chains.items():
+        for d, j in chains.items():
+            shared[i, j] = next((n for n, (k, m) in enumerate(zip(c, d)) if k != m), min(len(c), len(d)))
+    weight = shared[left][:, right]
+    keys: dict[int, int] = {}
+    first, second = (np.array([keys.setdefault(c.key, len(keys)) for c in side]) for side in (x, y))
+    weight += EQUAL * ((first[:, None] == second[None, :]) & (weight > 0))
+    found = {}
+    for i, j in np.argwhere(deep).tolist():
+        found[i, j] = _matched(x[i], y[j])
+        weight[i, j] = found[i, j][0]
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+    for i, row in enumerate(weight):
+        np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + row), out=best[i + 1, 1:])
+    pairs, i, j = [], len(x), len(y)
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        here = best[i, j]
+        if here == best[i - 1, j]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif here == best[i, j - 1]:
             j -= 1
         else:
-            pairs = found[i, j][1] + pairs
             i, j = i - 1, j - 1
-    return 1 + best[len(left)][len(right)], pairs
+            if (i, j) in found:
+                pairs.extend(reversed(found[i, j][1]))
+            elif x[i].chain == y[j].chain:
+                pairs.append((x[i].slot, y[j].slot))
+    return int(best[-1, -1]), pairs[::-1]
 
 
 class Reference:
@@ -234,22 +324,23 @@ class Reference:
         return cls.kept[page]
 
 
-def votes(page: str, reference: str) -> list[tuple[int, bool]]:
+def votes(page: Node, reference: str) -> list[tuple[int, bool]]:
     """Matched slots of the reference and whether the page has the same text there; none of a copy."""
-    _, pairs = align(content(page), Reference.of(reference))
+    _, pairs = align(page, Reference.of(reference))
     same = sum(len(b.text) for a, b in pairs if a.text == b.text)
     if 2 * same > sum(len(b.text) for _, b in pairs):
         return []
     return [(b.number, a.text == b.text) for a, b in pairs]
 
 
-def extract(page: str | None, reference: str | None = None, template: list[int] | None = None) -> str:
-    """Text of the content slots, one a line."""
+def extract(page: str | None, *known: str | list[int] | None) -> str:
+    """Text of the content slots, one a line. ``known`` has references, each followed by its template."""
     tree, dropped = content(page), set()
-    if reference is not None and template:
-        constant = set(template)
-        _, pairs = align(tree, Reference.of(reference))
-        dropped = {a.number for a, b in pairs if b.number in constant and a.text == b.text}
+    for reference, template in zip(known[::2], known[1::2]):
+        if reference is not None and template:
+            constant = set(template)
+            _, pairs = align(tree, Reference.of(reference))
+            dropped |= {a.number for a, b in pairs if b.number in constant and a.text == b.text}
     return "\n".join(s.text for s in slots(tree) if s.number not in dropped)
 
 
@@ -259,44 +350,69 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def layout(page: Column) -> Column:
+    """Hash of the containers, with their classes, that a page has."""
+    tags = F.regexp_extract_all(page, F.lit(r"(?i)<(?:body|main|article|section|div)\b[^>]*+>"), F.lit(0))
+    name = lambda x: F.lower(F.regexp_extract(x, "^<([A-Za-z]+)", 1))
+    classes = lambda x: F.lower(F.regexp_extract(x, r"""(?i)\sclass\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)""", 1))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda x: F.concat(name(x), F.lit("."), classes(x))))))
+
+
 def references(pages: DataFrame) -> DataFrame:
-    """``_host``, ``_reference`` for hosts with enough pages. ``pages`` has ``_host``, ``_html``.
+    """``_host``, ``_layout``, ``_reference`` for hosts with enough pages. ``pages`` has ``_host``, ``_layout``, ``_html``.
 
-    One page a host and task is shuffled.
+    Each has one of the whole host, where ``_layout`` is null, and one of each layout with
+    enough pages, unless it is that of the host. One page a layout and task is shuffled.
     """
     far = F.abs(F.octet_length("_html") - REFERENCE_BYTES)
-    best = pages.where("_host is not null and _html is not null").groupBy("_host")
-    best = best.agg(F.count("*").alias("n"), F.min(F.struct(far.alias("far"), "_html")).alias("best"))
-    return best.where(F.col("n") > VOTES).select("_host", F.col("best._html").alias("_reference"))
+    best = pages.where("_host is not null and _html is not null").groupBy("_host", "_layout")
+    best = pin(best.agg(F.count("*").alias("n"), F.min(F.struct(far.alias("far"), "_html")).alias("best")))
+    whole = best.groupBy("_host").agg(F.sum("n").alias("n"), F.min("best").alias("best")).where(F.col("n") > VOTES)
+    heads = whole.select("_host", F.lit(None).cast("long").alias("_layout"), F.col("best._html").alias("_reference"))
+    own = best.where(F.col("n") > VOTES).join(whole.select("_host", F.col("best").alias("head")), "_host").where("best != head")
+    return heads.unionByName(own.select("_host", "_layout", F.col("best._html").alias("_reference")))
+
+
+def with_references(pages: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """``pages`` with the ``columns`` of their host's reference, and those of their layout's with ``_own`` behind the name."""
+    whole = small_side(chosen.where("_layout is null").select("_host", *columns))
+    own = small_side(chosen.where("_layout is not null").select("_host", "_layout", *[F.col(c).alias(f"{c}_own") for c in columns]))
+    return pages.join(whole, "_host", "left").join(own, ["_host", "_layout"], "left")
 
 
 def templates(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``_host``, ``_template``: numbers of the reference's slots that are template."""
+    """``_host``, ``_layout``, ``_template``: numbers of the reference's slots that are template."""
+    columns = ["_host", "_layout", "_html", "_reference", "_reference_own"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int], list[int]] = {}
-            for name, page, reference in zip(*(batch.column(c).to_pylist() for c in ("_host", "_html", "_reference"))):
-                for number, same in votes(page, reference):
-                    count = counts.setdefault((name, number), [0, 0])
-                    count[0] += 1
-                    count[1] += same
+            counts: dict[tuple[str, int | None, int], list[int]] = {}
+            for name, kind, page, *both in zip(*(batch.column(c).to_pylist() for c in columns)):
+                tree = content(page)
+                for of, reference in zip((None, kind), both):
+                    for number, same in votes(tree, reference) if reference is not None else ():
+                        count = counts.setdefault((name, of, number), [0, 0])
+                        count[0] += 1
+                        count[1] += same
             yield pa.RecordBatch.from_pylist(
-                [{"_host": k[0], "slot": k[1], "n": v[0], "same": v[1]} for k, v in counts.items()],
-                pa.schema([("_host", pa.string()), ("slot", pa.int32()), ("n", pa.int64()), ("same", pa.int64())]),
+                [{"_host": k[0], "_layout": k[1], "slot": k[2], "n": v[0], "same": v[1]} for k, v in counts.items()],
+                pa.schema([("_host", pa.string()), ("_layout", pa.int64()), ("slot", pa.int32()), ("n", pa.int64()), ("same", pa.int64())]),
             )
 
-    joined = pages.where("_html is not null").join(chosen, "_host").select("_host", "_html", "_reference")
-    counted = joined.mapInArrow(work, "_host string, slot int, n long, same long").groupBy("_host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    return counted.where((F.col("n") >= VOTES) & (F.col("same") >= F.col("n") * CONSTANT)).groupBy("_host").agg(F.collect_list("slot").alias("_template"))
+    joined = with_references(pages.where("_html is not null"), chosen, ["_reference"]).where("_reference is not null").select(*columns)
+    counted = joined.mapInArrow(work, "_host string, _layout long, slot int, n long, same long")
+    counted = counted.groupBy("_host", "_layout", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    constant = counted.where((F.col("n") >= VOTES) & (F.col("same") >= F.col("n") * CONSTANT))
+    return constant.groupBy("_host", "_layout").agg(F.collect_list("slot").alias("_template"))
 
 
 def extractor(spark: SparkSession):
-    """Function of a page, its host's reference and template that gives the main text."""
+    """Function of a page, reference and template of its host, and those of its layout, that gives the main text."""
 
     @F.arrow_udf(T.StringType())
-    def text(pages: pa.Array, chosen: pa.Array, constant: pa.Array) -> pa.Array:
-        return pa.array([extract(p.as_py(), r.as_py(), t.as_py()) for p, r, t in zip(pages, chosen, constant)], pa.string())
+    def text(pages: pa.Array, *known: pa.Array) -> pa.Array:
+        rows = zip(pages, *known)
+        return pa.array([extract(p.as_py(), *(k.as_py() for k in more)) for p, *more in rows], pa.string())
 
     return text
 
@@ -307,16 +423,18 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     Null and empty pages, and pages that are all template, have empty text. Pages
     without an address or host, and of hosts with up to ``VOTES`` pages, are read without
     a template. Repeated rows get equal texts. Of pages equally near to the reference
-    size the first by its text is the reference. An empty table stays empty. A column of
+    size the first by its text is the reference, of the host and of each layout. An empty table stays empty. A column of
     ``pages`` named as the output is replaced, other columns stay as they are.
     """
     if out in (url, page):
         raise ValueError("the output needs a name other than the inputs'")
-    keyed = {"_host": host(F.col(f"`{url}`")), "_html": F.col(f"`{page}`")}
+    keyed = {"_host": host(F.col(f"`{url}`")), "_layout": layout(F.col(f"`{page}`")), "_html": F.col(f"`{page}`")}
     bare = pages.select(*[c.alias(n) for n, c in keyed.items()])
-    chosen = small_side(references(bare))
-    known = small_side(chosen.join(templates(bare, chosen), "_host"))
+    chosen = pin(references(bare))
+    found = templates(bare, chosen).withColumnsRenamed({"_host": "_at", "_layout": "_of"})
+    known = pin(chosen.join(found, (F.col("_host") == F.col("_at")) & F.col("_layout").eqNullSafe(F.col("_of"))).drop("_at", "_of"))
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != out])
-    joined = pages.select(row.alias("_row"), *[c.alias(n) for n, c in keyed.items()]).join(known, "_host", "left")
-    found = joined.select("_row", extractor(pages.sparkSession)("_html", "_reference", "_template").alias("_text"))
+    joined = with_references(pages.select(row.alias("_row"), *[c.alias(n) for n, c in keyed.items()]), known, ["_reference", "_template"])
+    known_of = ["_reference", "_template", "_reference_own", "_template_own"]
+    found = joined.select("_row", extractor(pages.sparkSession)("_html", *known_of).alias("_text"))
     return found.select("_row.*", F.col("_text").alias(out))
