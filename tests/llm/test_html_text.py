@@ -136,5 +136,21 @@ def test_copies_of_an_article_do_not_become_template(spark):
     assert all(article.strip() in r["text"] for r in got)
 
 
+def test_pages_that_are_mostly_template_vote(spark):
+    legal = "Everything on this site is ours and may not be used without our written word. " * 20
+    article = lambda n: f"Short note number {n} on the weather of the day in town {n * 7}"
+    rows = [(n, "http://short.example/", f"<div class=x>{legal}</div><p>{article(n)}</p>") for n in range(8)]
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {n: article(n) for n in range(8)}
+
+
+def test_pages_of_one_content_have_one_vote(spark):
+    # Of three articles, one stands on twenty pages with the same aside: too few to call that template.
+    page = lambda k, n: f"<nav>{n}</nav><div class=x>One side text of the page</div><p>{f'Article {k} with words of its own. ' * 9}</p>"
+    rows = [(n, "http://few.example/", page(min(n, 2), n)) for n in range(22)]
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert all(r["text"].startswith("One side text") for r in got)
+
+
 def test_empty_table(spark):
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -4,13 +4,15 @@ Pages become trees of block elements; menus, scripts, forms and their like, know
 tag, role or class, are left out. The trees of a host's pages are aligned with those
 of a reference page of the host, and of one of their layout, by simple tree matching.
 Slots whose text hardly ever varies over those pages are template, all others are
-content: slots that vary and slots the references don't have. Pages that mostly repeat the reference's text are
-copies of its article, and don't vote. A host of few pages has no template.
+content: slots that vary and slots the references don't have. Pages that say hardly anything
+beyond the reference's text are copies of its article, and don't vote; pages of one
+content have one vote. A host of few pages has no template.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from understory.session import pin
 
 #: Votes that a slot needs, and the share of them that find the reference's text there, to be template.
 VOTES, CONSTANT = 5, 0.9
+#: Letters that a page has to say beyond the reference's text to vote: a sentence. With fewer it is a copy.
+OWN_LETTERS = 40
 #: The reference is the host's page whose size is nearest to this, in bytes.
 REFERENCE_BYTES = 4096
 #: Elements below this depth are taken for children of the one at this depth; their text stays.
@@ -324,11 +328,26 @@ class Reference:
         return cls.kept[page]
 
 
+def digest(page: Node) -> bytes:
+    """Digest of labels and texts of all nodes, equal for pages of one content wherever it is computed."""
+    said = hashlib.blake2b(digest_size=16)
+    stack: list[Node | None] = [page]
+    while stack:
+        node = stack.pop()
+        if node is None:
+            said.update(b"\x01")
+        else:
+            said.update(f"{node.label}\x02{node.text}\x03".encode("utf-8", "replace"))
+            stack.append(None)
+            stack.extend(reversed(node.children))
+    return said.digest()
+
+
 def votes(page: Node, reference: str) -> list[tuple[int, bool]]:
-    """Matched slots of the reference and whether the page has the same text there; none of a copy."""
+    """Matched slots of the reference and whether the page has the same text there; none of a copy, which says hardly anything of its own."""
     _, pairs = align(page, Reference.of(reference))
-    same = sum(len(b.text) for a, b in pairs if a.text == b.text)
-    if 2 * same > sum(len(b.text) for _, b in pairs):
+    own = sum(len(s.text) for s in slots(page)) - sum(len(a.text) for a, b in pairs if a.text == b.text)
+    if own < OWN_LETTERS:
         return []
     return [(b.number, a.text == b.text) for a, b in pairs]
 
@@ -383,25 +402,24 @@ def with_references(pages: DataFrame, chosen: DataFrame, columns: list[str]) ->
 def templates(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """``_host``, ``_layout``, ``_template``: numbers of the reference's slots that are template."""
     columns = ["_host", "_layout", "_html", "_reference", "_reference_own"]
+    kinds = {"_host": pa.string(), "_layout": pa.int64(), "digest": pa.binary(), "votes": pa.list_(pa.int32())}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int | None, int], list[int]] = {}
+            found: dict[tuple[str, int | None, bytes], list[int]] = {}
             for name, kind, page, *both in zip(*(batch.column(c).to_pylist() for c in columns)):
                 tree = content(page)
+                said = digest(tree)
                 for of, reference in zip((None, kind), both):
-                    for number, same in votes(tree, reference) if reference is not None else ():
-                        count = counts.setdefault((name, of, number), [0, 0])
-                        count[0] += 1
-                        count[1] += same
-            yield pa.RecordBatch.from_pylist(
-                [{"_host": k[0], "_layout": k[1], "slot": k[2], "n": v[0], "same": v[1]} for k, v in counts.items()],
-                pa.schema([("_host", pa.string()), ("_layout", pa.int64()), ("slot", pa.int32()), ("n", pa.int64()), ("same", pa.int64())]),
-            )
+                    if reference is not None and (name, of, said) not in found:
+                        found[name, of, said] = [2 * number + same for number, same in votes(tree, reference)]
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds, (*k, v))) for k, v in found.items() if v], pa.schema(list(kinds.items())))
 
     joined = with_references(pages.where("_html is not null"), chosen, ["_reference"]).where("_reference is not null").select(*columns)
-    counted = joined.mapInArrow(work, "_host string, _layout long, slot int, n long, same long")
-    counted = counted.groupBy("_host", "_layout", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    said = joined.mapInArrow(work, "_host string, _layout long, digest binary, votes array<int>")
+    # Pages of one content have one vote.
+    each = said.groupBy("_host", "_layout", "digest").agg(F.first("votes").alias("votes")).select("_host", "_layout", F.explode("votes").alias("vote"))
+    counted = each.groupBy("_host", "_layout", F.shiftright("vote", 1).alias("slot")).agg(F.count("*").alias("n"), F.sum(F.col("vote") % 2).alias("same"))
     constant = counted.where((F.col("n") >= VOTES) & (F.col("same") >= F.col("n") * CONSTANT))
     return constant.groupBy("_host", "_layout").agg(F.collect_list("slot").alias("_template"))
 
