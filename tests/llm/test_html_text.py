@@ -23,6 +23,21 @@ def test_parts_that_are_no_article_go():
     assert H.extract(html) == "A <title>\nOne\nTwo is here now\na\nb"
 
 
+def test_layouts_that_hold_most_of_the_text_stay():
+    text = "The article says what it has to say at some length, as articles do."
+    parts = f"<div class=sidebar>Our side text</div><p>{text}</p><form>Find</form>"
+    want = text
+    for start, end in (("<div class='post has-sidebar'>", "</div>"), ("<div id='content' class='with-sidebar'>", "</div>"), ("<form>", "</form>"), ("<div role=form>", "</div>")):
+        assert H.extract(f"<body><nav>{text * 3}</nav>{start}{parts}{end}<footer>Ours</footer></body>") == want
+        assert H.extract(f"<main>{start}{parts}{end}</main>") == want
+    assert H.extract(f"<div>{parts}</div><nav>{text * 3}</nav>") == want
+    assert H.extract(f"<article class=teaser>Short</article><div><p>{text}</p></div>") == f"Short\n{want}"
+    assert H.extract(f"<div>Before</div><article><p>{text}</p></article><div>After</div>") == want
+    assert H.extract(f"<article><p>{text}</p><div class=comments>{text * 3}</div></article><div class=ad>{text * 3}</div>") == want
+    assert H.extract(f"<div class='page sidebar'><p>{text}</p></div>") == want
+    assert H.extract(f"<nav>{text}</nav><div role=navigation>{text}</div>") == ""
+
+
 def test_broken_and_odd_pages():
     assert H.extract(None) == "" and H.extract("") == "" and H.extract("   ") == ""
     assert H.extract("no markup & 3 < 4") == "no markup & 3 < 4"

@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of block elements; menus, scripts, forms and their like, known by
-tag, role or class, are left out. The trees of a host's pages are aligned with those
+tag, role or class, are left out, unless a name or a form holds most of the page's text. The trees of a host's pages are aligned with those
 of a reference page of the host, and of one of their layout, by simple tree matching.
 Slots whose text hardly ever varies over those pages are template, all others are
 content: slots that vary and slots the references don't have. Pages that say hardly anything
@@ -44,6 +44,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("meta link base".split())
 OTHER = frozenset("nav header footer aside form button menu dialog head fieldset input".split())
+# Shares of the text: a part that holds more is no notice, whatever a name with a mark in it ('has-sidebar') or a tag of
+# WRAPS says; or a name that is a mark ('sidebar'). Other tags and roles count at any size.
+MOST, NEARLY_ALL, ALWAYS = 0.5, 0.9, float("inf")
+#: Of these elements, those that a page or an article may be wrapped in.
+WRAPS = frozenset(["header", "form", "fieldset"])
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 # Words of class names and identifiers that mark what is no article.
 MARKS = frozenset(
@@ -75,7 +80,8 @@ class Node:
     tag: str
     children: list = field(default_factory=list)
     text: str = ""
-    marked: bool = False
+    limit: float | None = None
+    letters: int = 0
     number: int = -1
     nodes: int = 0
     key: int | None = None
@@ -83,17 +89,21 @@ class Node:
     chain: tuple = ()
 
 
-def _mark(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """Label of an element, and whether its tag, role or names say that it is no article."""
+def _mark(tag: str, attributes: str, inside: bool) -> tuple[str, float | None]:
+    """Label of an element and, if its tag, role or names say that it is no article, the share of the text beyond which they don't count."""
     said = {}
     if attributes and "=" in attributes:
         for m in _named.finditer(attributes):
             said[m[1].lower()] = (m[2] or m[3] or m[4] or "").lower()
-    marked = tag in OTHER and not (inside and tag in OWN)
+    limits = [MOST if tag in WRAPS else ALWAYS] if tag in OTHER and not (inside and tag in OWN) else []
     if said and tag not in MAIN and tag not in ("html", "body"):
-        words = set(_apart.split(f"{said.get('class', '')} {said.get('id', '')}")) & MARKS
-        marked = marked or said.get("role") in ROLES or bool(words - OWN if inside else words)
-    return f"{tag}.{said.get('class', '')}", marked
+        marks = MARKS - OWN if inside else MARKS
+        names = f"{said.get('class', '')} {said.get('id', '')}"
+        if said.get("role") in ROLES:
+            limits.append(MOST if said["role"] in WRAPS else ALWAYS)
+        if marks.intersection(_apart.split(names)):
+            limits.append(NEARLY_ALL if marks.intersection(names.split()) else MOST)
+    return f"{tag}.{said.get('class', '')}", max(limits, default=None)
 
 
 def parse(page: str) -> Node:
@@ -137,7 +147,8 @@ def parse(page: str) -> Node:
             if tag == "tr" and stack[-1].tag == "tr":
                 stack.pop()
         inside = any(n.tag in MAIN for n in stack)
-        node = Node(*_mark(tag, m[3], inside)[:1], tag, marked=_mark(tag, m[3], inside)[1])
+        label, limit = _mark(tag, m[3], inside)
+        node = Node(label, tag, limit=limit)
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
             stack.append(node)
@@ -147,16 +158,24 @@ def parse(page: str) -> Node:
 
 
 def content(page: str | None) -> Node:
-    """The tree of what may be article: within article or main elements where there are any, without marked parts."""
+    """The tree of what may be article, without marked parts.
+
+    Names, forms and headers around most of the text of the page, or of the article or
+    main element they are in, are layout and stay. Where article or main elements hold
+    most of what is left, all else goes.
+    """
 
     def holds(node: Node) -> bool:
         found = [holds(c) for c in node.children]
         node.number = 1 if any(found) else 0
+        node.letters = len(node.text) + sum(c.letters for c in node.children if c.limit != ALWAYS or c.number)
         return node.tag in MAIN or node.number == 1
 
-    def prune(node: Node) -> Node:
+    def prune(node: Node, whole: int) -> Node:
         # A marked element around an article is a layout's name, not a notice.
-        node.children = [prune(c) for c in node.children if not c.marked or c.number == 1]
+        stays = [c for c in node.children if c.limit is None or c.number == 1 or c.letters > c.limit * whole]
+        node.children = [prune(c, c.letters if c.tag in MAIN else whole) for c in stays]
+        node.letters = len(node.text) + sum(c.letters for c in node.children)
         return node
 
     def mains(node: Node) -> Iterator[Node]:
@@ -168,8 +187,9 @@ def content(page: str | None) -> Node:
 
     root = parse(page or "")
     holds(root)
-    prune(root)
-    if found := list(mains(root)):
+    prune(root, root.letters)
+    found = list(mains(root))
+    if 2 * sum(c.letters for c in found) > root.letters:
         root.children = found
     for i, slot in enumerate(slots(root)):
         slot.number = i
