@@ -1,6 +1,7 @@
 """Partial matching: code lengths against a plain tree, held-out accuracy, edge cases."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -74,6 +75,19 @@ def test_nothing_to_learn(spark):
         assert [r["lang_pred"] for r in L.identify(df, model).collect()] == ["und"] * 3
 
 
+def test_no_gram_of_a_language_with_few_texts_is_cut(spark):
+    draw = random.Random(4)
+    many = [(f"l{k}", "".join(chr(draw.randrange(0x4E00 + 1500 * k, 0x4E00 + 1500 * (k + 1))) for _ in range(100_000))) for k in range(4)]
+    few = "".join(map(chr, range(0x0561, 0x0587)))
+    rows = spark.createDataFrame([(name, text + end) for name, text in many for end in ("", "x")] + [("few", few)], "lang string, text string")
+    counted = L.count_grams(rows)
+    assert counted.count() > 400_000
+    model = L.fit(rows, per_language=10)
+    assert len(model.cost[L.ORDER]) - 1 == counted.where(f"length = {L.ORDER + 1}").select("gram").distinct().count()
+    texts = spark.createDataFrame([("few", few[3:20]), *((name, text[100:120]) for name, text in many)], "lang string, text string")
+    assert all(r["lang"] == r["lang_pred"] for r in L.identify(texts, model).collect())
+
+
 def test_ties_go_to_the_first_name(spark):
     df = spark.createDataFrame([("b", "same words"), ("a", "same words")], "lang string, text string")
     assert {(r["lang_pred"], r["score"]) for r in L.identify(df, L.fit(df)).collect()} == {("a", 0.5)}

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from understory.llm.common import small_side
@@ -27,8 +28,6 @@ from understory.llm.common import small_side
 ORDER = 3
 #: Labelled texts that a language is fitted on, in expectation.
 SAMPLE_TEXTS = 1500
-#: Grams (a context and its follower, over all languages) that the model keeps, the most frequent ones.
-MAX_GRAMS = 400_000
 #: Bytes scored at a time.
 PIECE = 1 << 20
 
@@ -140,15 +139,17 @@ def sample(rows: DataFrame, per_language: int, language: str = "lang", text: str
     return drawn.select("lang", "text").dropDuplicates()
 
 
-def fit(rows: DataFrame, language: str = "lang", text: str = "text", per_language: int = SAMPLE_TEXTS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(rows: DataFrame, language: str = "lang", text: str = "text", per_language: int = SAMPLE_TEXTS) -> Model:
     """Learns from the labelled texts of ``rows``; rows without a language or text are passed over.
 
-    What reaches the driver is bounded by ``max_grams`` rows of four numbers.
+    All grams of the sample reach the driver, as rows of four numbers: the texts a
+    language and ``ORDER`` bound them, not the rows of the corpus.
     """
-    counted = count_grams(sample(rows, per_language, language, text))
-    kept = counted.orderBy(F.desc("n"), "length", "gram", "lang").limit(max_grams).toArrow()
-    columns = (np.array(kept.column(c).to_pylist(), t) for c, t in (("lang", object), ("gram", np.int64), ("length", np.int64), ("n", float)))
-    return build(*columns)
+    found = count_grams(sample(rows, per_language, language, text)).toArrow()
+    names = pc.dictionary_encode(found.column("lang")).combine_chunks()
+    known = np.array(names.dictionary.to_pylist(), object)
+    columns = (found.column(c).to_numpy() for c in ("gram", "length", "n"))
+    return build(known[names.indices.to_numpy()], *columns)
 
 
 def build(names: np.ndarray, grams: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> Model:
