@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from understory.llm import jaccard as J
@@ -101,6 +102,19 @@ def test_runs_reach_the_recall():
     assert J.runs_needed(0.8, 0.9) < J.runs_needed(0.8, 0.9999) < J.runs_needed(0.5, 0.9999) < 60
 
 
+def test_runs_and_floor_on_one_sketch_lose_no_more_than_stated():
+    draw = np.random.default_rng(5)
+    runs, floor = J.runs_needed(0.8, 0.9999), J.floor_needed(0.8, 0.9999)
+    equal, n = draw.binomial(J.POSITIONS, 0.8, 4_000_000), 4_000_000
+    # A last bucket is shared if a path of positions, one or (in a quarter of cases) two at each step, is equal all along.
+    chance = np.ones(J.POSITIONS + 1)
+    q = np.arange(J.POSITIONS + 1) / J.POSITIONS
+    for _ in range(J.DEPTH):
+        chance = 0.75 * q * chance + 0.25 * (1 - (1 - q * chance) ** 2)
+    missed = (equal < floor) | (draw.random(n) < (1 - chance[equal]) ** runs)
+    assert missed.mean() < 1.15e-4
+
+
 def test_empty_table_and_bad_threshold(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert joined(empty) == [] and J.keep_one(empty).collect() == []

@@ -17,6 +17,7 @@ links and enough links to keep groups connected, never all pairs.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -33,8 +34,6 @@ from understory.session import pin
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Positions of a sketch, splits of a bucket at most, and members up to which a bucket is small.
 POSITIONS, DEPTH, SMALL = 64, 3, 256
-#: Standard deviations by which a sketch may fall short of the threshold.
-SLACK = 4.0
 #: Members and shingles of a block in exact comparison.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 4_000_000
 
@@ -80,13 +79,34 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def _equal(threshold: float) -> list[float]:
+    """Probability that a pair at the threshold has 0, 1, ... equal positions."""
+    return [math.comb(POSITIONS, k) * threshold**k * (1 - threshold) ** (POSITIONS - k) for k in range(POSITIONS + 1)]
+
+
+def floor_needed(threshold: float, recall: float) -> int:
+    """Equal positions that a candidate needs: at most a tenth of the loss is pairs at the threshold with fewer."""
+    lost = list(itertools.accumulate(_equal(threshold)))
+    return next(k for k, p in enumerate(lost) if p > (1 - recall) / 10)
+
+
 def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has shared a last bucket with probability ``recall``."""
-    stay, base, more = 1.0, int(1 / threshold), 1 / threshold % 1
-    for _ in range(depth):
-        apart = 1 - threshold * stay
-        stay = 1 - apart**base * (1 - more + more * apart)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stay)))
+    """Runs after which a pair at the threshold is a candidate with probability ``recall``.
+
+    All runs read one sketch: given its equal positions they are independent, over all pairs they aren't.
+    """
+    chances, floor, base, more = _equal(threshold), floor_needed(threshold, recall), int(1 / threshold), 1 / threshold % 1
+    apart_once = []
+    for k in range(floor, POSITIONS + 1):
+        stay = 1.0
+        for _ in range(depth):
+            apart = 1 - k / POSITIONS * stay
+            stay = 1 - apart**base * (1 - more + more * apart)
+        apart_once.append(1 - stay)
+    below, runs = sum(chances[:floor]), 1
+    while below + sum(p * miss**runs for p, miss in zip(chances[floor:], apart_once)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -302,6 +322,8 @@ def _classed(docs: DataFrame, threshold: float, recall: float, doc_id: str, text
     """The rows of ``join`` with ``_id`` and ``_text_id``."""
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
+    if not 0 < recall < 1:
+        raise ValueError("the recall must lie between 0 and 1")
     every = pin(sketched(docs, doc_id, text))
     one = F.min(F.struct("_id", F.col("_text_id").alias("_tid"))).alias("_one")
     members = pin(
@@ -309,8 +331,7 @@ def _classed(docs: DataFrame, threshold: float, recall: float, doc_id: str, text
         .agg(F.first("_sketch").alias("_sketch"), F.first("_n").alias("_n"), F.count("*").alias("_copies"), F.min("_id").alias("_least"), one)
     )
     found = buckets(members, threshold, runs_needed(threshold, recall))
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / POSITIONS)
-    groups = pin(components(candidates(members, found, least)))
+    groups = pin(components(candidates(members, found, floor_needed(threshold, recall) / POSITIONS)))
     links = pin(verified(docs, members, groups, threshold, doc_id, text))
     classes = components(links.select(F.col("_set").alias("a"), F.col("_low").alias("b")))
     counts = links.groupBy("_set").agg(F.sum("_links").alias("_links"))
