@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, decontaminate, html_text, jaccard, language, line_dedup, quality, sharding, token_counts, warc
+from understory.llm import alignment, bpe, decontaminate, html_text, jaccard, language, line_dedup, packing, quality, resampling, sharding, token_counts, warc
 from understory.session import pin
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -106,6 +106,26 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by their likeness to the benchmark."""
+    return resampling.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_shared_cut_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of the byte-level and the piece vocabulary for every document, with corpus-wide counts of id pairs."""
+    b = public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), b)
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    kept = found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times")
+    return alignment.weigh(kept, alignment.size_of(b)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 OP4_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b),
@@ -167,6 +187,48 @@ LEFT JOIN (
 """
 
 
+#: The CRC goes over a string's bytes, bit by bit through a table of 256 words that the first part makes.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, 0 AS aim
+  FROM documents
+  UNION ALL
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1
+  FROM benchmark),
+features AS (
+  SELECT aim, doc_id, unnest(ws) AS f FROM words
+  UNION ALL
+  SELECT aim, doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT aim, doc_id, ws, unnest(range(1, len(ws))) AS i FROM words)),
+distinct_features AS (
+  SELECT f, hex(encode(f)) AS h, (octet_length(encode(f)))::BIGINT AS n FROM (SELECT DISTINCT f FROM features)),
+hashes AS (
+  SELECT f, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM distinct_features, crc),
+placed AS (SELECT aim, doc_id, bucket FROM features JOIN hashes USING (f)),
+sums AS (SELECT bucket, count(*) FILTER (aim = 0) AS s, count(*) FILTER (aim = 1) AS t FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((sums.t + 1)::DOUBLE * (totals.s + 10000)) / ((sums.s + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS gain
+  FROM sums, totals),
+weights AS (SELECT doc_id, count(*) AS n, sum(gain) AS g FROM placed JOIN gains USING (bucket) WHERE aim = 0 GROUP BY doc_id),
+scored AS (
+  SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_features, len(ws) AS n_words,
+    CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || words.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+  FROM words LEFT JOIN weights USING (doc_id) WHERE aim = 0),
+able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, n_features, weight, weight + noise AS score, r AS rank
+FROM scored LEFT JOIN able ON able.doc_id = scored.doc_id AND r <= 25 * n // 100
+"""
+
+
 def op8_sql() -> str:
     """The filled table as a list; the key's slot and its lookup are SQL's own."""
     table = ", ".join(str(i) for i in sharding.fill(SHARDS, SLOTS))
@@ -178,7 +240,7 @@ def op8_sql() -> str:
 
 
 def queries() -> dict:
-    registered = [op1_bpe_round_trip, op2_wrapper_text, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language, op10_chosen_path_join]
+    registered = [op1_bpe_round_trip, op2_wrapper_text, op3_edit_decontamination, op4_warc_bundles, op5_line_frequency_rules, op6_edited_token_counts, op7_line_windows, op8_lookup_sharding, op9_ppm_language, op10_chosen_path_join, op11_cost_balanced_packing, op12_importance_resampling, op13_shared_cut_alignment]
     return {f.__name__: f for f in registered}
 
 
@@ -188,4 +250,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_frequency_rules": OP5_SQL,
         "op7_line_windows": OP7_SQL,
         "op8_lookup_sharding": op8_sql(),
+        "op12_importance_resampling": OP12_SQL,
     }
