@@ -18,6 +18,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -27,6 +28,8 @@ from understory.session import pin, scratch_path
 BUCKETS = 10_000
 #: Percent of the documents of at least so many words that are drawn, and the key of the noise.
 PERCENT, LEAST_WORDS, SEED = 25, 20, 7
+#: Bytes of text whose distinct features are hashed at once.
+PART_BYTES = 1 << 20
 
 # A-Z become a-z, digits and bytes beyond ASCII stay, all else separates words.
 _letters = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -118,6 +121,15 @@ def buckets_of(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.nd
     return n_words, n_features, out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in parts of about ``PART_BYTES`` of text."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    part = np.cumsum(size, dtype=np.int64) // PART_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def hashed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS) -> DataFrame:
     """``keep``, ``n_words``, ``n_features`` and ``buckets`` (packed integers) of every row. Null texts have no words."""
     if not 0 < buckets <= 1 << 32:
@@ -128,7 +140,7 @@ def hashed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField(n, t) for n, t in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             n_words, n_features, found = buckets_of(batch.column("text").to_pylist(), buckets)
             ends = pa.array(np.concatenate([[0], kind.itemsize * np.cumsum(n_features)]).astype(np.int32))
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(found.astype(kind))])
