@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from understory.functions import noise
 from understory.operators import draws, fit, groups, predict
 from understory.operators.design import Formula, design, nested_groups, reduced
 from understory.plans import models, plot_scale, plot_share, species_model
@@ -185,14 +186,37 @@ def test_too_many_draws_are_refused(spark, data, monkeypatch):
         predict.predict(frame, model, drawn)
 
 
-def test_level_effects_move_predictions_and_unseen_levels_count_zero(spark, data):
+EFFECTS = "grp string, level string, estimate double, est_error double, group_sd double"
+
+
+def test_level_effects_move_predictions(spark, data):
     frame, model, drawn, eta = fitted(spark, data, "lognormal")
-    effects = spark.createDataFrame([("area", "0", 0.7), ("island", "i1", -0.2), ("area:plot", "9:9", 5.0)], "grp string, level string, estimate double")
+    effects = spark.createDataFrame([("area", "0", 0.7, 0.0, 0.0), ("island", "i1", -0.2, 0.0, 0.0), ("area:plot", "9:9", 5.0, 0.0, 0.0)], EFFECTS)
     got = predict.predict(frame, model, drawn, noise=False, effects=effects).orderBy("row_id").collect()
     i = np.arange(200)
     shift = 0.7 * (i % 3 == 0) - 0.2 * (i % 4 == 1)
     want = np.exp(eta + shift[:, None] + model.scale**2 / 2).mean(1)
     assert [r["estimate"] for r in got] == pytest.approx(list(want))
+    with pytest.raises(ValueError, match="no effects"):
+        predict.predict(frame, model, drawn, effects=effects.where("grp = 'area'"))
+
+
+def test_levels_are_drawn_with_their_error_and_unseen_ones_with_the_deviation_of_the_factor(spark, data):
+    frame, model, drawn, eta = fitted(spark, data, "gaussian")
+    effects = spark.createDataFrame([("area", "0", 0.7, 0.5, 2.0), ("island", "i1", 0.0, 0.0, 0.0), ("area:plot", "9:9", 0.0, 0.0, 0.0)], EFFECTS)
+    got = predict.predict(frame, model, drawn, noise=False, effects=effects).orderBy("row_id").collect()
+    numbers = np.array(sorted(r["draw"] for r in drawn.select("draw").collect()))
+    text = spark.createDataFrame([(f"area|{v}",) for v in "012"], "t string").select("t", noise.text_key(F.col("t")).alias("k")).collect()
+    keys = {r["t"][-1]: r["k"] for r in text}
+    z = {v: noise.normals(np.array([k]), numbers, 1, noise.LEVEL)[0] for v, k in keys.items()}
+    shift = np.array([0.7 + 0.5 * z["0"] if i % 3 == 0 else 2.0 * z[str(i % 3)] for i in range(200)])
+    want = eta + shift
+    assert [r["estimate"] for r in got] == pytest.approx(list(want.mean(1)))
+    assert [r["est_error"] for r in got] == pytest.approx(list(want.std(1, ddof=1)))
+    assert [r["q97_5"] for r in got] == pytest.approx(list(np.quantile(want, 0.975, axis=1)))
+    # In another order and other partitions a level keeps its draws.
+    again = predict.predict(frame.repartition(7), model, drawn, noise=False, effects=effects).orderBy("row_id").collect()
+    assert [list(r) for r in got] == [pytest.approx(list(r), rel=1e-10) for r in again]
 
 
 def test_pointwise_fit_equals_the_table_form(spark, data):

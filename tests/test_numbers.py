@@ -265,21 +265,31 @@ def test_rows_without_a_position_have_no_neighbour(spark):
     assert {r["id"]: r["rac"] for r in spatial.autocovariate(df, "z", lon="lon", lat="lat").collect()} == {1: 3.0, 2: 1.0, 3: 0.0, 4: 0.0}
 
 
-def test_noise_is_the_same_in_every_engine_and_normal(spark, duck):
-    rows, numbers = np.array([5, 77, 2**27]), np.arange(1, 5)
-    want = noise.normals(rows, numbers, 3)
-    df = spark.createDataFrame([(int(r), int(d)) for r in rows for d in numbers], "r long, d long")
-    got = [x[0] for x in df.select(noise.normal_column(F.col("r"), F.col("d"), 3)).collect()]
-    assert got == pytest.approx(list(want.ravel()), abs=1e-12)
-    sql = [duck.execute(f"SELECT {noise.normal_sql(f'{r}::BIGINT', f'{d}::BIGINT', 3)}").fetchone()[0] for r in rows for d in numbers]
+def test_noise_of_terms_is_the_same_in_spark_and_sql(spark, duck):
+    keys = [(r, d) for r in (1, 5, 77) for d in range(1, 5)]
+    got = [x[0] for x in spark.createDataFrame(keys, "r long, d long").select(noise.normal_column(F.col("r"), F.col("d"), 3)).collect()]
+    sql = [duck.execute(f"SELECT {noise.normal_sql(f'{r}::BIGINT', f'{d}::BIGINT', 3)}").fetchone()[0] for r, d in keys]
     assert sql == pytest.approx(got, abs=1e-12)
-    key = spark.createDataFrame([("a", 1)], "x string, y int").select(noise.row_key("x", "y")).first()[0]
-    assert key == duck.execute(f"""SELECT {noise.row_key_sql("'a|1'")}""").fetchone()[0]
+
+
+def test_noise_of_rows_is_the_same_in_sql_and_normal(spark, duck):
+    rows, numbers = np.array([5, -77, 2**62]), np.arange(1, 5)
+    want = noise.normals(rows, numbers, 3, noise.LEVEL)
+    parts = lambda r: [noise.salted_sql(f"({r}::HUGEINT & {noise.FULL}::HUGEINT)::UBIGINT", noise.LEVEL + k, 3) for k in (0, 1)]
+    sql = [duck.execute(f"SELECT {noise.deviate_sql(*parts(r), noise.mix64_sql(f'{d}::UBIGINT'))}").fetchone()[0] for r in rows for d in numbers]
+    assert sql == pytest.approx(list(want.ravel()), abs=1e-12)
     z = noise.normals(np.arange(400) * 31, np.arange(4000), 1)
     assert abs(z.mean()) < 0.005 and abs(z.std() - 1) < 0.005 and abs((z**4).mean() - 3) < 0.05
     assert abs(np.corrcoef(z[:30])[np.triu_indices(30, 1)]).max() < 0.09
 
 
+def test_row_keys_have_64_bits(spark, duck):
+    key = spark.createDataFrame([("a", 1)], "x string, y int").select(noise.row_key("x", "y")).first()[0]
+    assert key & noise.FULL == duck.execute(f"""SELECT {noise.row_key_sql("'a|1'")}""").fetchone()[0]
+    many = spark.range(300_000).select(noise.row_key("id").alias("k"))
+    assert many.distinct().count() == 300_000 and many.where("k < 0").count() > 140_000
+
+
 def test_rhat_goes_by_position_in_the_chain(spark):
     rng = np.random.default_rng(4)
     values = rng.normal(size=(2, 200)) + np.linspace(0, 2, 200)

@@ -1,7 +1,9 @@
 """Uniform numbers as a function of what they are for: a row, a draw, a purpose and a seed.
 
-Plain integer arithmetic below 2^62, so that numpy, Spark and SQL give the same
-numbers, whatever the partitions, batches or order of the rows.
+Rows and levels have keys of 64 bits and numbers of 53, by 64-bit mixing that numpy and
+SQL compute alike. Draws of terms, whose keys are small numbers, use plain integer
+arithmetic below 2^62, which Spark's functions compute too. Partitions, batches and the
+order of rows change nothing.
 """
 
 from __future__ import annotations
@@ -38,14 +40,44 @@ def mix_sql(h: str) -> str:
     return h
 
 
+# Two rounds of a 64-bit multiplication, each after a shift.
+FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+FULL = (1 << 64) - 1
+#: Purposes of the two numbers of a level's deviate.
+LEVEL = 16
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit integers."""
+    for factor in FACTORS:
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+def mix64_sql(h: str) -> str:
+    for factor in FACTORS:
+        h = f"(((xor({h}, {h} >> 32))::UHUGEINT * {factor}::UHUGEINT) & {FULL}::UHUGEINT)::UBIGINT"
+    return f"xor({h}, {h} >> 32)"
+
+
+def salt64(purpose: int, seed: int) -> int:
+    return int(mix64(np.array([(seed << 32) + purpose + 1], np.uint64))[0])
+
+
 def row_key(*ids: str) -> Column:
-    """28 bits of the identity of a row."""
+    """64 bits of the identity of a row, as a signed number."""
     text = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in ids])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+    return text_key(text)
+
+
+def text_key(text: Column) -> Column:
+    digest = F.md5(text.cast("binary"))
+    half = [F.conv(F.substring(digest, start, 8), 16, 10).cast("long") for start in (1, 9)]
+    return F.shiftleft(half[0], 32).bitwiseOR(half[1])
 
 
 def row_key_sql(identity: str) -> str:
-    return f"('0x' || substr(md5(({identity})::VARCHAR), 1, 7))::BIGINT"
+    return f"('0x' || substr(md5(({identity})::VARCHAR), 1, 16))::UBIGINT"
 
 
 def salt(purpose: int, seed: int) -> int:
@@ -54,15 +86,27 @@ def salt(purpose: int, seed: int) -> int:
 
 
 def uniforms(rows: np.ndarray, draws: np.ndarray, purpose: int, seed: int) -> np.ndarray:
-    """Matrix of numbers strictly between 0 and 1 for every row and draw."""
-    left, right = mix(rows.astype(np.int64) ^ salt(purpose, seed)), mix(draws.astype(np.int64))
-    return (mix(left[:, None] ^ right[None, :]) + 0.5) / (MASK + 1.0)
+    """Matrix of numbers strictly between 0 and 1 for every row key and draw."""
+    left = mix64(np.asarray(rows).astype(np.int64).view(np.uint64) ^ np.uint64(salt64(purpose, seed)))
+    right = mix64(np.asarray(draws).astype(np.int64).view(np.uint64))
+    return ((mix64(left[:, None] ^ right[None, :]) >> np.uint64(11)) + 0.5) / 2.0**53
 
 
-def normals(rows: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+def normals(rows: np.ndarray, draws: np.ndarray, seed: int, purpose: int = 0) -> np.ndarray:
     """Matrix of standard normal deviates."""
-    radius = np.sqrt(-2.0 * np.log(uniforms(rows, draws, 0, seed)))
-    return radius * np.cos((2.0 * math.pi) * uniforms(rows, draws, 1, seed))
+    radius = np.sqrt(-2.0 * np.log(uniforms(rows, draws, purpose, seed)))
+    return radius * np.cos((2.0 * math.pi) * uniforms(rows, draws, purpose + 1, seed))
+
+
+def salted_sql(key: str, purpose: int, seed: int) -> str:
+    """A key's part of its numbers of one purpose; a draw's part is ``mix64_sql`` of its number."""
+    return mix64_sql(f"xor({key}, {salt64(purpose, seed)}::UBIGINT)")
+
+
+def deviate_sql(first: str, second: str, draw: str) -> str:
+    """Normal deviate of a key's two parts and a draw's part."""
+    u = [f"((({mix64_sql(f'xor({x}, {draw})')}) >> 11)::DOUBLE + 0.5) / {2.0**53!r}" for x in (first, second)]
+    return f"(sqrt(-2.0 * ln({u[0]})) * cos({2.0 * math.pi!r} * {u[1]}))"
 
 
 def uniform_column(row: Column, draw: Column, purpose: int, seed: int) -> Column:

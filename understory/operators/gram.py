@@ -97,7 +97,7 @@ class Gram:
             raise ArithmeticError("the cross-products lost too many digits")
         coef = self._unshifted() @ coef
         coef[0] += self.y_shift
-        return coef, abs(residual)
+        return coef, max(residual, 0.0)
 
     def inverse(self) -> np.ndarray:
         """Inverse of the cross-products of the columns as they are."""

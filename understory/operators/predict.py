@@ -2,8 +2,12 @@
 
 The draws go to the tasks as one matrix; their number is a setting of the analysis
 and doesn't grow with the data. Rows are taken in chunks whose size follows from the
-number of draws. Simulated outcomes depend on row, draw and seed only. Level effects
-of a fitted model join the linear predictor by level; a level without one counts zero.
+number of draws. Simulated outcomes depend on row, draw and seed only.
+
+Level effects of a fitted model join the rows by level, as an estimate and its error. Their
+draws are made inside the task, by a generator keyed by level, draw and seed, so all rows of a
+level share them and no row of a level and a draw ever exists. A level that was never
+seen is drawn around zero by the deviation of its factor.
 """
 
 from __future__ import annotations
@@ -16,15 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from understory.functions.links import log_gamma_array
-from understory.functions.noise import mix_column, normals, row_key, salt, uniforms
+from understory.functions.noise import FULL, LEVEL, mix_column, normals, row_key, salt, text_key, uniforms
 from understory.functions.nulls import match_join
 from understory.operators.fit import Fit, ZeroOneFit, complete
 from understory.operators.gram import batch_sums, to_matrix
+from understory.session import pin
 
 #: Largest matrix of draws, in bytes; a larger one is refused.
 DRAW_LIMIT_BYTES = 512 << 20
 #: Values of one row-by-draw matrix in a task, and of all of them together that are worth a task.
 CHUNK_VALUES, TASK_VALUES = 1 << 20, 1 << 27
+#: Tasks for every core beyond which more of them don't help.
+TASKS_PER_SLOT = 4
+#: Bytes of a factor's levels up to which its effects are broadcast.
+BROADCAST_BYTES = 32 << 20
 SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
 
 
@@ -56,7 +65,7 @@ class Response:
         y = np.empty_like(mu)
         # No closed form: a generator for every row, keyed by the row, over all draws in their order.
         for i, key in enumerate(keys):
-            rng = np.random.Generator(np.random.Philox(key=[seed, int(key)]))
+            rng = np.random.Generator(np.random.Philox(key=[seed, int(key) & FULL]))
             if self.family == "binomial":
                 y[i] = rng.binomial(int(trials[i]), mu[i]) / trials[i]
             else:
@@ -111,44 +120,66 @@ def draw_matrix(draws: DataFrame, model: Fit) -> tuple[np.ndarray, np.ndarray]:
     return numbers[order].astype(np.int64), beta[order]
 
 
-def with_level_effects(frame: DataFrame, model: Fit, effects: DataFrame | None, name: str = "__offset") -> DataFrame:
-    """``frame`` with the sum of its rows' level effects. Every factor is one equi-join on its levels."""
-    out = frame.withColumn(name, F.lit(0.0))
-    for g in model.formula.group_names if effects is not None else []:
-        levels = effects.where(F.col("grp") == g).select(F.col("level").alias("__level"), F.col("estimate").alias("__effect"))
-        out = match_join(out.withColumn("__level", F.col(f"`{g}`").cast("string")), levels, ["__level"], "left")
-        out = out.withColumn(name, F.col(name) + F.coalesce("__effect", F.lit(0.0))).drop("__level", "__effect")
+def with_level_effects(frame: DataFrame, model: Fit, effects: DataFrame | None) -> DataFrame:
+    """``frame`` with ``__key<i>``, ``__mean<i>`` and ``__error<i>`` of every factor's level. Every factor is one equi-join on its levels."""
+    if effects is None:
+        return frame
+    size = F.sum(F.coalesce(F.octet_length("level"), F.lit(0)) + 32)
+    factors = {r["grp"]: r for r in effects.groupBy("grp").agg(F.max("group_sd").alias("sd"), size.alias("bytes")).collect()}  # one row a factor
+    out = frame
+    for i, g in enumerate(model.formula.group_names):
+        if g not in factors:
+            raise ValueError(f"no effects of {g}")
+        levels = effects.where(F.col("grp") == g).select(F.col("level").alias("__level"), F.col("estimate").alias("__m"), F.col("est_error").alias("__e"))
+        levels = F.broadcast(levels) if factors[g]["bytes"] <= BROADCAST_BYTES else levels
+        level = F.col(f"`{g}`").cast("string")
+        out = match_join(out.withColumn("__level", level), levels, ["__level"], "left").withColumns(
+            {
+                f"__key{i}": text_key(F.concat_ws("|", F.lit(g), "__level")),
+                f"__mean{i}": F.coalesce("__m", F.lit(0.0)),
+                f"__error{i}": F.coalesce("__e", F.lit(float(factors[g]["sd"] or 0.0))),
+            }
+        ).drop("__level", "__m", "__e")
     return out
 
 
 def _rows(frame: DataFrame, model: Fit, effects: DataFrame | None, n_draws: int, keep: list[str], more: dict[str, Column], trials: str | None, key: list[str]) -> DataFrame:
-    """Design columns, offset, key and trials of complete rows, dealt by the work they make.
+    """Design columns, level effects, key and trials of complete rows, dealt by the work they make.
 
     A row is small but costs thousands of draws, so partitions that are right by
-    size would leave most cores idle; their number grows with rows and draws.
+    size may leave most cores idle. Only then the rows are dealt anew. They are kept, since
+    their number decides.
     """
     x = [F.col(f"`{t}`").cast("double").alias(f"__x{i}") for i, t in enumerate(model.formula.terms)]
     held = with_level_effects(frame, model, effects)
     for t in model.formula.terms:
         held = held.where(F.col(f"`{t}`").isNotNull() & ~F.isnan(F.col(f"`{t}`").cast("double")))
     size = F.lit(1.0) if trials is None else F.col(f"`{trials}`").cast("double")
-    rows = held.select(*keep, row_key(*key).alias("__key"), "__offset", size.alias("__trials"), *[c.alias(n) for n, c in more.items()], *x)
-    tasks = max(1, math.ceil(frame.count() * n_draws / TASK_VALUES))
-    least = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(tasks, least), "__key")
+    levels = [f"__{c}{i}" for i in range(len(model.formula.group_names) if effects is not None else 0) for c in ("key", "mean", "error")]
+    rows = pin(held.select(*keep, row_key(*key).alias("__key"), size.alias("__trials"), *levels, *[c.alias(n) for n, c in more.items()], *x))
+    tasks = max(1, math.ceil(rows.count() * n_draws / TASK_VALUES))
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    wanted = max(slots, min(tasks, TASKS_PER_SLOT * slots))
+    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted, "__key")
 
 
-def _chunks(batch: pa.RecordBatch, beta: np.ndarray, extra: list[str] = []):
+def _chunks(batch: pa.RecordBatch, numbers: np.ndarray, beta: np.ndarray, seed: int, extra: list[str] = []):
     """(slice, key, trials, linear predictor, extra columns) of parts of a batch."""
     names = [f"__x{i}" for i in range(beta.shape[1] - 1)]
-    table = to_matrix(batch, ["__offset", "__trials", *names, *extra])
+    factors = sum(c.startswith("__mean") for c in batch.schema.names)
+    table = to_matrix(batch, ["__trials", *names, *extra])
     keys = batch.column("__key").to_numpy()
+    level_keys = [batch.column(f"__key{i}").to_numpy() for i in range(factors)]
+    effects = [to_matrix(batch, [f"__mean{i}", f"__error{i}"]) for i in range(factors)]
     size = max(1, CHUNK_VALUES // max(1, len(beta)))
     for start in range(0, len(table), size):
         part = slice(start, start + size)
         rows = table[part]
-        x = np.column_stack([np.ones(len(rows)), rows[:, 2 : 2 + len(names)]])
-        yield part, keys[part], rows[:, 1], x @ beta.T + rows[:, :1], rows[:, 2 + len(names) :]
+        eta = np.column_stack([np.ones(len(rows)), rows[:, 1 : 1 + len(names)]]) @ beta.T
+        for at, effect in zip(level_keys, effects):
+            distinct, level = np.unique(at[part], return_inverse=True)
+            eta += effect[part, :1] + effect[part, 1:] * normals(distinct, numbers, seed, LEVEL)[level]
+        yield part, keys[part], rows[:, 0], eta, rows[:, 1 + len(names) :]
 
 
 def predict(
@@ -179,7 +210,7 @@ def predict(
         numbers, beta = shared.value
         for batch in batches:
             out = np.empty((4, batch.num_rows))
-            for part, keys, sizes, eta, _ in _chunks(batch, beta):
+            for part, keys, sizes, eta, _ in _chunks(batch, numbers, beta, seed):
                 y = response.simulated(eta, keys, numbers, seed, sizes) if noise else response.expected(eta)
                 out[0, part] = y.mean(axis=1)
                 out[1, part] = y.std(axis=1, ddof=1)
@@ -191,11 +222,11 @@ def predict(
 
 
 def residuals(
-    frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, keep: tuple[str, ...] = ("row_id",), effects: DataFrame | None = None
+    frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, keep: tuple[str, ...] = ("row_id",), effects: DataFrame | None = None, seed: int = 1
 ) -> DataFrame:
     """Observed minus expected response, summarised over draws."""
     y = _parts(model)[0].formula.response
-    fitted = predict(frame, model, draws, noise=False, keep=(*dict.fromkeys([*keep, y]),), effects=effects)
+    fitted = predict(frame, model, draws, noise=False, keep=(*dict.fromkeys([*keep, y]),), effects=effects, seed=seed)
     return fitted.select(
         *keep,
         (F.col(y) - F.col("estimate")).alias("estimate"),
@@ -210,12 +241,12 @@ def mean_residual(frame: DataFrame, model: Fit, name: str = "residual") -> DataF
     return frame.withColumn(name, F.col(model.formula.response) - model.mean())
 
 
-def bayes_r2(frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effects: DataFrame | None = None) -> DataFrame:
+def bayes_r2(frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effects: DataFrame | None = None, seed: int = 1) -> DataFrame:
     """Per draw: var(expected) / (var(expected) + var(residual)) over the complete rows."""
     fitted, response = _parts(model)
     numbers, beta = draw_matrix(draws, fitted)
     spark = frame.sparkSession
-    shared = spark.sparkContext.broadcast(beta)
+    shared = spark.sparkContext.broadcast((numbers, beta))
     known = complete(frame, fitted.formula)
     y = F.col(fitted.formula.response).cast("double")
     # Variances do not depend on a shift; this one keeps the squares small.
@@ -223,7 +254,7 @@ def bayes_r2(frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effect
     data = _rows(known, fitted, effects, len(numbers), [], {"__y": y}, None, ["row_id"])
 
     def part(batch):
-        for _, _, _, eta, more in _chunks(batch, shared.value, ["__y"]):
+        for _, _, _, eta, more in _chunks(batch, *shared.value, seed, ["__y"]):
             mu = response.expected(eta)
             error = more - mu
             mu = mu - centre
@@ -238,7 +269,7 @@ def bayes_r2(frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effect
 
 
 def pointwise_fit(
-    frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effects: DataFrame | None = None, trials: str | None = None
+    frame: DataFrame, model: Fit | ZeroOneFit, draws: DataFrame, effects: DataFrame | None = None, trials: str | None = None, seed: int = 1
 ) -> DataFrame:
     """Predictive fit of every complete row over the draws: ``lppd``, ``p_waic``, ``elpd``, ``waic``, ``elpd_loo``.
 
@@ -247,7 +278,7 @@ def pointwise_fit(
     """
     fitted, response = _parts(model)
     numbers, beta = draw_matrix(draws, fitted)
-    shared = frame.sparkSession.sparkContext.broadcast(beta)
+    shared = frame.sparkSession.sparkContext.broadcast((numbers, beta))
     known = complete(frame, fitted.formula)
     y = F.col(fitted.formula.response).cast("double")
     data = _rows(known, fitted, effects, len(numbers), ["row_id"], {"__y": y}, trials, ["row_id"])
@@ -256,7 +287,7 @@ def pointwise_fit(
     def run(batches):
         for batch in batches:
             out = np.empty((5, batch.num_rows))
-            for part, _, sizes, eta, more in _chunks(batch, shared.value, ["__y"]):
+            for part, _, sizes, eta, more in _chunks(batch, *shared.value, seed, ["__y"]):
                 ll = response.log_density(more, eta, sizes)
                 top, low = ll.max(1, keepdims=True), ll.min(1, keepdims=True)
                 lppd = top[:, 0] + np.log(np.exp(ll - top).mean(1))
@@ -306,7 +337,7 @@ def predictive_check(
 
     def part(batch):
         numbers, beta = shared.value
-        for _, keys, sizes, eta, more in _chunks(batch, beta, ["__y"]):
+        for _, keys, sizes, eta, more in _chunks(batch, numbers, beta, seed, ["__y"]):
             yield 0, np.bincount(place(more[:, 0]), minlength=bins + 2)
             simulated = place(response.simulated(eta, keys, numbers, seed, sizes))
             for k in range(simulated.shape[1]):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from understory.functions.noise import MASK, mix_sql, normal_sql, row_key_sql, salt
+from understory.functions.noise import LEVEL, deviate_sql, mix64_sql, mix_sql, normal_sql, row_key_sql, salt, salted_sql
 from understory.sources.sample_views import view_sql
 
 EARTH_KM = 6371.0088
@@ -282,19 +282,15 @@ DRAWS = 8000
 LINE_DRAWS = f"""
 par AS (SELECT b0, b1, sqrt(rss / (n - 2)) AS sd, sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS s0,
                sqrt(rss / (n - 2) / sxx) AS s1, -mx * rss / (n - 2) / sxx AS c01 FROM line),
-dr AS (SELECT draw, b0 + s0 * z0 AS d0, b1 + c01 / s0 * z0 + sqrt(s1 * s1 - c01 * c01 / (s0 * s0)) * z1 AS d1, {mix_sql('draw')} AS h
+dr AS (SELECT draw, b0 + s0 * z0 AS d0, b1 + c01 / s0 * z0 + sqrt(s1 * s1 - c01 * c01 / (s0 * s0)) * z1 AS d1, {mix64_sql('draw::UBIGINT')} AS h
        FROM par, (SELECT draw, {normal_sql('1::BIGINT', 'draw', 1)} AS z0, {normal_sql('2::BIGINT', 'draw', 1)} AS z1
                   FROM (SELECT unnest(range(1, {DRAWS} + 1)) AS draw) k) z)"""
-# Rows with the effect of their area and the row's part of the noise.
+# Rows with their own part of the noise; every area's effect in every draw.
 LINE_ROWS = f"""
-rw AS (SELECT row_id, Plot_Area2, x1, y, coalesce(estimate, 0) AS lev, {mix_sql(f'xor({row_key_sql("row_id")}, {salt(0, 1)}::BIGINT)')} AS h0,
-              {mix_sql(f'xor({row_key_sql("row_id")}, {salt(1, 1)}::BIGINT)')} AS h1
-       FROM obs LEFT JOIN eff ON obs.Plot_Area2 = eff.level)"""
-
-
-def _deviate(row: str, draw: str) -> str:
-    u = [f"(({mix_sql(f'xor({row}{k}, {draw})')}) + 0.5) / {MASK + 1}.0" for k in (0, 1)]
-    return f"(sqrt(-2.0 * ln({u[0]})) * cos({2.0 * math.pi!r} * {u[1]}))"
+rw AS (SELECT row_id, Plot_Area2, x1, y, {salted_sql(row_key_sql("row_id"), 0, 1)} AS h0, {salted_sql(row_key_sql("row_id"), 1, 1)} AS h1 FROM obs),
+lk AS (SELECT level, estimate, est_error, {salted_sql(row_key_sql("'Plot_Area2|' || level"), LEVEL, 1)} AS h0,
+              {salted_sql(row_key_sql("'Plot_Area2|' || level"), LEVEL + 1, 1)} AS h1 FROM eff),
+el AS (SELECT dr.*, lk.level, estimate + est_error * {deviate_sql('lk.h0', 'lk.h1', 'dr.h')} AS lev FROM lk, dr)"""
 
 
 def line_model(response: str) -> str:
@@ -302,14 +298,16 @@ def line_model(response: str) -> str:
     return f"{intercepts_sql('Plot_Area2', response)}, {LINE_DRAWS}, {LINE_ROWS}"
 
 
-SIMULATED = f"exp(d0 + d1 * x1 + lev + sd * {_deviate('rw.h', 'dr.h')})"
+SIMULATED = f"exp(d0 + d1 * x1 + lev + sd * {deviate_sql('rw.h0', 'rw.h1', 'el.h')})"
+# Every row with every draw of the effect of its area.
+ROWS_BY_DRAWS = "rw JOIN el ON rw.Plot_Area2 = el.level"
 SUMMARY_4 = (
     r("avg(v)", "estimate", 4) + ", " + r("stddev_samp(v)", "est_error", 4) + ", "
     + r("quantile_cont(v, 0.025)", "q2_5", 4) + ", " + r("quantile_cont(v, 0.975)", "q97_5", 4)
 )
 # What the simulated outcomes of every row average to; only the mean is needed.
 DRAWN_ACCURACY = f"""
-pred AS (SELECT rw.Plot_Area2, (avg({SIMULATED}) - any_value(y)) / any_value(y) AS a FROM rw, dr, par GROUP BY row_id, rw.Plot_Area2)"""
+pred AS (SELECT rw.Plot_Area2, (avg({SIMULATED}) - any_value(y)) / any_value(y) AS a FROM {ROWS_BY_DRAWS}, par GROUP BY row_id, rw.Plot_Area2)"""
 
 
 # Expansion of the 97.5 % t quantile in 1/df; exact to six places above 100 df.
@@ -563,13 +561,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(floor((draw - 1) / 2000.0) + 1 AS INT) AS chain, CAST((draw - 1) % 2000 + 1 AS INT) AS iteration,
                    CAST(draw AS INT) AS draw, {r('d0', 'b_Intercept')}, {r('d1', 'b_x1')} FROM dr""",
         "predict_rows": f"""
-            WITH {line_model('ln(y)')}, v AS (SELECT row_id, {SIMULATED} AS v FROM rw, dr, par)
+            WITH {line_model('ln(y)')}, v AS (SELECT row_id, {SIMULATED} AS v FROM {ROWS_BY_DRAWS}, par)
             SELECT row_id, {SUMMARY_4} FROM v GROUP BY row_id""",
         "residual_summary": f"""
-            WITH {line_model('y')}, v AS (SELECT row_id, y - (d0 + d1 * x1 + lev) AS v FROM rw, dr)
+            WITH {line_model('y')}, v AS (SELECT row_id, y - (d0 + d1 * x1 + lev) AS v FROM {ROWS_BY_DRAWS})
             SELECT row_id, {SUMMARY_4} FROM v GROUP BY row_id""",
         "bayes_r2": f"""
-            WITH {line_model('y')}, m AS (SELECT draw, d0 + d1 * x1 + lev AS mu, y FROM rw, dr),
+            WITH {line_model('y')}, m AS (SELECT draw, d0 + d1 * x1 + lev AS mu, y FROM {ROWS_BY_DRAWS}),
             v AS (SELECT var_pop(mu) / (var_pop(mu) + var_pop(y - mu)) AS v FROM m GROUP BY draw)
             SELECT {SUMMARY_4} FROM v""",
         "conditional_grid": f"""
@@ -580,11 +578,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT {r('x1')}, {SUMMARY_4} FROM v GROUP BY v.x1""",
         "ppc_bins": f"""
             WITH {line_model('ln(y)')},
-            few AS (SELECT *, row_number() OVER (ORDER BY draw) AS k FROM (
+            few AS (SELECT draw, row_number() OVER (ORDER BY draw) AS k FROM (
                     SELECT * FROM dr ORDER BY {mix_sql(f'xor(draw, {salt(9, 1)}::BIGINT)')}, draw LIMIT 100) c),
             sp AS (SELECT ln(min(y)) AS low, ln(max(y)) AS high FROM obs),
             vals AS (SELECT 0 AS draw, ln(y) AS v FROM obs UNION ALL
-                     SELECT k, ln({SIMULATED.replace('dr.h', 'few.h')}) FROM rw, few, par),
+                     SELECT k, ln({SIMULATED}) FROM {ROWS_BY_DRAWS} JOIN few ON el.draw = few.draw, par),
             cnt AS (SELECT draw, CASE WHEN v < low THEN 0 WHEN v > high THEN 31
                                       ELSE least(30, CAST(floor((v - low) / (high - low) * 30) AS INT) + 1) END AS bin, count(*) AS n
                     FROM vals, sp GROUP BY 1, 2),
@@ -598,7 +596,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT Plot_Area2, {rs(ACC_NAMES, 4)} FROM accuracy""",
         "fit_predictive": f"""
             WITH {line_model('ln(y)')},
-            ll AS (SELECT row_id, -0.5 * power((ln(y) - d0 - d1 * x1 - lev) / sd, 2) - ln(sd) - 0.5 * ln(2 * pi()) - ln(y) AS ll FROM rw, dr, par),
+            ll AS (SELECT row_id, -0.5 * power((ln(y) - d0 - d1 * x1 - lev) / sd, 2) - ln(sd) - 0.5 * ln(2 * pi()) - ln(y) AS ll FROM {ROWS_BY_DRAWS}, par),
             q AS (SELECT row_id, ln(avg(exp(ll))) AS lppd, var_samp(ll) AS p_waic, avg(exp(-ll)) AS mw FROM ll GROUP BY row_id),
             t AS (SELECT ll.row_id, ll, least(exp(-ll), sqrt({DRAWS}) * mw) AS w FROM ll JOIN q ON ll.row_id = q.row_id),
             loo AS (SELECT row_id, ln(sum(w * exp(ll)) / sum(w)) AS elpd_loo FROM t GROUP BY row_id)
