@@ -27,6 +27,7 @@ from understory.operators import (
     draws,
     fit,
     groups,
+    mixed,
     predict,
     prepare,
     rank,
@@ -475,6 +476,50 @@ def crossed_intercepts(spark, sf_dir):
     return groups.random_intercepts(frame, THREE_TERMS.group_names, F.ln("y") - model.eta())
 
 
+PLOT_LINE = Formula("y", ("x1", "x2"), (), (("PlotID",),))
+PLOT_PRESENCE = Formula("PresAbs", ("urgent", "x1"), (), (("Plot_Area2",), ("Island",)))
+
+
+def plot_line(spark, sf_dir):
+    """Two terms and plots as levels, solved together."""
+    frame = design(obs(spark, sf_dir), PLOT_LINE)
+    return frame, mixed.fit_mixed(frame, PLOT_LINE, "gaussian")
+
+
+def mixed_line(spark, sf_dir):
+    _, fitted = plot_line(spark, sf_dir)
+    terms = fitted.fixed.terms(spark).drop("pos")
+    return rounded(terms.withColumns({"group_sd": F.lit(fitted.group_sd["PlotID"]), "residual_sd": F.lit(fitted.fixed.scale)}), 5)
+
+
+def mixed_levels(spark, sf_dir):
+    _, fitted = plot_line(spark, sf_dir)
+    return rounded(fitted.effects.select("level", "n", "estimate", "est_error"), 5)
+
+
+def vif_grouped(spark, sf_dir):
+    """Variance inflation under the weights that the plots give."""
+    _, fitted = plot_line(spark, sf_dir)
+    return rounded(spark.createDataFrame(mixed.vif_rows(fitted.fixed), "term string, vif double"), 5)
+
+
+def kfold_levels(spark, sf_dir):
+    """Out-of-sample density with the plots as levels in every fold's fit."""
+    frame = design(obs(spark, sf_dir), PLOT_LINE)
+    return rounded(mixed.kfold_points(frame, PLOT_LINE, "gaussian", F.pmod("row_id", F.lit(5)).cast("int"), 5), 5)
+
+
+def mixed_crossed(spark, sf_dir):
+    """Areas, plots within them, islands and species as levels of one lognormal fit with an interaction."""
+    return mixed.fit_mixed(design(obs(spark, sf_dir), THREE_TERMS), THREE_TERMS, "lognormal").effects
+
+
+def mixed_presence(spark, sf_dir):
+    """Presence with areas and islands as levels, by quasi-likelihood."""
+    fitted = mixed.fit_mixed(design(obs(spark, sf_dir), PLOT_PRESENCE), PLOT_PRESENCE, "bernoulli")
+    return fitted.fixed.terms(spark)
+
+
 # Predictions ---------------------------------------------------------------
 
 
@@ -666,7 +711,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tree_log_det, tree_times, scaled_vcv, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
         binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,
-        shrunk_intercepts, crossed_intercepts, predict_rows, crossed_predictions, residual_summary, residual_mean,
+        shrunk_intercepts, crossed_intercepts, mixed_line, mixed_levels, vif_grouped, kfold_levels, mixed_crossed, mixed_presence,
+        predict_rows, crossed_predictions, residual_summary, residual_mean,
         fit_predictive,
         bayes_r2, conditional_grid, ppc_bins, accuracy_by_area, relative_error_by_area,
         precision_by_area, scale_table, accuracy_from_draws, share_models, share_r2, share_effects,

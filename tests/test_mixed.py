@@ -118,6 +118,35 @@ def test_a_factor_without_variance_and_missing_levels(spark, rows):
         assert all(r["estimate"] == 0 and r["est_error"] == 0 for r in levels)
 
 
+def test_folds_equal_fits_without_them(spark, rows):
+    formula = Formula("y", ("a", "b"), (), (("area", "plot"), ("island",)))
+    frame = table(spark, rows, formula)
+    got = {r["row_id"]: r for r in mixed.kfold_points(frame, formula, "gaussian", F.pmod("row_id", F.lit(4)).cast("int"), 4).collect()}
+    assert len(got) == 900
+    fold = rows["row_id"] % 4
+    for f in (0, 3):
+        fitted = mixed.fit_mixed(frame.where(F.pmod("row_id", F.lit(4)) != f), formula, "gaussian")
+        at = {(r["grp"], r["level"]): (r["estimate"], r["est_error"]) for r in fitted.effects.collect()}
+        for i in np.flatnonzero(fold == f):
+            levels = [at.get(("area:plot", f"{rows['area'][i]}:{rows['plot'][i]}"), (0.0, fitted.group_sd["area:plot"])), at[("island", str(rows["island"][i]))]]
+            mean = fitted.fixed.coef @ [1, rows["a"][i], rows["b"][i]] + sum(m for m, _ in levels)
+            sd = math.sqrt(fitted.fixed.scale**2 + sum(e * e for _, e in levels))
+            want = -0.5 * ((rows["y"][i] - mean) / sd) ** 2 - math.log(sd) - 0.5 * math.log(2 * math.pi)
+            assert got[i]["elpd"] == pytest.approx(want, abs=1e-6) and got[i]["fold"] == f
+
+
+def test_folds_of_a_logit_fit(spark, rows):
+    formula = Formula("hit", ("a",), (), (("island",),))
+    frame = table(spark, rows, formula)
+    got = mixed.kfold_points(frame, formula, "bernoulli", F.pmod("row_id", F.lit(2)).cast("int"), 2)
+    fitted = mixed.fit_mixed(frame.where("row_id % 2 <> 1"), formula, "bernoulli")
+    at = {r["level"]: r["estimate"] for r in fitted.effects.collect()}
+    for r in got.where("fold = 1 and row_id < 50").collect():
+        i = r["row_id"]
+        mu = 1 / (1 + math.exp(-(fitted.fixed.coef @ [1, rows["a"][i]] + at[str(rows["island"][i])])))
+        assert r["elpd"] == pytest.approx(math.log(mu if rows["hit"][i] else 1 - mu), abs=1e-6)
+
+
 def test_errors(spark, rows):
     frame = table(spark, rows)
     with pytest.raises(ValueError, match="grouping"):

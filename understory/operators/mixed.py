@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from understory.functions.links import inverse_logit
+from understory.functions.links import bernoulli_log_density, beta_log_density, inverse_logit, normal_log_density
+from understory.functions.nulls import match_join
 from understory.operators.design import Formula
 from understory.operators.fit import LINEAR, Fit, check_support, complete, fit, fitted_response, linear_predictor, precision_of
-from understory.operators.gram import batch_sums, collect_vectors, gram, to_matrix
+from understory.operators.gram import Gram, batch_sums, collect_vectors, gram, gram_by, to_matrix
 from understory.session import pin
 
 Z_95 = 1.959963984540054
@@ -66,20 +67,24 @@ def key_of(group: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit(""))
 
 
-def level_sums(frame: DataFrame, groups: list[str], columns: list[Column], weight: Column) -> Levels:
-    """Sums of weight and weighted columns per level, and of weight per pair of levels, from one pass over the frame."""
+def cell_sums(frame: DataFrame, groups: list[str], columns: list[Column], weight: Column, *more: Column) -> DataFrame:
+    """Sums of weight (``d``) and weighted columns (``t*``) per occurring combination of levels (``k*``) and of ``more``: one pass over the frame."""
     names = [f"t{k}" for k in range(len(columns))]
-    staged = frame.select(
-        *[key_of(g).alias(f"k{i}") for i, g in enumerate(groups)], weight.alias("w"), *[(weight * c).alias(n) for n, c in zip(names, columns)]
-    )
-    cells = pin(staged.groupBy(*[f"k{i}" for i in range(len(groups))]).agg(F.sum("w").alias("d"), *[F.sum(n).alias(n) for n in names]))
+    keys = [*[key_of(g).alias(f"k{i}") for i, g in enumerate(groups)], *more]
+    staged = frame.select(*keys, weight.alias("w"), *[(weight * c).alias(n) for n, c in zip(names, columns)])
+    return pin(staged.groupBy(*staged.columns[: len(keys)]).agg(F.sum("w").alias("d"), *[F.sum(n).alias(n) for n in names]))
+
+
+def levels_of(cells: DataFrame, groups: list[str], width: int) -> Levels:
+    """Sums per level, and of weight per pair of levels, from the cells."""
+    names = [f"t{k}" for k in range(width)]
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.col(f"k{i}").alias("key")) for i in range(len(groups))]))
     rows = pin(
         cells.select(each.alias("at"), "d", *names).groupBy("at").agg(F.sum("d").alias("d"), *[F.sum(n).alias(n) for n in names])
         .select("at.*", "d", *names).withColumn("id", F.monotonically_increasing_id())
     )
     if len(groups) == 1:
-        return Levels(rows, None, groups, len(columns))
+        return Levels(rows, None, groups, width)
     pairs = F.explode(
         F.array(
             *[
@@ -94,7 +99,7 @@ def level_sums(frame: DataFrame, groups: list[str], columns: list[Column], weigh
     other = ids.select(F.col("id").alias("j"), F.col("grp").alias("g"), F.col("key").alias("b"))
     half = pin(met.join(one, ["f", "a"]).join(other, ["g", "b"]).select("i", "j", "n", "f", "g"))
     back = half.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", F.col("g").alias("f"), F.col("f").alias("g"))
-    return Levels(rows, half.unionByName(back), groups, len(columns))
+    return Levels(rows, half.unionByName(back), groups, width)
 
 
 def variance_components(levels: Levels, coef: np.ndarray, squares: float, rows: int, dispersion: float | None = None) -> tuple[float, np.ndarray]:
@@ -253,12 +258,21 @@ class Solution:
 
 def solve_mixed(frame: DataFrame, formula: Formula, y: Column, weight: Column | None = None, dispersion: float | None = None, tolerance: float = TOLERANCE) -> Solution:
     """Generalised least squares of ``y`` on the terms, with the grouping factors' effects, on complete rows."""
-    groups, terms, one = formula.group_names, formula.terms, F.lit(1.0)
-    if not groups:
+    if not formula.groups:
         raise ValueError("the formula has no grouping factor")
-    g = gram(frame, terms, y, weight)
-    centred = [one, *[F.col(f"`{t}`").cast("double") - F.lit(float(c)) for t, c in zip(terms, g.shift[1:])], y - F.lit(float(g.y_shift))]
-    levels = level_sums(frame, groups, centred, one if weight is None else weight)
+    g = gram(frame, formula.terms, y, weight)
+    cells = cell_sums(frame, formula.group_names, _centred(formula, g, y), F.lit(1.0) if weight is None else weight)
+    return _solve(g, levels_of(cells, formula.group_names, len(formula.terms) + 2), dispersion, tolerance)
+
+
+def _centred(formula: Formula, g: Gram, y: Column) -> list[Column]:
+    """One, the terms and the response about the shifts of their cross-products."""
+    terms = [F.col(f"`{t}`").cast("double") - F.lit(float(c)) for t, c in zip(formula.terms, g.shift[1:])]
+    return [F.lit(1.0), *terms, y - F.lit(float(g.y_shift))]
+
+
+def _solve(g: Gram, levels: Levels, dispersion: float | None, tolerance: float) -> Solution:
+    groups = levels.groups
     size = np.sqrt(np.diag(g.xx))
     plain = np.linalg.solve(g.xx / np.outer(size, size), g.xy / size) / size
     within, between = variance_components(levels, plain, max(g.yy - float(plain @ g.xy), 0.0), g.n, dispersion)
@@ -272,7 +286,7 @@ def solve_mixed(frame: DataFrame, formula: Formula, y: Column, weight: Column |
         None if levels.links is None or kept.sum() < 2 else levels.links.where(F.col("f").isin([int(f) for f in np.flatnonzero(kept)]) & F.col("g").isin([int(f) for f in np.flatnonzero(kept)])),
         groups, levels.width,
     )
-    p, m = len(terms) + 1, levels.width
+    p, m = len(g.xy), levels.width
     solved, left = solve_levels(used, ridge, tolerance)
     solved = pin(solved)
 
@@ -359,6 +373,59 @@ def fit_mixed(frame: DataFrame, formula: Formula, family: str, trials: str | Non
     return MixedFit(Fit(formula, family, s.coef, s.cov, scale, s.n), effects, dict(zip(formula.group_names, np.sqrt(s.between).tolist())), s.residual)
 
 
+def kfold_points(frame: DataFrame, formula: Formula, family: str, fold: Column, k: int = 10, tolerance: float = TOLERANCE) -> DataFrame:
+    """Out-of-sample log density per row with the grouping factors in every fit: ``(row_id, fold, elpd)``.
+
+    Linear families read the frame once for all folds: sums per fold and combination of
+    levels. A fit without a fold merges the sums of the others, shrinks their levels and
+    solves for the terms. A held-out row's deviation holds that of its levels, which is the
+    factor's own for a level that no other fold has. Logit families fit once a fold, and
+    take the levels at their estimates, an unseen one at zero.
+    """
+    frame = complete(frame, formula).withColumn("__fold", fold)
+    check_support(frame, formula, family)
+    groups, linear = formula.group_names, family in LINEAR
+    y = fitted_response(formula, family)
+    solutions: dict[int, tuple[np.ndarray, float, dict[str, float]]] = {}
+    effects: list[DataFrame] = []
+    if linear:
+        grams = gram_by(frame, formula.terms, y, group=F.col("__fold"))
+        shared = next(iter(grams.values()))
+        cells = cell_sums(frame, groups, _centred(formula, shared, y), F.lit(1.0), F.col("__fold"))
+        for f in sorted(grams):
+            others = reduce(Gram.__add__, [g for other, g in grams.items() if other != f])
+            s = _solve(others, levels_of(cells.where(F.col("__fold") != f), groups, len(formula.terms) + 2), None, tolerance)
+            solutions[f] = s.coef, math.sqrt(s.within), dict(zip(groups, np.sqrt(s.between).tolist()))
+            effects.append(s.effects.select(F.lit(f).alias("__fold"), "grp", "level", "estimate", "est_error"))
+    else:
+        for f in range(k):
+            fitted = fit_mixed(frame.where(F.col("__fold") != f).drop("__fold"), formula, family, tolerance=tolerance)
+            solutions[f] = fitted.fixed.coef, fitted.fixed.scale, fitted.group_sd
+            effects.append(fitted.effects.select(F.lit(f).alias("__fold"), "grp", "level", "estimate", "est_error"))
+    every = pin(reduce(DataFrame.unionByName, effects))
+
+    def by_fold(value) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for f, s in solutions.items() for x in (int(f), float(value(s)))]), F.col("__fold"))
+
+    staged, offset, spread = frame, F.lit(0.0), F.lit(0.0)
+    for i, g in enumerate(groups):
+        own = every.where(F.col("grp") == g).select("__fold", F.col("level").alias("__level"), F.col("estimate").alias(f"__m{i}"), F.col("est_error").alias(f"__e{i}"))
+        staged = match_join(staged.withColumn("__level", F.col(f"`{g}`").cast("string")), own, ["__fold", "__level"], "left").drop("__level")
+        offset = offset + F.coalesce(f"__m{i}", F.lit(0.0))
+        error = F.coalesce(f"__e{i}", by_fold(lambda s, g=g: s[2][g]))
+        spread = spread + error * error
+    eta = offset + linear_predictor(formula.terms, [by_fold(lambda s, j=j: s[0][j]) for j in range(len(formula.terms) + 1)])
+    scale, response = by_fold(lambda s: s[1]), F.col(f"`{formula.response}`").cast("double")
+    if linear:
+        density = normal_log_density(y, eta, F.sqrt(scale * scale + spread))
+        density = density - F.ln(response) if family == "lognormal" else density
+    elif family == "beta":
+        density = beta_log_density(response, inverse_logit(eta), scale)
+    else:
+        density = bernoulli_log_density(response, inverse_logit(eta))
+    return staged.select("row_id", F.col("__fold").alias("fold"), density.alias("elpd"))
+
+
 def vif_rows(model: Fit) -> list[tuple[str, float]]:
     """(term, variance inflation) under the covariance of a fit, so with the weights that its levels give; one row a term."""
     cov = model.cov[1:, 1:]

@@ -277,6 +277,37 @@ def intercepts_sql(level: str, response: str = "y") -> str:
             FROM lev, bet)"""
 
 
+def mixed_sql(folds: int | None = None) -> str:
+    """y on x1 and x2 with plots as levels, by generalised least squares: one row of ``sol`` for all rows, or for all but each fold.
+
+    With one factor the inverse covariance takes n / (n + ratio) of a level's mean out of it.
+    """
+    left_out = "(SELECT -1 AS f)" if folds is None else f"(SELECT unnest(range({folds})) AS f)"
+    return f"""
+    {OBS},
+    raw AS (SELECT f, PlotID AS level, x1, x2, y FROM obs, {left_out} WHERE row_id % {folds or 1} <> f),
+    mean AS (SELECT f, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM raw GROUP BY f),
+    c AS (SELECT f, level, x1 - m1 AS a, x2 - m2 AS b, y - my AS v FROM raw JOIN mean USING (f)),
+    lev AS (SELECT f, level, CAST(count(*) AS DOUBLE) AS n, sum(a) AS ta, sum(b) AS tb, sum(v) AS tv FROM c GROUP BY ALL),
+    gram AS (SELECT f, CAST(count(*) AS DOUBLE) AS big_n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * v) AS av, sum(b * v) AS bv,
+                    sum(v * v) AS vv FROM c GROUP BY f),
+    ols AS (SELECT *, (av * bb - bv * ab) / (aa * bb - ab * ab) AS pa, (bv * aa - av * ab) / (aa * bb - ab * ab) AS pb FROM gram),
+    sq AS (SELECT f, sum(power(tv - pa * ta - pb * tb, 2) / n) AS q, count(*) AS levels, sum(n * n) AS n2 FROM lev JOIN ols USING (f) GROUP BY f),
+    within AS (SELECT *, (vv - pa * av - pb * bv - q) / (big_n - levels - 2) AS w FROM ols JOIN sq USING (f)),
+    var AS (SELECT *, greatest(0.0, (q - (levels - 1) * w) / (big_n - n2 / big_n)) AS between FROM within),
+    ratio AS (SELECT *, w / between AS k FROM var),
+    taken AS (SELECT f, sum(n * n / (n + k)) AS n00, sum(n * ta / (n + k)) AS n0a, sum(n * tb / (n + k)) AS n0b, sum(n * tv / (n + k)) AS n0v,
+                     sum(ta * ta / (n + k)) AS naa, sum(ta * tb / (n + k)) AS nab, sum(tb * tb / (n + k)) AS nbb,
+                     sum(ta * tv / (n + k)) AS nav, sum(tb * tv / (n + k)) AS nbv FROM lev JOIN ratio USING (f) GROUP BY f),
+    red AS (SELECT *, big_n - n00 AS g0, -n0a AS ga, -n0b AS gb, -n0v AS r0 FROM ratio JOIN taken USING (f)),
+    inner_part AS (SELECT *, aa - naa - ga * ga / g0 AS saa, ab - nab - ga * gb / g0 AS sab, bb - nbb - gb * gb / g0 AS sbb,
+                          av - nav - ga * r0 / g0 AS ra, bv - nbv - gb * r0 / g0 AS rb FROM red),
+    slopes AS (SELECT *, saa * sbb - sab * sab AS det, (ra * sbb - rb * sab) / (saa * sbb - sab * sab) AS ba,
+                      (rb * saa - ra * sab) / (saa * sbb - sab * sab) AS bb_ FROM inner_part),
+    sol AS (SELECT slopes.*, m1, m2, my, (r0 - ga * ba - gb * bb_) / g0 AS bc, -m1 - ga / g0 AS wa, -m2 - gb / g0 AS wb FROM slopes JOIN mean USING (f)),
+    eff AS (SELECT f, level, n, (tv - n * bc - ta * ba - tb * bb_) / (n + k) AS estimate, sqrt(w / (n + k)) AS est_error FROM lev JOIN sol USING (f))"""
+
+
 DRAWS = 8000
 # Draws of a line's two coefficients: the Cholesky root of their covariance times two normal deviates.
 LINE_DRAWS = f"""
@@ -556,6 +587,22 @@ def oracle_sql() -> dict[str, str]:
             WITH {intercepts_sql('PlotID')} SELECT level, {rs(['n', 'estimate', 'est_error'], 5)},
             {r(f'estimate - {Z_95} * est_error', 'q2_5', 5)}, {r(f'estimate + {Z_95} * est_error', 'q97_5', 5)}
             FROM eff""",
+        "mixed_line": f"""
+            WITH {mixed_sql()}
+            SELECT 'b_Intercept' AS terms, {r('my + bc - ba * m1 - bb_ * m2', 'estimate', 5)},
+                   {r('sqrt(w * (1 / g0 + (wa * wa * sbb - 2 * wa * wb * sab + wb * wb * saa) / det))', 'std_error', 5)},
+                   {r('sqrt(between)', 'group_sd', 5)}, {r('sqrt(w)', 'residual_sd', 5)} FROM sol
+            UNION ALL SELECT 'b_x1', {nearest('ba', 5)}, {nearest('sqrt(w * sbb / det)', 5)}, {nearest('sqrt(between)', 5)}, {nearest('sqrt(w)', 5)} FROM sol
+            UNION ALL SELECT 'b_x2', {nearest('bb_', 5)}, {nearest('sqrt(w * saa / det)', 5)}, {nearest('sqrt(between)', 5)}, {nearest('sqrt(w)', 5)} FROM sol""",
+        "mixed_levels": f"WITH {mixed_sql()} SELECT level, {rs(['n', 'estimate', 'est_error'], 5)} FROM eff",
+        "vif_grouped": f"""
+            WITH {mixed_sql()} SELECT unnest(['x1', 'x2']) AS term, {r('1 / (1 - sab * sab / (saa * sbb))', 'vif', 5)} FROM sol""",
+        "kfold_levels": f"""
+            WITH {mixed_sql(5)},
+            p AS (SELECT row_id, CAST(row_id % 5 AS INT) AS fold, y - my - bc - ba * (x1 - m1) - bb_ * (x2 - m2) - coalesce(estimate, 0) AS e,
+                         w + coalesce(power(est_error, 2), between) AS s2
+                  FROM obs JOIN sol ON obs.row_id % 5 = sol.f LEFT JOIN eff ON eff.f = sol.f AND eff.level = obs.PlotID)
+            SELECT row_id, fold, {r('-0.5 * (e * e / s2 + ln(s2) + ln(2 * pi()))', 'elpd', 5)} FROM p""",
         "approx_draws": f"""
             WITH {OBS}, {LINE.replace('y', 'ln(y)')}, {LINE_DRAWS}
             SELECT CAST(floor((draw - 1) / 2000.0) + 1 AS INT) AS chain, CAST((draw - 1) % 2000 + 1 AS INT) AS iteration,
