@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from understory.functions.links import bernoulli_log_density, beta_log_density, inverse_logit, normal_log_density
 from understory.functions.nulls import match_join
 from understory.operators.design import Formula
-from understory.operators.fit import LINEAR, Fit, check_support, complete, fit, fitted_response, linear_predictor, precision_of
+from understory.operators.fit import LINEAR, Fit, ZeroOneFit, boundary_mass, check_support, complete, fit, fitted_response, linear_predictor, precision_of
 from understory.operators.gram import Gram, batch_sums, collect_vectors, gram, gram_by, to_matrix
 from understory.session import pin
 
@@ -373,6 +373,14 @@ def fit_mixed(frame: DataFrame, formula: Formula, family: str, trials: str | Non
     return MixedFit(Fit(formula, family, s.coef, s.cov, scale, s.n), effects, dict(zip(formula.group_names, np.sqrt(s.between).tolist())), s.residual)
 
 
+def fit_zero_one(frame: DataFrame, formula: Formula, tolerance: float = TOLERANCE) -> tuple[ZeroOneFit, DataFrame]:
+    """Zero-one-inflated beta with its level effects: the boundary mass, and a mixed beta fit of the interior."""
+    mass = boundary_mass(frame, formula.response).first()
+    y = F.col(formula.response)
+    inner = fit_mixed(frame.where((y > 0) & (y < 1)), formula, "beta", tolerance=tolerance)
+    return ZeroOneFit(mass["zoi"], mass["coi"], inner.fixed), inner.effects
+
+
 def kfold_points(frame: DataFrame, formula: Formula, family: str, fold: Column, k: int = 10, tolerance: float = TOLERANCE) -> DataFrame:
     """Out-of-sample log density per row with the grouping factors in every fit: ``(row_id, fold, elpd)``.
 
