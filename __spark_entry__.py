@@ -27,6 +27,7 @@ from understory.operators import (
     draws,
     fit,
     groups,
+    message,
     mixed,
     predict,
     prepare,
@@ -327,7 +328,7 @@ def tree_vcv(spark, sf_dir):
 
 
 def tree_log_det(spark, sf_dir):
-    return rounded(tree.log_determinant(edges(spark, sf_dir)))
+    return rounded(message.log_determinant(edges(spark, sf_dir)))
 
 
 def tree_times(spark, sf_dir):
@@ -337,7 +338,13 @@ def tree_times(spark, sf_dir):
 
 
 def scaled_vcv(spark, sf_dir):
-    return rounded(tree.scaled_vcv(edges(spark, sf_dir)))
+    return rounded(message.scaled_vcv(edges(spark, sf_dir)))
+
+
+def tree_effects(spark, sf_dir):
+    """Effects of the tips under the tree's covariance."""
+    rows = view(spark, sf_dir, "tip_rows")
+    return rounded(message.tree_intercepts(rows, "tip", F.col("y"), edges(spark, sf_dir)), 5)
 
 
 # Regression ----------------------------------------------------------------
@@ -708,7 +715,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         draws_long, draws_spread, hdi_terms, interval_figure, select_terms, split_rhat,
         rhat_summary, six_number, term_summary, draw_corr, divergences, divergences_by_chain,
         waic_points, loo_points, great_circle, neighbour_stats, autocovariate, tree_vcv,
-        tree_log_det, tree_times, scaled_vcv, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
+        tree_log_det, tree_times, scaled_vcv, tree_effects, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
         binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,
         shrunk_intercepts, crossed_intercepts, mixed_line, mixed_levels, vif_grouped, kfold_levels, mixed_crossed, mixed_presence,

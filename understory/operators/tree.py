@@ -1,4 +1,4 @@
-"""Phylogeny as an edge table: root paths, shared branch length, determinant."""
+"""Phylogeny as an edge table: root paths and shared branch lengths."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from understory.session import pin
 
 MAX_DOUBLINGS = 20
-LEVELS_PER_PIN = 8
 
 
 def root_paths(edges: DataFrame) -> DataFrame:
@@ -107,63 +106,3 @@ def vcv(edges: DataFrame) -> DataFrame:
         F.col("tip").alias("tip_i"), F.col("tip").alias("tip_j"), F.col("depth").alias("shared")
     )
     return pairs.unionByName(own)
-
-
-def without_chains(edges: DataFrame) -> DataFrame:
-    """The tree whose nodes are the root, the tips and the forks: branches in a row become one.
-
-    The tips' covariance stays the same.
-    """
-    paths = root_paths(edges)
-    children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    top = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    kept = children.where("n > 1").select("node").unionByName(top).distinct()
-    ends = kept.unionByName(tips(edges).select(F.col("tip").alias("node"))).distinct()
-    up = paths.join(ends, "node", "left_semi").join(kept.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi")
-    return up.groupBy(F.col("node").alias("child")).agg(
-        F.min_by("ancestor", "hops").alias("parent"), F.min_by("length", "hops").alias("length")
-    )
-
-
-def log_determinant(edges: DataFrame) -> DataFrame:
-    """Log determinant of the tip covariance and the number of tips, as one row.
-
-    Chains of single branches are drawn together; then the tree is folded from the
-    deepest fork up, one small aggregate per level of forks; the matrix itself is
-    never built. Tip branches must be longer than zero.
-    """
-    edges = pin(without_chains(pin(edges)))
-    table = pin(
-        edges.join(node_depths(edges), edges["child"] == F.col("node"))
-        .select("parent", "child", F.col("length").cast("double").alias("t"), "level")
-        .join(tips(edges).select(F.col("tip").alias("child"), F.lit(True).alias("is_tip")), "child", "left")
-    )
-    deepest = table.agg(F.max("level")).first()[0]
-    tip_state = table.where("is_tip").select(
-        "child", "parent", "level", (1 / F.col("t")).alias("p"),
-        F.when(F.col("t") > 0, F.ln("t")).alias("ld"), F.lit(1).cast("long").alias("n"),
-    )
-    folded = None
-    for level in range(deepest, 0, -1):
-        here = tip_state.where(F.col("level") == level).drop("level", "child")
-        if folded is not None:
-            # Children of an inner node of this level, folded in the last round.
-            edge = table.where((F.col("level") == level) & F.col("is_tip").isNull())
-            grown = 1 + F.col("t") * F.col("p")
-            inner = edge.join(folded, edge["child"] == folded["node"]).select(
-                "parent", (F.col("p") / grown).alias("p"), (F.col("ld") + F.ln(grown)).alias("ld"), "n"
-            )
-            here = here.unionByName(inner)
-        folded = here.groupBy(F.col("parent").alias("node")).agg(
-            F.sum("p").alias("p"), F.sum("ld").alias("ld"), F.sum("n").alias("n")
-        )
-        if (deepest - level) % LEVELS_PER_PIN == LEVELS_PER_PIN - 1:
-            folded = pin(folded)
-    return folded.select(F.col("ld").alias("log_det"), F.col("n").alias("n_tips"))
-
-
-def scaled_vcv(edges: DataFrame) -> DataFrame:
-    """The covariance divided by det^(1/tips), which then has determinant one."""
-    row = log_determinant(edges).select(F.exp(-F.col("log_det") / F.col("n_tips")).alias("factor"))
-    factor = row.first()["factor"]
-    return vcv(edges).withColumn("shared", F.col("shared") * F.lit(factor))

@@ -308,6 +308,28 @@ def mixed_sql(folds: int | None = None) -> str:
     eff AS (SELECT f, level, n, (tv - n * bc - ta * ba - tb * bb_) / (n + k) AS estimate, sqrt(w / (n + k)) AS est_error FROM lev JOIN sol USING (f))"""
 
 
+# Root, regions, nations, suppliers: up and down the tree by its levels.
+TREE_EFFECTS = f"""
+e AS ({view_sql('tree_edges')}),
+raw AS (SELECT tip, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s, sum(y * y) AS ss FROM ({view_sql('tip_rows')}) GROUP BY tip),
+tot AS (SELECT sum(n) AS big_n, sum(s) / sum(n) AS mean, sum(ss) AS ss, count(*) AS k, sum(s * s / n) AS q FROM raw),
+own AS (SELECT tip, n, s - n * mean AS s FROM raw, tot),
+b3 AS (SELECT e.parent, e.child, e.length, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM e LEFT JOIN own ON own.tip = e.child WHERE e.child LIKE 's%'),
+b2 AS (SELECT e.parent, e.child, e.length, coalesce(sum(b3.n), 0) AS n FROM e LEFT JOIN b3 ON b3.parent = e.child WHERE e.child LIKE 'n%' GROUP BY ALL),
+b1 AS (SELECT e.parent, e.child, e.length, coalesce(sum(b2.n), 0) AS n FROM e LEFT JOIN b2 ON b2.parent = e.child WHERE e.child LIKE 'r%' GROUP BY ALL),
+br AS (SELECT sum(length * n) AS own, sum(length * n * n) AS shared FROM (SELECT length, n FROM b1 UNION ALL SELECT length, n FROM b2 UNION ALL SELECT length, n FROM b3)),
+w AS (SELECT (ss - q) / (big_n - k) AS w, big_n, mean, q, k FROM tot),
+var AS (SELECT w, greatest(0.0, (q - big_n * mean * mean - (k - 1) * w) / (own - shared / big_n)) AS b FROM w, br),
+u3 AS (SELECT parent, child, b * length AS v, n, n / w AS p, s / w AS h FROM b3, var),
+u2 AS (SELECT b2.parent, b2.child, any_value(b * length) AS v, coalesce(sum(u3.p / (1 + u3.v * u3.p)), 0) AS p, coalesce(sum(u3.h / (1 + u3.v * u3.p)), 0) AS h
+       FROM b2 CROSS JOIN var LEFT JOIN u3 ON u3.parent = b2.child GROUP BY b2.parent, b2.child),
+u1 AS (SELECT b1.parent, b1.child, any_value(b * length) AS v, coalesce(sum(u2.p / (1 + u2.v * u2.p)), 0) AS p, coalesce(sum(u2.h / (1 + u2.v * u2.p)), 0) AS h
+       FROM b1 CROSS JOIN var LEFT JOIN u2 ON u2.parent = b1.child GROUP BY b1.parent, b1.child),
+d1 AS (SELECT child, v * h / (1 + v * p) AS m, v / (1 + v * p) AS var FROM u1),
+d2 AS (SELECT u2.child, (m + v * h) / (1 + v * p) AS m, v / (1 + v * p) + var / power(1 + v * p, 2) AS var FROM u2 JOIN d1 ON d1.child = u2.parent),
+d3 AS (SELECT u3.child, n, (m + v * h) / (1 + v * p) AS m, v / (1 + v * p) + var / power(1 + v * p, 2) AS var FROM u3 JOIN d2 ON d2.child = u3.parent),
+ends AS (SELECT child, n, m, var FROM d3 UNION ALL SELECT child, 0.0, m, var FROM d2 WHERE child NOT IN (SELECT parent FROM e)
+         UNION ALL SELECT child, 0.0, m, var FROM d1 WHERE child NOT IN (SELECT parent FROM e))"""
 DRAWS = 8000
 # Draws of a line's two coefficients: the Cholesky root of their covariance times two normal deviates.
 LINE_DRAWS = f"""
@@ -529,6 +551,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "tree_vcv": f"WITH {PATHS} SELECT tip_i, tip_j, {r('shared')} FROM cov",
         "tree_log_det": f"WITH {LOG_DET} SELECT {r('log_det')}, CAST(n_tips AS BIGINT) AS n_tips FROM ldet",
+        "tree_effects": f"""
+            WITH {TREE_EFFECTS} SELECT child AS tip, {r('CAST(n AS DOUBLE)', 'n', 5)}, {r('m', 'estimate', 5)}, {r('sqrt(ends.var)', 'est_error', 5)},
+            {r('sqrt(b)', 'group_sd', 5)}, {r('sqrt(w)', 'residual_sd', 5)} FROM ends, var""",
         "tree_times": f"WITH {PATHS} SELECT tip_i AS tip, {r('sum(shared)', 'y')} FROM cov GROUP BY tip_i",
         "scaled_vcv": (
             f"WITH {PATHS}, {LOG_DET} SELECT tip_i, tip_j, {r('shared * exp(-log_det / n_tips)', 'shared')} "

@@ -154,6 +154,11 @@ VIEWS = {
         UNION ALL
         SELECT concat('n', CAST(s_nationkey AS STRING)), concat('s', CAST(s_suppkey AS STRING)),
                CAST(0.1 + (s_acctbal + 1000.0) / 10000.0 AS DOUBLE) FROM {supplier}""",
+    # Quantities by supplier, which is a tip; regions and nations differ.
+    "tip_rows": """
+        SELECT concat('s', CAST(s_suppkey AS STRING)) AS tip,
+               l_quantity + CAST(s_nationkey % 5 AS DOUBLE) * 3 + CAST(s_suppkey % 4 AS DOUBLE) AS y
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     # Log densities of the lines of each order as its draws.
     "loglik": """
         SELECT l_orderkey AS row_id, l_linenumber AS draw,
