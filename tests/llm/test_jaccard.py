@@ -95,7 +95,20 @@ def test_edge_rows(spark):
     assert joined(df) == plain(rows)
     kept = J.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 2, 3, 4, 6, 6, None, None, 9], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 2, 3, 4, 6, None, None, 9], key=str)
+
+
+def test_one_row_of_every_class_stays(spark):
+    same = "one and the same text that all have here"
+    rows = [(1, same, 0), (1, same, 1), (2, same, 2), (None, same, 3), (None, same, 3), (None, "a text that only rows without an id have", 4), (None, "a text that only rows without an id have", 4)]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, same), (None, rows[-1][1])], key=str)
+
+
+def test_a_table_read_twice_loses_its_copies(documents):
+    once = sorted(r[0] for r in J.keep_one(documents).where("trim(text) <> ''").select("doc_id").collect())
+    twice = J.keep_one(documents.unionByName(documents))
+    assert sorted(r[0] for r in twice.where("trim(text) <> ''").select("doc_id").collect()) == once
 
 
 def test_runs_reach_the_recall():

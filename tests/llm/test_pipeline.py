@@ -47,4 +47,4 @@ def test_stages_take_odd_tables(spark, folder, docs_of):
             docs = stage(spark, docs, folder)
             if k < 4:
                 assert docs.columns == table.columns
-        assert docs.count() == (3 if table is extra else 0)
+        assert docs.count() == (2 if table is extra else 0)

@@ -319,44 +319,52 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def _classed(docs: DataFrame, threshold: float, recall: float, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``join`` with ``_id`` and ``_text_id``."""
+    """The rows of ``join`` with ``_id``, ``_text_id`` and ``_stays``, the id and text of the document that stands for the class."""
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
     if not 0 < recall < 1:
         raise ValueError("the recall must lie between 0 and 1")
     every = pin(sketched(docs, doc_id, text))
     one = F.min(F.struct("_id", F.col("_text_id").alias("_tid"))).alias("_one")
+    # The document that stays: the smallest id, a missing one last, then the text.
+    first = F.min(F.struct(F.col("_id").isNull().alias("missing"), "_id", F.col("_text_id").alias("_tid"))).alias("_first")
     members = pin(
         every.where("_set is not null").groupBy("_set")
-        .agg(F.first("_sketch").alias("_sketch"), F.first("_n").alias("_n"), F.count("*").alias("_copies"), F.min("_id").alias("_least"), one)
+        .agg(F.first("_sketch").alias("_sketch"), F.first("_n").alias("_n"), F.count("*").alias("_copies"), F.min("_id").alias("_least"), one, first)
     )
     found = buckets(members, threshold, runs_needed(threshold, recall))
     groups = pin(components(candidates(members, found, floor_needed(threshold, recall) / POSITIONS)))
     links = pin(verified(docs, members, groups, threshold, doc_id, text))
     classes = components(links.select(F.col("_set").alias("a"), F.col("_low").alias("b")))
     counts = links.groupBy("_set").agg(F.sum("_links").alias("_links"))
-    known = members.select("_set", "_copies", "_least").join(classes.withColumnRenamed("node", "_set"), "_set", "left").join(counts, "_set", "left")
+    known = members.select("_set", "_copies", "_least", "_first").join(classes.withColumnRenamed("node", "_set"), "_set", "left").join(counts, "_set", "left")
     known = known.withColumn("_class", F.coalesce("root", "_set"))
-    heads = known.where("root is not null").groupBy("_class").agg(F.min("_least").alias("_head"))
+    heads = known.where("root is not null").groupBy("_class").agg(F.min("_least").alias("_head"), F.min("_first").alias("_stays"))
     known = known.join(heads, "_class", "left").select(
-        "_set", "_copies", F.coalesce("_head", "_least").alias("_class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links")
+        "_set", "_copies", F.coalesce("_stays", "_first").alias("_stays"), F.coalesce("_head", "_least").alias("_class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links")
     )
     out = every.select("_id", "_text_id", "_set").join(known, "_set", "left")
     return out.select(
-        "_id", "_text_id", F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("_class_id")).alias("class_id"),
+        "_id", "_text_id", "_stays", F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("_class_id")).alias("class_id"),
         F.coalesce("_copies", F.lit(1)).alias("n_copies"), F.coalesce("_links", F.lit(0)).alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are first of their class, in their own columns: that with the smallest id.
+    """One row of each class of ``docs``, in their own columns: that with the smallest id, a missing id last.
 
-    Rows linked to nothing stay. A row with null id stays only if no row of its class
-    has an id. Rows that repeat the smallest id of a class all stay.
+    Of rows that repeat id and text one stays, the first by the hash of the whole row. Texts
+    without words are linked to nothing and all stay.
     """
-    gone = _classed(docs, threshold, recall, doc_id, text).where(~F.col("_id").eqNullSafe(F.col("class_id")))
-    gone = small_side(gone.select(F.col("_id").alias("_gone"), F.col("_text_id").alias("_gone_text")).distinct())
+    found = _classed(docs, threshold, recall, doc_id, text).where("_stays is not null")
+    here = F.col("_id").eqNullSafe(F.col("_stays._id")) & F.col("_text_id").eqNullSafe(F.col("_stays._tid"))
+    key = [F.col("_id").alias("_gone"), F.col("_text_id").alias("_gone_text")]
+    counted = pin(found.select("_id", "_text_id", here.alias("here")).groupBy("_id", "_text_id", "here").agg(F.count(F.lit(1)).alias("n")))
+    gone, repeated = (small_side(counted.where(c).select(*key)) for c in ("not here", "here and n > 1"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("_text_id"))
     same = F.col("_id").eqNullSafe(F.col("_gone")) & F.col("_text_id").eqNullSafe(F.col("_gone_text"))
-    return rows.join(gone, same, "left_anti").select("_row.*")
+    left = rows.join(gone, same, "left_anti")
+    # Partly aggregated before the shuffle, so a row repeated without end is one row of each task.
+    several = left.join(repeated, same, "left_semi").groupBy("_id", "_text_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return left.join(repeated, same, "left_anti").select("_row.*").unionByName(several.select("_row.*"))

@@ -1,9 +1,11 @@
 """Line dedup by overlapping three-line windows.
 
-Every run of three consecutive lines is hashed. A window found more than once in
+Every run of three consecutive lines is hashed to 128 bits. A window found more than once in
 the corpus covers its three lines at every occurrence but the first, in the order of
-document id and line. Covered positions are merged, so a repeated passage of any
-length goes as a whole, and its first occurrence stays. Built-in functions only.
+document id (missing ones last), row and line. Covered positions are merged, so a repeated
+passage of any length goes as a whole, and its first occurrence stays, but for the lines
+of it that a later window overlapping it covers: five equal lines leave one. Built-in
+functions only.
 """
 
 from __future__ import annotations
@@ -22,28 +24,33 @@ def _lines(text: Column) -> Column:
 
 
 def _window_hashes(text: Column, window: int) -> Column:
-    """One hash for each window of the lines that aren't blank. No window leaves its document."""
+    """Two hashes for each window of the lines that aren't blank. No window leaves its document."""
 
-    def hashes(hs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hs) - (window - 1))
-        none = F.array().cast("array<bigint>")
-        return F.when(F.size(hs) < window, none).otherwise(F.transform(starts, lambda i: F.xxhash64(F.slice(hs, i, window))))
+    def hashes(ls: Column) -> Column:
+        def pairs(hs: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(hs) - (window - 1))
+            two = lambda part: F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(1), part).alias("b"))
+            none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+            return F.when(F.size(hs) < window, none).otherwise(F.transform(starts, lambda i: two(F.slice(hs, i, window))))
 
-    return let(F.transform(F.filter(_lines(text), lambda x: x != ""), lambda x: F.xxhash64(x)), hashes)
+        return let(F.transform(ls, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))), pairs)
+
+    return let(F.filter(_lines(text), lambda x: x != ""), hashes)
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``_id``, ``_text_id``, ``_at``: starts of the windows that are not the first of their hash.
+    """``_no``, ``_at``: starts of the windows that are not the first of their hashes.
 
-    ``docs`` has ``_id``, ``_text_id`` and ``_text``. Rows are four numbers each. The
+    ``docs`` has ``_id``, ``_no`` and ``_text``. Rows are a few numbers each. The
     first occurrence of a repeated window comes from a partly aggregated minimum and
     is joined back to the occurrences, whose side Spark splits where a passage is hot.
     """
-    places = docs.select("_id", "_text_id", F.posexplode(_window_hashes(F.col("_text"), window)).alias("_at", "_hash"))
-    place = F.struct("_id", "_text_id", "_at")
-    firsts = places.groupBy("_hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    again = places.join(firsts.select("_hash", "first"), "_hash")
-    return again.where(place != F.col("first")).select("_id", "_text_id", "_at")
+    places = docs.select("_id", "_no", F.posexplode(_window_hashes(F.col("_text"), window)).alias("_at", "_hash"))
+    places = places.select("_id", "_no", "_at", F.col("_hash.a").alias("_a"), F.col("_hash.b").alias("_b"))
+    place = F.struct(F.col("_id").isNull().alias("missing"), "_id", "_no", "_at")
+    firsts = places.groupBy("_a", "_b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    again = places.join(firsts.select("_a", "_b", F.col("first._no").alias("_first"), F.col("first._at").alias("_first_at")), ["_a", "_b"])
+    return again.where((F.col("_no") != F.col("_first")) | (F.col("_at") != F.col("_first_at"))).select("_no", "_at")
 
 
 def _cut(text: Column, starts: Column, window: int) -> Column:
@@ -66,15 +73,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 
     Lines are compared without their outer blanks; blank lines are no part of windows
     and stay. Texts of fewer than ``window`` such lines stay whole. A null text stays
-    null with no lines. Rows that repeat an id and its text count as one document: each
-    keeps what the other keeps. A row with null id sorts before all others and is never
-    cut. Empty tables give no rows; extra columns stay inside ``_row``.
+    null with no lines. Rows that repeat an id, and rows with null ids, which come after all
+    others, are documents of their own: the first keeps what the others lose. Empty
+    tables give no rows; extra columns stay inside ``_row``.
+
+    Rows with one id are told apart by their place in the table, which is read twice:
+    ``docs`` should be a table read from files, or a checkpoint.
     """
     id_, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    keys = {"_id": id_, "_text_id": F.xxhash64(body), "_text": body}
-    bare = docs.select(*[c.alias(n) for n, c in keys.items()])
-    starts = small_side(later_windows(bare, window).groupBy("_id", "_text_id").agg(F.collect_set("_at").alias("_starts")))
-    joined = aside(docs, **keys).join(starts, ["_id", "_text_id"], "left")
+    numbered = aside(docs, _id=id_, _text=body, _no=F.monotonically_increasing_id())
+    starts = small_side(later_windows(numbered.select("_id", "_no", "_text"), window).groupBy("_no").agg(F.collect_set("_at").alias("_starts")))
+    joined = numbered.join(starts, "_no", "left")
     solid = lambda t: F.size(F.filter(_lines(t), lambda x: x != "")).cast("long")
     cut = F.when(F.col("_starts").isNull(), F.col("_text")).otherwise(F.array_join(_cut(F.col("_text"), F.col("_starts"), window), "\n"))
     found = once(joined, ["_row", "_text"], clean=cut)

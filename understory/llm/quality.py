@@ -1,10 +1,12 @@
 """Quality rules: rules on one document, and lines that too many documents of a host share.
 
 Lines are normalised (lower case, outer blanks off, inner blanks to one space) and
-hashed. A line's frequency at a host is the number of distinct texts with it, so
-exact copies of a document count once and do not make each other's lines frequent.
-Lines above the limits are removed; a document that loses more than the allowed
-share of its words is rejected. Built-in functions only; no text is shuffled.
+hashed. A line's frequency at a host is the number of distinct documents with it, where
+documents with the same longest line are copies of one another and count once: neither
+exact nor near copies make each other's lines frequent. Lines above the limits are
+removed; a document that loses more than the allowed share of its words is rejected.
+Built-in functions only. Texts stay where they are as long as the documents with frequent
+lines, a few numbers each, measure under the broadcast limit; beyond it they are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.llm.common import aside, let, once, small_side
+from understory.session import pin
 
 #: Blanks that separate words: space and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,14 +25,16 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """Production limits. A line is above them if more than ``line_share`` of a host's
-    distinct texts and at least ``line_texts`` of them have it."""
+    """Production limits. A line is above them if at least ``line_texts`` distinct documents of a
+    host have it, and these are more than ``line_share`` of the host's or at least ``line_many``.
+    The last doesn't grow with the host: so many different documents don't share a line by chance."""
 
     min_words: int = 20
     window: int = 8
     repeat_percent: int = 30
     line_share: float = 0.10
     line_texts: int = 10
+    line_many: int = 20
     max_lost: float = 0.5
 
 
@@ -98,22 +103,44 @@ def _line_words(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.translate(line, " ", "")) + 1)
 
 
-def frequent_lines(docs: DataFrame, limits: Limits) -> DataFrame:
-    """``_host`` and ``_often``, the hashes of the lines above the limits at that host.
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
 
-    ``docs`` has ``_host``, ``_text``. Each text sends one row of three numbers per
-    distinct line, partly aggregated first; a line's texts are spread over tasks by
-    text, so no line is too frequent. A host has at most (lines per text / share)
-    such lines, whatever the number of texts.
+
+def _line_key(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """``_host``, ``_t1``, ``_t2``, ``_main``, ``_line``: one row of numbers per distinct line of a text at a host.
+
+    ``docs`` has ``_host``, ``_text``. ``_main`` stands for the document: its longest
+    line, of several the last in the order of bytes.
     """
-    hashed = F.array_distinct(F.transform(F.filter(F.transform(lines(F.col("_text")), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    texts = docs.select("_host", F.xxhash64("_text").alias("_id"), F.explode(hashed).alias("_line"))
-    each = texts.groupBy("_host", "_line", "_id").agg(F.lit(1).alias("one"))
-    counted = each.groupBy("_host", "_line").agg(F.count("*").alias("n"))
-    hosts = docs.groupBy("_host", F.xxhash64("_text").alias("_id")).agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("all"))
+    norms = F.filter(F.transform(lines(F.col("_text")), normal_line), lambda x: x != "")
+
+    def keys(ls: Column) -> Column:
+        longest = F.array_max(F.transform(ls, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+        return F.struct(_line_key(longest).alias("main"), F.array_distinct(F.transform(ls, _line_key)).alias("hashes"))
+
+    found = docs.where("_text is not null").select("_host", *_text_key(F.col("_text")), let(norms, keys).alias("_keys"))
+    return found.select("_host", "_t1", "_t2", F.col("_keys.main").alias("_main"), F.explode("_keys.hashes").alias("_line"))
+
+
+def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
+    """``_host``, ``_line`` above the limits. A line's documents are spread over tasks by document, so no line is too frequent."""
+    counted = rows.groupBy("_host", "_line", "_main").agg(F.lit(1).alias("one")).groupBy("_host", "_line").agg(F.count("*").alias("n"))
+    hosts = rows.groupBy("_host", "_main").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("all"))
     above = counted.where(F.col("n") >= limits.line_texts).join(hosts, "_host")
-    above = above.where(F.col("n") > F.col("all") * F.lit(limits.line_share))
-    return above.groupBy("_host").agg(F.collect_set("_line").alias("_often"))
+    return above.where((F.col("n") > F.col("all") * F.lit(limits.line_share)) | (F.col("n") >= limits.line_many)).select("_host", "_line")
+
+
+def frequent_by_text(docs: DataFrame, limits: Limits) -> DataFrame:
+    """``_host``, ``_t1``, ``_t2``, ``_often``: the lines of each text that are above the limits at its host."""
+    rows = pin(line_rows(docs))
+    hits = rows.join(small_side(frequent_lines(rows, limits)), ["_host", "_line"])
+    return hits.groupBy("_host", "_t1", "_t2").agg(F.collect_set("_line").alias("_often"))
 
 
 def assess(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
@@ -122,14 +149,14 @@ def assess(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
 
     A null text has no words and fails the base rules; its clean text is null. Null
     hosts are one host of their own. Repeated rows get equal verdicts and count as one
-    text. Empty tables give no rows. Extra columns stay inside ``_row``.
+    document. Empty tables give no rows. Extra columns stay inside ``_row``.
     """
     body, at = F.col(f"`{text}`"), F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit(""))
     kept = aside(docs, _text=body, _host=at)
-    often = small_side(frequent_lines(docs.select(at.alias("_host"), body.alias("_text")), limits))
-    joined = kept.join(often, "_host", "left")
+    often = small_side(frequent_by_text(docs.select(at.alias("_host"), body.alias("_text")), limits))
+    joined = kept.select("*", *_text_key(F.col("_text"))).join(often, ["_host", "_t1", "_t2"], "left")
     marked = F.transform(lines(F.col("_text")), lambda x: F.struct(x.alias("raw"), normal_line(x).alias("norm")))
-    hit = lambda x: F.coalesce(F.array_contains(F.col("_often"), F.xxhash64(x["norm"])), F.lit(False)) & (x["norm"] != "")
+    hit = lambda x: F.coalesce(F.array_contains(F.col("_often"), _line_key(x["norm"])), F.lit(False)) & (x["norm"] != "")
     stays = let(
         marked,
         lambda ls: F.struct(

@@ -149,10 +149,11 @@ ln AS (
   SELECT doc_id, host, text, l, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
   FROM (SELECT doc_id, host, text, unnest(string_split(t, chr(10))) AS l FROM d)),
 own AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln WHERE norm <> '' GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+main AS (SELECT doc_id, arg_max(norm, struct_pack(a := length(norm), b := norm)) AS main FROM ln WHERE norm <> '' GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT main) AS texts FROM d JOIN main USING (doc_id) GROUP BY host),
 often AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM ln WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
-  WHERE n >= 10 AND n > texts * 0.10),
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT main) AS n FROM ln JOIN main USING (doc_id) WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
+  WHERE n >= 10 AND (n > texts * 0.10 OR n >= 20)),
 lost AS (SELECT doc_id, sum(length(norm) - length(replace(norm, ' ', '')) + 1)::BIGINT AS n FROM ln JOIN often USING (host, norm) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -166,27 +167,27 @@ FROM m
 """
 
 OP7_SQL = r"""
-WITH raw AS (
-  SELECT doc_id, i, ls[i] AS l, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-ln AS (SELECT doc_id, i, b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM raw WHERE b <> ''),
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS rid, doc_id, text FROM documents),
+raw AS (
+  SELECT rid, i, ls[i] AS l, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b
+  FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d))),
+ln AS (SELECT rid, i, b, row_number() OVER (PARTITION BY rid ORDER BY i) AS p FROM raw WHERE b <> ''),
 win AS (
-  SELECT doc_id, p, b, lead(b) OVER w AS b2, lead(b, 2) OVER w AS b3 FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+  SELECT rid, p, b, lead(b) OVER w AS b2, lead(b, 2) OVER w AS b3 FROM ln WINDOW w AS (PARTITION BY rid ORDER BY p)),
 later AS (
-  SELECT doc_id, p FROM (
-    SELECT doc_id, p, row_number() OVER (PARTITION BY b, b2, b3 ORDER BY doc_id, p) AS nth FROM win WHERE b3 IS NOT NULL) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (SELECT unnest(range(0, 3)) AS k)),
-marked AS (SELECT ln.doc_id, ln.i, gone.p IS NOT NULL AS cut FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.p = ln.p)
+  SELECT rid, p FROM (
+    SELECT rid, p, row_number() OVER (PARTITION BY b, b2, b3 ORDER BY rid, p) AS nth FROM win WHERE b3 IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT rid, p + k AS p FROM later, (SELECT unnest(range(0, 3)) AS k)),
+marked AS (SELECT ln.rid, ln.i, gone.p IS NOT NULL AS cut FROM ln LEFT JOIN gone ON gone.rid = ln.rid AND gone.p = ln.p)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(cut, 0)::BIGINT AS n_removed,
   CASE WHEN d.text IS NOT NULL THEN coalesce(k.t, '') END AS text
-FROM documents d
-LEFT JOIN (SELECT doc_id, count(*) AS n, sum(cut::INT) AS cut FROM marked GROUP BY doc_id) c USING (doc_id)
+FROM d
+LEFT JOIN (SELECT rid, count(*) AS n, sum(cut::INT) AS cut FROM marked GROUP BY rid) c USING (rid)
 LEFT JOIN (
-  SELECT raw.doc_id, string_agg(raw.l, chr(10) ORDER BY raw.i) AS t FROM raw LEFT JOIN marked USING (doc_id, i)
-  WHERE NOT coalesce(marked.cut, false) GROUP BY raw.doc_id) k USING (doc_id)
+  SELECT raw.rid, string_agg(raw.l, chr(10) ORDER BY raw.i) AS t FROM raw LEFT JOIN marked USING (rid, i)
+  WHERE NOT coalesce(marked.cut, false) GROUP BY raw.rid) k USING (rid)
 """
 
-
 #: The CRC goes over a string's bytes, bit by bit through a table of 256 words that the first part makes.
 OP12_SQL = r"""
 WITH RECURSIVE bits AS (
