@@ -1,8 +1,10 @@
 """Main text: parsing, tree matching, templates, edge cases."""
 
+import html.parser
 import random
 
 from understory.llm import html_text as H
+from understory.llm.queries import op2_wrapper_text
 
 
 def page(n, words="Something said about"):
@@ -51,7 +53,7 @@ def test_broken_and_odd_pages():
 def test_very_long_page():
     body = "".join(f"<p>line {i}</p>" for i in range(30_000))
     other = "".join(f"<p>other {i}</p>" for i in range(30_000))
-    text = H.extract(f"<article>{body}</article>", f"<article>{other}</article>", [0])
+    text = H.extract(f"<article>{body}</article>", None, f"<article>{other}</article>", [0])
     assert text.count("\n") == 29_999
 
 
@@ -169,3 +171,86 @@ def test_pages_of_one_content_have_one_vote(spark):
 
 def test_empty_table(spark):
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+class Blocks(html.parser.HTMLParser):
+    """Text blocks of the article element, by the standard parser's events."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skipped, self.parts, self.blocks = 0, 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.blocks += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "article":
+            self.inside += 1
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag in ("script", "style") or ("class", "ad") in attributes:
+            self.skipped += 1
+        if tag not in ("b", "i", "em", "a", "br", "span", "strong", "img", "code"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "a", "br", "span", "strong", "img", "code"):
+            self.flush()
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_the_query_equals_the_standard_parser_on_the_articles(spark, folder):
+    """The pages of the tables have one article each, without marked parts, so its blocks are the main text."""
+    got = {r["page_id"]: r["text"] for r in op2_wrapper_text(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        blocks = Blocks()
+        blocks.feed(r["html"] or "")
+        blocks.flush()
+        assert not blocks.skipped or "<article>" in r["html"]
+        assert got[r["page_id"]] == "\n".join(blocks.blocks)
+
+
+def test_an_article_keeps_text_whose_names_only_hold_a_mark():
+    parts = "<section id='comments-on-the-law'><p>One</p></section><div class='notice-of-motion'>Two</div><p class='related'>Three</p><div class='share-price'>Four</div>"
+    assert H.extract(f"<article><p>Zero</p>{parts}</article>") == "Zero\nOne\nTwo\nThree\nFour"
+    assert H.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><text>drawn</text></svg></p><video>None here</video></article>") == "Let x=1 be drawn\nNone here"
+    assert H.extract(f"<article><p>{'Long text. ' * 30}</p><div class='comments'>no</div><div class='share'>no</div></article>") == ("Long text. " * 30).strip()
+
+
+def bare(draw, i, parts):
+    """A page of plain containers whose menu, advert and footer differ from page to page."""
+    words = lambda n: " ".join(draw.choice("abcdefghij") * draw.randint(2, 7) for _ in range(n))
+    menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(draw.randint(3, 8)))
+    article = [f"{words(30)} {i} {k}" for k in range(parts)]
+    text = "".join(f"<p>{x}</p>" for x in article)
+    return f"<html><body><div><ul>{menu}</ul></div><div>{words(8)}</div><div><h2>Part {i}</h2>{text}</div><div>{words(6)}</div></body></html>", "\n".join([f"Part {i}", *article])
+
+
+def test_parts_that_vary_outside_the_container_of_the_text_go_where_the_host_agrees(spark):
+    draw = random.Random(8)
+    made = [bare(draw, i, draw.randint(2, 6)) for i in range(24)]
+    rows = [(i, f"https://one.example/{i}", page) for i, (page, _) in enumerate(made)]
+    # A host without such a container: paragraphs lie in the body.
+    loose = [f"<body><p>{'first words ' * 9}{i}</p><p>{'second words ' * 9}{i}</p></body>" for i in range(12)]
+    rows += [(100 + i, f"https://two.example/{i}", page) for i, page in enumerate(loose)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(24)] == [text for _, text in made]
+    assert all(got[100 + i] == f"{'first words ' * 9}{i}\n{'second words ' * 9}{i}" for i in range(12))
+
+
+def test_a_heading_outside_the_container_stays():
+    text = "".join(f"<p>{'some words ' * 12}{k}</p>" for k in range(3))
+    page = f"<body><h1>Title</h1><div>Menu</div><div class=text>{text}</div><div>Foot</div></body>"
+    way = H.holder(H.content(page))[0]
+    assert way.endswith("div.text")
+    got = H.extract(page, way).split("\n")
+    assert got[0] == "Title" and len(got) == 4 and H.extract(page, "other").split("\n")[1] == "Menu"

@@ -7,6 +7,10 @@ Slots whose text hardly ever varies over those pages are template, all others ar
 content: slots that vary and slots the references don't have. Pages that say hardly anything
 beyond the reference's text are copies of its article, and don't vote; pages of one
 content have one vote. A host of few pages has no template.
+
+Menus, adverts and footers may say something else on every page. So pages without article
+or main elements also vote on the container that holds their text: where nearly all pages
+of a host agree on the way down to it, what lies outside is no article, but for a first heading.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from understory.session import pin
 
 #: Votes that a slot needs, and the share of them that find the reference's text there, to be template.
 VOTES, CONSTANT = 5, 0.9
+#: Share of a page's letters that the container of its text holds.
+HOLDS = 0.6
 #: Letters that a page has to say beyond the reference's text to vote: a sentence. With fewer it is a copy.
 OWN_LETTERS = 40
 #: The reference is the host's page whose size is nearest to this, in bytes.
@@ -39,8 +45,11 @@ CELLS, DEEP = 1 << 20, 64
 EQUAL = 1 << 32
 
 # Elements of HTML by what they are.
-SKIPPED = "script style noscript template textarea title iframe svg math select object noembed xmp audio video canvas"
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = "script style noscript template textarea title iframe select noembed xmp"
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo mrow ms mtext msub msup msubsup mfrac msqrt mroot mstyle semantics annotation svg g path text tspan desc video audio object canvas picture".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("meta link base".split())
 OTHER = frozenset("nav header footer aside form button menu dialog head fieldset input".split())
@@ -59,6 +68,9 @@ MARKS = frozenset(
 #: Of these, an article may have its own.
 OWN = frozenset(["header", "masthead"])
 MAIN = frozenset(["article", "main"])
+#: Of elements in an article, those that a name can mark: containers, no blocks of text.
+HOLDERS = frozenset("body div section table tbody tr td center main article".split())
+PARTS = frozenset("div section aside ul ol dl nav form footer header figure table details iframe".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _attributes = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
@@ -101,8 +113,11 @@ def _mark(tag: str, attributes: str, inside: bool) -> tuple[str, float | None]:
         names = f"{said.get('class', '')} {said.get('id', '')}"
         if said.get("role") in ROLES:
             limits.append(MOST if said["role"] in WRAPS else ALWAYS)
-        if marks.intersection(_apart.split(names)):
-            limits.append(NEARLY_ALL if marks.intersection(names.split()) else MOST)
+        # In an article a container's whole name is a mark ('comments'), not a word of it ('comments-on-the-law').
+        if marks.intersection(names.split()) and (not inside or tag in PARTS):
+            limits.append(NEARLY_ALL)
+        elif not inside and marks.intersection(_apart.split(names)):
+            limits.append(MOST)
     return f"{tag}.{said.get('class', '')}", max(limits, default=None)
 
 
@@ -196,6 +211,40 @@ def content(page: str | None) -> Node:
     return root
 
 
+def holder(root: Node, without: set[int] = frozenset()) -> tuple[str, Node]:
+    """The way down, by labels, to the deepest container that holds most of the text, and the container.
+
+    The slots ``without`` don't count. The way is empty where there is no such container below the body, or
+    where article or main elements say it.
+    """
+
+    def count(node: Node) -> int:
+        node.letters = (0 if node.number in without else len(node.text)) + sum(map(count, node.children))
+        return node.letters
+
+    count(root)
+    node, way = root, []
+    while True:
+        best = max((c for c in node.children if c.tag in HOLDERS or c.tag == "html"), key=lambda c: c.letters, default=None)
+        if best is None or best.letters < HOLDS * root.letters:
+            break
+        if best.tag in MAIN:
+            return "", root
+        node = best
+        way.append(best.label)
+    return ("/".join(way), node) if node.tag not in ("", "html", "body") else ("", root)
+
+
+def _outside(node: Node, kept: Node) -> Iterator[int]:
+    """Numbers of the slots of a page outside a container and outside a first heading."""
+    if node is kept or node.tag == "h1":
+        return
+    if node.tag == "#":
+        yield node.number
+    for c in node.children:
+        yield from _outside(c, kept)
+
+
 def slots(node: Node) -> Iterator[Node]:
     """Slots of text in page order."""
     if node.tag == "#":
@@ -363,23 +412,33 @@ def digest(page: Node) -> bytes:
     return said.digest()
 
 
-def votes(page: Node, reference: str) -> list[tuple[int, bool]]:
-    """Matched slots of the reference and whether the page has the same text there; none of a copy, which says hardly anything of its own."""
+def votes(page: Node, reference: str) -> tuple[list[tuple[int, bool]], set[int]]:
+    """Matched slots of the reference and whether the page has the same text there, and the page's slots that have.
+
+    There are none of a copy, which says hardly anything of its own.
+    """
     _, pairs = align(page, Reference.of(reference))
-    own = sum(len(s.text) for s in slots(page)) - sum(len(a.text) for a, b in pairs if a.text == b.text)
-    if own < OWN_LETTERS:
-        return []
-    return [(b.number, a.text == b.text) for a, b in pairs]
+    equal = {a.number for a, b in pairs if a.text == b.text}
+    if sum(len(s.text) for s in slots(page) if s.number not in equal) < OWN_LETTERS:
+        return [], set()
+    return [(b.number, a.text == b.text) for a, b in pairs], equal
+
 
+def extract(page: str | None, way: str | None = None, *known: str | list[int] | None) -> str:
+    """Text of the content slots, one a line.
 
-def extract(page: str | None, *known: str | list[int] | None) -> str:
-    """Text of the content slots, one a line. ``known`` has references, each followed by its template."""
+    ``way`` leads to the container that the host's pages have their text in; ``known`` has references, each followed by its template.
+    """
     tree, dropped = content(page), set()
     for reference, template in zip(known[::2], known[1::2]):
         if reference is not None and template:
             constant = set(template)
             _, pairs = align(tree, Reference.of(reference))
             dropped |= {a.number for a, b in pairs if b.number in constant and a.text == b.text}
+    if way:
+        own, kept = holder(tree, dropped)
+        if own == way:
+            dropped.update(_outside(tree, kept))
     return "\n".join(s.text for s in slots(tree) if s.number not in dropped)
 
 
@@ -419,33 +478,41 @@ def with_references(pages: DataFrame, chosen: DataFrame, columns: list[str]) ->
     return pages.join(whole, "_host", "left").join(own, ["_host", "_layout"], "left")
 
 
-def templates(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``_host``, ``_layout``, ``_template``: numbers of the reference's slots that are template."""
+def templates(pages: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``_host``, ``_layout``, ``_template``: numbers of the reference's slots that are template;
+    and ``_host``, ``_way``: the way to the container that nearly all pages of a host have their text in."""
     columns = ["_host", "_layout", "_html", "_reference", "_reference_own"]
-    kinds = {"_host": pa.string(), "_layout": pa.int64(), "digest": pa.binary(), "votes": pa.list_(pa.int32())}
+    kinds = {"_host": pa.string(), "_layout": pa.int64(), "digest": pa.binary(), "way": pa.string(), "votes": pa.list_(pa.int32())}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int | None, bytes], list[int]] = {}
+            found: dict[tuple[str, int | None, bytes], tuple] = {}
             for name, kind, page, *both in zip(*(batch.column(c).to_pylist() for c in columns)):
                 tree = content(page)
                 said = digest(tree)
                 for of, reference in zip((None, kind), both):
                     if reference is not None and (name, of, said) not in found:
-                        found[name, of, said] = [2 * number + same for number, same in votes(tree, reference)]
-            yield pa.RecordBatch.from_pylist([dict(zip(kinds, (*k, v))) for k, v in found.items() if v], pa.schema(list(kinds.items())))
+                        said_so, equal = votes(tree, reference)
+                        # What the page shares with the reference doesn't make a container that of its text.
+                        found[name, of, said] = holder(tree, equal)[0], [2 * number + same for number, same in said_so]
+            voting = [dict(zip(kinds, (*k, *v))) for k, v in found.items() if v[1]]
+            yield pa.RecordBatch.from_pylist(voting, pa.schema(list(kinds.items())))
 
     joined = with_references(pages.where("_html is not null"), chosen, ["_reference"]).where("_reference is not null").select(*columns)
-    said = joined.mapInArrow(work, "_host string, _layout long, digest binary, votes array<int>")
-    # Pages of one content have one vote.
-    each = said.groupBy("_host", "_layout", "digest").agg(F.first("votes").alias("votes")).select("_host", "_layout", F.explode("votes").alias("vote"))
-    counted = each.groupBy("_host", "_layout", F.shiftright("vote", 1).alias("slot")).agg(F.count("*").alias("n"), F.sum(F.col("vote") % 2).alias("same"))
+    said = joined.mapInArrow(work, "_host string, _layout long, digest binary, way string, votes array<int>")
+    # Pages of one content have one vote. Kept: slots and ways are counted from it.
+    each = pin(said.groupBy("_host", "_layout", "digest").agg(F.first("votes").alias("votes"), F.first("way").alias("way")))
+    counted = each.select("_host", "_layout", F.explode("votes").alias("vote")).groupBy("_host", "_layout", F.shiftright("vote", 1).alias("slot"))
+    counted = counted.agg(F.count("*").alias("n"), F.sum(F.col("vote") % 2).alias("same"))
     constant = counted.where((F.col("n") >= VOTES) & (F.col("same") >= F.col("n") * CONSTANT))
-    return constant.groupBy("_host", "_layout").agg(F.collect_list("slot").alias("_template"))
+    ways = each.where("_layout is null").groupBy("_host", "way").agg(F.count("*").alias("n"))
+    most = ways.groupBy("_host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "way")).alias("top"))
+    agreed = most.where((F.col("top.n") > VOTES) & (F.col("top.n") >= F.col("all") * CONSTANT) & (F.col("top.way") != ""))
+    return constant.groupBy("_host", "_layout").agg(F.collect_list("slot").alias("_template")), agreed.select("_host", F.col("top.way").alias("_way"))
 
 
 def extractor(spark: SparkSession):
-    """Function of a page, reference and template of its host, and those of its layout, that gives the main text."""
+    """Function of a page, the way to its container, reference and template of its host, and those of its layout, that gives the main text."""
 
     @F.arrow_udf(T.StringType())
     def text(pages: pa.Array, *known: pa.Array) -> pa.Array:
@@ -469,10 +536,12 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     keyed = {"_host": host(F.col(f"`{url}`")), "_layout": layout(F.col(f"`{page}`")), "_html": F.col(f"`{page}`")}
     bare = pages.select(*[c.alias(n) for n, c in keyed.items()])
     chosen = pin(references(bare))
-    found = templates(bare, chosen).withColumnsRenamed({"_host": "_at", "_layout": "_of"})
+    found, ways = templates(bare, chosen)
+    found = found.withColumnsRenamed({"_host": "_at", "_layout": "_of"})
     known = pin(chosen.join(found, (F.col("_host") == F.col("_at")) & F.col("_layout").eqNullSafe(F.col("_of"))).drop("_at", "_of"))
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != out])
     joined = with_references(pages.select(row.alias("_row"), *[c.alias(n) for n, c in keyed.items()]), known, ["_reference", "_template"])
-    known_of = ["_reference", "_template", "_reference_own", "_template_own"]
+    joined = joined.join(small_side(ways), "_host", "left")
+    known_of = ["_way", "_reference", "_template", "_reference_own", "_template_own"]
     found = joined.select("_row", extractor(pages.sparkSession)("_html", *known_of).alias("_text"))
     return found.select("_row.*", F.col("_text").alias(out))
