@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from understory.llm import common
 from understory.llm import jaccard as J
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +99,26 @@ def test_edge_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 2, 3, 4, 6, None, None, 9], key=str)
 
 
+def test_components_with_and_without_hubs(spark, monkeypatch):
+    draw = random.Random(9)
+    edges = [(f"h{k % 3}", f"m{k}") for k in range(300)] + [(f"x{draw.randrange(80)}", f"x{draw.randrange(80)}") for _ in range(60)] + [("h0", "h1")]
+    root = {n: n for e in edges for n in e}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    want = sorted((n, top(n)) for n in {n for a, b in edges if a != b for n in (a, b)})
+    table = spark.createDataFrame(edges, "a string, b string")
+    for limit in (5, common.HUB_EDGES):
+        monkeypatch.setattr(common, "HUB_EDGES", limit)
+        assert sorted(map(tuple, common.components(table).collect())) == want
+
+
 def test_one_row_of_every_class_stays(spark):
     same = "one and the same text that all have here"
     rows = [(1, same, 0), (1, same, 1), (2, same, 2), (None, same, 3), (None, same, 3), (None, "a text that only rows without an id have", 4), (None, "a text that only rows without an id have", 4)]

@@ -50,21 +50,27 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(pinned) if bytes_of(pinned) <= BROADCAST_BYTES else pinned
 
 
+#: Edges of a node beyond which it is a hub, and hubs at most, as a share of all edges.
+HUB_EDGES, HUB_SHARE = 10_000, 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for undirected ``edges`` (``a``, ``b``): the smallest node of each connected component.
 
-    Large-star and small-star steps in turn; every step shuffles edges only, and a
-    node with many neighbours sends one row per edge. Ends when no edge changes.
+    Large-star and small-star steps in turn; every step shuffles edges only. Nodes
+    with so many edges that there can only be few of them get their smallest neighbour by
+    broadcast, so their edges stay where they are. Ends when no edge changes.
     """
     star = pin(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = _print(star)
     while True:
+        limit = max(HUB_EDGES, seen[0] // HUB_SHARE)
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_low(both.where("v > u"), low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        own = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(own, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            _with_low(large, own, limit).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
         star = pin(small)
@@ -76,6 +82,14 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def _with_low(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``u`` from ``low`` (``u``, ``m``, ``n``); those of hubs, with more than ``limit`` edges, aren't shuffled."""
+    hubs = small_side(low.where(F.col("n") > limit).select("u", "m"))
+    marked = edges.join(hubs, "u", "left")
+    rest = marked.where("m is null").select("u", "v").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
+    return marked.where("m is not null").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
 def _print(edges: DataFrame) -> tuple:
     """Count and order-free checksum of the edges."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
