@@ -742,7 +742,8 @@ def _parts() -> list:
         try:
             found.append(importlib.import_module(name))
         except ModuleNotFoundError as error:
-            if error.name not in ("understory.llm", "understory.llm.queries", "corpus_pipeline"):
+            # The subpackage, or a library that only it needs, is missing; a missing part of this package is an error.
+            if (error.name or "").startswith("understory.") and not error.name.startswith("understory.llm"):
                 raise
     return found
 
