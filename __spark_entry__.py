@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import importlib
+import operator
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -20,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from understory import oracle
 from understory.functions.geo import great_circle_km
 from understory.functions.links import beta_log_density, inverse_logit, lognormal_mean
-from understory.functions.nulls import safe_ln
+from understory.functions.nulls import gt0, match_join, n_distinct_na, safe_ln
 from understory.operators import (
     accuracy,
     collinear,
@@ -32,6 +33,7 @@ from understory.operators import (
     predict,
     prepare,
     rank,
+    sketch,
     spatial,
     transform,
     tree,
@@ -297,6 +299,33 @@ def loo_points(spark, sf_dir):
     return rounded(draws.loo_points(view(spark, sf_dir, "loglik")))
 
 
+# Sketches ------------------------------------------------------------------
+
+
+def richness_sketch(spark, sf_dir):
+    """Species per island and status from stored sketches of every plot area, beside the exact number and whether it is within four standard errors."""
+    rows, keys, path = plot_species(spark, sf_dir).where(gt0("Abundance_ha")), ["Island", "Native_Status"], scratch_path(spark, "sketches")
+    tables.write_table(sketch.distinct_sketches(rows, [*keys, "Plot_Area"], "SPP_CODE3A"), path)
+    near = sketch.merged_distinct(tables.read_table(spark, path), keys, "estimate")
+    exact = rows.groupBy(*keys).agg(n_distinct_na("SPP_CODE3A").alias("SppN"))
+    close = F.abs(F.col("estimate") - F.col("SppN")) <= F.greatest(F.lit(1.0), 4 * F.lit(sketch.DISTINCT_ERROR) * F.col("SppN"))
+    return match_join(exact, near, keys, "inner").select(*keys, "SppN", close.alias("within"))
+
+
+def quantile_sketch(spark, sf_dir):
+    """Bounds of a term from stored sketches of every chain: rows of the exact bounds whose ranks the sketched ones are within."""
+    long = draws.long_draws(wide(spark, sf_dir))
+    path, probs = scratch_path(spark, "sketches"), {"q2_5": 0.025, "q50": 0.5, "q97_5": 0.975}
+    tables.write_table(sketch.quantile_sketches(long, ["terms", "chain"], "value"), path)
+    near = sketch.merged_quantiles(tables.read_table(spark, path), ["terms"], probs)
+    exact = long.where("value is not null").join(F.broadcast(near), "terms")  # one row a term
+    share = lambda test: F.avg(test.cast("double"))
+    below, upto = ({q: share(f(F.col("value"), F.col(q))) for q in probs} for f in (operator.lt, operator.le))
+    off = F.lit(2 * sketch.RANK_ERROR)
+    close = [((below[q] - off <= p) & (upto[q] + off >= p)).alias(q) for q, p in probs.items()]
+    return exact.groupBy("terms").agg(F.count(F.lit(1)).alias("n"), *close)
+
+
 # Space and phylogeny -------------------------------------------------------
 
 
@@ -714,7 +743,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         flipped_and_logged, interaction_terms, corr_pairs, corr_tests, vif3, vif_full,
         draws_long, draws_spread, hdi_terms, interval_figure, select_terms, split_rhat,
         rhat_summary, six_number, term_summary, draw_corr, divergences, divergences_by_chain,
-        waic_points, loo_points, great_circle, neighbour_stats, autocovariate, tree_vcv,
+        waic_points, loo_points, richness_sketch, quantile_sketch, great_circle, neighbour_stats, autocovariate, tree_vcv,
         tree_log_det, tree_times, scaled_vcv, tree_effects, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
         binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,

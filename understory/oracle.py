@@ -449,6 +449,11 @@ def oracle_sql() -> dict[str, str]:
             "max(CASE WHEN SPP_CODE3A IS NULL THEN 1 ELSE 0 END) AS SppN "
             "FROM ps WHERE Abundance_ha > 0 GROUP BY 1, 2, 3"
         ),
+        "richness_sketch": (
+            f"WITH {PLOTS} SELECT Island, Native_Status, count(DISTINCT SPP_CODE3A) + "
+            "max(CASE WHEN SPP_CODE3A IS NULL THEN 1 ELSE 0 END) AS SppN, true AS within FROM ps WHERE Abundance_ha > 0 GROUP BY 1, 2"
+        ),
+        "quantile_sketch": f"WITH {LONG} SELECT terms, count(*) AS n, true AS q2_5, true AS q50, true AS q97_5 FROM lng GROUP BY terms",
         "richness_pivot": f"WITH {PLOTS}, {richness_sql('ps')} SELECT Island, PlotID, {RICH_OUT} FROM rich",
         "complete_cases": f"SELECT {raw_env} FROM ({env}) e WHERE newMAT IS NOT NULL",
         "qc_counts": (
