@@ -103,22 +103,28 @@ def complete(frame: DataFrame, formula: Formula, *more: str) -> DataFrame:
     return frame.where(reduce(lambda a, b: a & b, known))
 
 
-def check_support(frame: DataFrame, formula: Formula, family: str) -> None:
-    """Raises if a response has no density in the family."""
+def outside_support(formula: Formula, family: str) -> tuple[Column | None, str]:
+    """Whether a response has no density in the family (nothing if all have), and how to complain of it."""
     y = F.col(formula.response).cast("double")
     outside = {
         "lognormal": ~(y > 0), "bernoulli": ~y.isin(0.0, 1.0), "binomial": ~y.between(0.0, 1.0), "beta": ~((y > 0) & (y < 1)),
     }.get(family)
+    return outside, f"responses of {formula.response} are outside the support of {family}"
+
+
+def check_support(frame: DataFrame, formula: Formula, family: str) -> None:
+    """Raises if a response has no density in the family."""
+    outside, complaint = outside_support(formula, family)
     if outside is not None:
-        count = frame.where(y.isNotNull()).where(outside).count()
+        count = frame.where(outside).count()
         if count:
-            raise ValueError(f"{count} responses of {formula.response} are outside the support of {family}")
+            raise ValueError(f"{count} {complaint}")
 
 
 def fit(frame: DataFrame, formula: Formula, family: str, trials: str | None = None) -> Fit:
     """Fit the fixed terms of ``formula`` on a design frame.
 
-    Linear families need one aggregate. The others iterate over the frame, which
+    Linear families read the frame twice: for means and checks, and for cross-products. The others iterate over the frame, which
     is kept for the time of the fit. ``trials`` names a column of binomial
     denominators when the response is a share of successes.
     """
@@ -126,12 +132,13 @@ def fit(frame: DataFrame, formula: Formula, family: str, trials: str | None = No
         raise ValueError(f"unknown family {family!r}")
     terms = formula.terms
     frame = complete(frame, formula, *([trials] if trials else []))
-    check_support(frame, formula, family)
     y = fitted_response(formula, family)
     if family in LINEAR:
-        g = gram(frame, terms, y)
+        outside, complaint = outside_support(formula, family)
+        g = gram(frame, terms, y, forbidden=outside, complaint=complaint)
         coef, cov, scale = solve(g)
         return Fit(formula, family, coef, cov, scale, g.n)
+    check_support(frame, formula, family)
     columns = [F.col(f"`{t}`").cast("double").alias(f"x{i}") for i, t in enumerate(terms)]
     weight = F.lit(1.0) if trials is None else F.col(trials).cast("double")
     names = [f"x{i}" for i in range(len(terms))]
@@ -284,10 +291,10 @@ def kfold_points(
     missing value take no part.
     """
     frame = complete(frame, formula).withColumn("fold", fold)
-    check_support(frame, formula, family)
     response = F.col(formula.response).cast("double")
     if family in LINEAR:
-        grams = gram_by(frame, formula.terms, fitted_response(formula, family), group=F.col("fold"))
+        outside, complaint = outside_support(formula, family)
+        grams = gram_by(frame, formula.terms, fitted_response(formula, family), group=F.col("fold"), forbidden=outside, complaint=complaint)
         fits = {f: solve(reduce(Gram.__add__, [g for other, g in grams.items() if other != f])) for f in grams}
         parameters = {f: [*coef, scale] for f, (coef, _, scale) in fits.items()}
     else:

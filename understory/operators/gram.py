@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +114,14 @@ def gram_by(
     weight: Column | None = None,
     group: Column | None = None,
     centre_response: bool = True,
+    forbidden: Column | None = None,
+    complaint: str = "rows are not allowed",
 ) -> dict[int, Gram]:
     """Cross-products per value of a small integer column, such as a fold number.
 
     Rows with a missing value take no part. Products are always taken about the means,
     which one pass before finds: about zero, a column far from it would lose its digits.
+    The same pass counts ``forbidden`` rows, which are an error.
     """
     p = len(columns) + 1
     names = [f"x{i}" for i in range(p - 1)]
@@ -126,8 +130,13 @@ def gram_by(
         (F.lit(0.0) if response is None else nan_to_null(response)).alias("y"),
         (F.lit(1.0) if weight is None else nan_to_null(weight)).alias("w"),
         (F.lit(0) if group is None else group.cast("int")).alias("grp"),
-    ).na.drop()
-    centre = data.agg(*[F.avg(n).alias(n) for n in [*names, "y"]]).first()
+        (F.lit(False) if forbidden is None else forbidden).alias("bad"),
+    )
+    whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in [*names, "y", "w", "grp"]])
+    centre = data.agg(*[F.avg(F.when(whole, F.col(n))).alias(n) for n in [*names, "y"]], F.count_if(F.coalesce("bad", F.lit(False))).alias("bad")).first()
+    if centre["bad"]:
+        raise ValueError(f"{centre['bad']} {complaint}")
+    data = data.where(whole).drop("bad")
     shift = np.array([0.0, *[centre[n] or 0.0 for n in names]])
     y_shift = (centre["y"] or 0.0) if centre_response else 0.0
     about = np.append(shift[1:], y_shift)
@@ -156,9 +165,11 @@ def gram(
     response: Column | None = None,
     weight: Column | None = None,
     centre_response: bool = True,
+    forbidden: Column | None = None,
+    complaint: str = "rows are not allowed",
 ) -> Gram:
     """Cross-products over the whole table; only (p+1)^2 sums reach the driver."""
-    found = gram_by(df, columns, response, weight, centre_response=centre_response)
+    found = gram_by(df, columns, response, weight, centre_response=centre_response, forbidden=forbidden, complaint=complaint)
     if not found:
         raise ValueError("no complete rows")
     return found[0]
