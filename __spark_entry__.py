@@ -348,6 +348,14 @@ def autocovariate(spark, sf_dir):
     return rounded(table.select("row_id", "rac"))
 
 
+def autocovariate_columns(spark, sf_dir):
+    """Autocovariates of three columns in one pass over neighbour weights that are written once."""
+    rows = view(spark, sf_dir, "obs").select("row_id", "Long_Dec", "Lat_Dec", "y", "x1", "x2")
+    weights = spatial.neighbour_weights(rows, scratch_path(spark, "weights"), radius_km=RADIUS_KM)
+    names = ["rac_y", "rac_x1", "rac_x2"]
+    return rounded(spatial.autocovariates(rows, weights, ["y", "x1", "x2"], names).select("row_id", *names))
+
+
 def edges(spark, sf_dir):
     return view(spark, sf_dir, "tree_edges")
 
@@ -743,7 +751,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         flipped_and_logged, interaction_terms, corr_pairs, corr_tests, vif3, vif_full,
         draws_long, draws_spread, hdi_terms, interval_figure, select_terms, split_rhat,
         rhat_summary, six_number, term_summary, draw_corr, divergences, divergences_by_chain,
-        waic_points, loo_points, richness_sketch, quantile_sketch, great_circle, neighbour_stats, autocovariate, tree_vcv,
+        waic_points, loo_points, richness_sketch, quantile_sketch, great_circle, neighbour_stats, autocovariate, autocovariate_columns, tree_vcv,
         tree_log_det, tree_times, scaled_vcv, tree_effects, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
         binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,

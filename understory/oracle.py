@@ -202,6 +202,13 @@ near AS (SELECT lon, lat, sum(plots) AS neighbours, min(d) AS nearest_km,
                 sum(total / d) / sum(plots / d) AS rac
          FROM pairs WHERE d <= {RADIUS_KM} AND d > 0 GROUP BY 1, 2)"""
 
+NEAR_COLUMNS = f"""
+{OBS}, pos AS (SELECT Long_Dec AS lon, Lat_Dec AS lat, count(*) AS plots, sum(y) AS y, sum(x1) AS x1, sum(x2) AS x2 FROM obs GROUP BY 1, 2),
+pairs AS (SELECT a.lon, a.lat, b.plots, b.y, b.x1, b.x2, {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d
+          FROM pos a, pos b WHERE abs(a.lat - b.lat) < 0.3 AND NOT (a.lon = b.lon AND a.lat = b.lat)),
+near AS (SELECT lon, lat, sum(y / d) / sum(plots / d) AS rac_y, sum(x1 / d) / sum(plots / d) AS rac_x1, sum(x2 / d) / sum(plots / d) AS rac_x2
+         FROM pairs WHERE d <= {RADIUS_KM} AND d > 0 GROUP BY 1, 2)"""
+
 PATHS = f"""
 RECURSIVE edges AS ({view_sql('tree_edges')}),
 tip AS (SELECT child AS tip FROM edges WHERE child NOT IN (SELECT parent FROM edges)),
@@ -554,6 +561,10 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {NEAR} SELECT row_id, {r('coalesce(rac, 0)', 'rac')} "
             "FROM obs LEFT JOIN near ON Long_Dec = lon AND Lat_Dec = lat"
         ),
+        "autocovariate_columns": (
+            f"WITH {NEAR_COLUMNS} SELECT row_id, {r('coalesce(rac_y, 0)', 'rac_y')}, {r('coalesce(rac_x1, 0)', 'rac_x1')}, "
+            f"{r('coalesce(rac_x2, 0)', 'rac_x2')} FROM obs LEFT JOIN near ON Long_Dec = lon AND Lat_Dec = lat"
+        ),
         "tree_vcv": f"WITH {PATHS} SELECT tip_i, tip_j, {r('shared')} FROM cov",
         "tree_log_det": f"WITH {LOG_DET} SELECT {r('log_det')}, CAST(n_tips AS BIGINT) AS n_tips FROM ldet",
         "tree_effects": f"""
