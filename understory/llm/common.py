@@ -51,7 +51,7 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 #: Edges of a node beyond which it is a hub, and hubs at most, as a share of all edges.
-HUB_EDGES, HUB_SHARE = 10_000, 50_000
+HUB_EDGES, HUB_SHARE = 1_000, 50_000
 
 
 def components(edges: DataFrame) -> DataFrame:
