@@ -422,6 +422,13 @@ def fractional_logit(spark, sf_dir):
     return rounded(model.terms(spark).drop("pos").withColumn("precision", F.lit(model.scale)), 5)
 
 
+def beta_likelihood(spark, sf_dir):
+    """Terms and precision of a beta response by maximum likelihood, beside the precision by moments."""
+    frame, formula = obs(spark, sf_dir), Formula("y", ("urgent", "x1"))
+    found = fit.fit_beta(frame, formula)
+    return found.terms(spark).withColumns({"precision": F.lit(found.scale), "by_moments": F.lit(fit.fit(frame, formula, "beta").scale)})
+
+
 def binomial_trials(spark, sf_dir):
     """Share of alien species with the species count as trials."""
     shares = prepare.richness_shares(plot_species(spark, sf_dir)).where("SppN_both > 0")
@@ -753,7 +760,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         rhat_summary, six_number, term_summary, draw_corr, divergences, divergences_by_chain,
         waic_points, loo_points, richness_sketch, quantile_sketch, great_circle, neighbour_stats, autocovariate, autocovariate_columns, tree_vcv,
         tree_log_det, tree_times, scaled_vcv, tree_effects, ols_lognormal, ols_gaussian, glm_logit, fractional_logit,
-        binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
+        beta_likelihood, binomial_trials, zoib_mass, zoib_interior, fit_roundtrip, first_terms, approx_draws,
         kfold_points, elpd_compare, family_compare, beta_density, inverse_links,
         shrunk_intercepts, crossed_intercepts, mixed_line, mixed_levels, vif_grouped, kfold_levels, mixed_crossed, mixed_presence,
         predict_rows, crossed_predictions, residual_summary, residual_mean,

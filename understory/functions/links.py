@@ -42,6 +42,22 @@ def log_gamma_array(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
+def digamma_array(x: np.ndarray) -> np.ndarray:
+    """Derivative of ln(gamma(x)) for x > 0: the asymptotic series after a shift by ten."""
+    z = x + 10.0
+    z2 = z * z
+    series = (1 / 12 - (1 / 120 - (1 / 252 - (1 / 240 - 1 / 132 / z2) / z2) / z2) / z2) / z2
+    return np.log(z) - 0.5 / z - series - sum(1.0 / (x + k) for k in range(10))
+
+
+def trigamma_array(x: np.ndarray) -> np.ndarray:
+    """Second derivative of ln(gamma(x)) for x > 0."""
+    z = x + 10.0
+    z2 = z * z
+    series = (1 / 6 - (1 / 30 - (1 / 42 - (1 / 30 - 5 / 66 / z2) / z2) / z2) / z2) / (z2 * z)
+    return 1.0 / z + 0.5 / z2 + series + sum(1.0 / (x + k) ** 2 for k in range(10))
+
+
 def normal_log_density(y: Column, mean: Column, sd: Column) -> Column:
     return (
         F.lit(-0.5 * math.log(2 * math.pi)) - F.ln(sd) - F.pow((y - mean) / sd, F.lit(2.0)) / 2
