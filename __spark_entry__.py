@@ -461,7 +461,11 @@ def fit_roundtrip(spark, sf_dir):
     )
     loaded = tables.load_fit(spark, path)
     rows = loaded["frame"].agg(F.count(F.lit(1))).scalar()
-    return rounded(loaded["terms"].drop("pos")).withColumn("frame_rows", rows)
+    read = loaded["draws"]
+    # Every draw's value counts by its number, so that exchanged, lost or changed draws show.
+    kept = read.agg(F.count(F.lit(1)).alias("draws"), F.avg(F.col("b_Intercept") * F.col("draw")).alias("drawn_b0"), F.avg(F.col("b_x1") * F.col("draw")).alias("drawn_b1"))
+    terms = rounded(loaded["terms"].drop("pos")).withColumn("frame_rows", rows)
+    return terms.crossJoin(F.broadcast(rounded(kept, 4)))  # one row
 
 
 def first_terms(spark, sf_dir):

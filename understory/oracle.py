@@ -606,7 +606,8 @@ def oracle_sql() -> dict[str, str]:
             WITH {OBS} SELECT {r("avg(CASE WHEN y01 IN (0, 1) THEN 1.0 ELSE 0.0 END)", "zoi")},
             {r("avg(CASE WHEN y01 = 1 THEN 1.0 WHEN y01 = 0 THEN 0.0 END)", "coi")} FROM obs""",
         "fit_roundtrip": (
-            f"WITH {OBS}, {LINE}, t AS ({LINE_TERMS}) SELECT t.*, line.n AS frame_rows FROM t, line"
+            f"WITH {OBS}, {LINE}, {LINE_DRAWS}, t AS ({LINE_TERMS}), k AS (SELECT count(*) AS draws, {r('avg(d0 * draw)', 'drawn_b0', 4)}, "
+            f"{r('avg(d1 * draw)', 'drawn_b1', 4)} FROM dr) SELECT t.*, line.n AS frame_rows, k.* FROM t, line, k"
         ),
         "first_terms": "SELECT * FROM (VALUES "
         + ", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(first_25[:25]))
