@@ -136,49 +136,53 @@ def draw_correlations(wide: DataFrame, terms: list[str] | None = None) -> DataFr
     return corr_pairs(wide, terms or term_names(wide)).select("term_a", "term_b", "r")
 
 
-def waic_points(loglik: DataFrame) -> DataFrame:
-    """Pointwise predictive fit per row: lppd, effective size, elpd and waic.
+#: Log densities are summed within bands of this width, where no exponential is out of range.
+BAND = 64.0
+
+
+def _by_row(loglik: DataFrame, sign: int) -> DataFrame:
+    """``(row_id, n, lse, spread)``: number of log densities, ln of the sum of exp(sign * ll), sample variance; one scan.
 
-    The largest log density of a row is subtracted before the exponential, so
-    densities far below the smallest double do not vanish.
+    Partial sums per row and band are added up before and after the shuffle; the few bands of a row
+    are then put together about the highest one, so that neither large nor small densities are lost.
     """
-    by_row = loglik.groupBy("row_id").agg(
-        F.max("ll").alias("top"), F.var_samp("ll").alias("p_waic"), F.count("ll").alias("n")
+    x = F.col("ll") * sign
+    parts = loglik.where("ll is not null").select("row_id", "ll", F.floor(x / BAND).alias("band"), x.alias("x")).groupBy("row_id", "band").agg(
+        F.sum(F.exp(F.col("x") - F.col("band") * BAND)).alias("s"), F.count(F.lit(1)).alias("n"), F.avg("ll").alias("m"), F.var_pop("ll").alias("v")
     )
-    lppd = F.first("top") + F.ln(F.sum(F.exp(F.col("ll") - F.col("top"))) / F.first("n"))
-    return (
-        loglik.select("row_id", "ll")
-        .join(by_row, "row_id")
-        .groupBy("row_id")
-        .agg(lppd.alias("lppd"), F.first("p_waic").alias("p_waic"))
-        .withColumns(
-            {
-                "elpd": F.col("lppd") - F.col("p_waic"),
-                "waic": -2 * (F.col("lppd") - F.col("p_waic")),
-            }
-        )
+    rows = parts.groupBy("row_id").agg(
+        F.collect_list(F.struct("band", "s", "n", "m", "v")).alias("parts"), F.max("band").alias("top"), F.sum("n").alias("n"),
+        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
+    )
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda a, p: a + f(p))
+    squares = total(lambda p: p["n"] * (p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
+    return rows.select(
+        "row_id", "n", (F.col("top") * BAND + F.ln(total(lambda p: p["s"] * F.exp((p["band"] - F.col("top")) * BAND)))).alias("lse"),
+        F.when(F.col("n") > 1, squares / (F.col("n") - 1)).alias("spread"),
+    )
+
+
+def waic_points(loglik: DataFrame) -> DataFrame:
+    """Pointwise predictive fit per row: lppd, effective size, elpd and waic. One scan, no join."""
+    lppd, p_waic = F.col("lse") - F.ln("n"), F.col("spread")
+    return _by_row(loglik, 1).select(
+        "row_id", lppd.alias("lppd"), p_waic.alias("p_waic"), (lppd - p_waic).alias("elpd"), (-2 * (lppd - p_waic)).alias("waic")
     )
 
 
 def loo_points(loglik: DataFrame) -> DataFrame:
     """Pointwise leave-one-out log density by truncated importance weights.
 
-    The weight of a draw is 1/density, cut at sqrt(draws) times the mean weight.
+    The weight of a draw is 1/density, cut at sqrt(draws) times the mean weight. The
+    first scan finds the cut of every row; with it no term of the second exceeds one.
     """
-    by_row = loglik.groupBy("row_id").agg(
-        F.min("ll").alias("low"), F.max("ll").alias("top"), F.count("ll").alias("n")
-    )
-    raw = loglik.select("row_id", "ll").join(by_row, "row_id")
-    weight = F.exp(F.col("low") - F.col("ll"))
-    mean_weight = raw.groupBy("row_id").agg((F.sum(weight) / F.first("n")).alias("mean_weight"))
-    cut = F.least(weight, F.sqrt(F.col("n")) * F.col("mean_weight"))
-    kept = F.sum(F.col("w") * F.exp(F.col("ll") - F.col("top"))) / F.sum("w")
+    cuts = _by_row(loglik, -1).select("row_id", (F.col("lse") - 0.5 * F.ln("n")).alias("cut"))
+    over = F.least(F.lit(1.0), F.exp(F.col("ll") + F.col("cut")))
+    under = F.least(F.lit(1.0), F.exp(-F.col("ll") - F.col("cut")))
     return (
-        raw.join(mean_weight, "row_id")
-        .withColumn("w", cut)
-        .groupBy("row_id")
-        .agg((F.first("top") + F.ln(kept)).alias("elpd_loo"))
-    )
+        loglik.where("ll is not null").select("row_id", "ll").join(cuts, "row_id").groupBy("row_id")
+        .agg((F.ln(F.sum(over)) - F.max("cut") - F.ln(F.sum(under))).alias("elpd_loo"))
+    )
 
 
 def compare_elpd(a: DataFrame, b: DataFrame) -> DataFrame:
