@@ -1,10 +1,10 @@
 """Quality rules: rules on one document, and lines that too many documents of a host share.
 
 Lines are normalised (lower case, outer blanks off, inner blanks to one space) and
-hashed. A line's frequency at a host is the number of distinct documents with it, where
-documents with the same longest line are copies of one another and count once: neither
-exact nor near copies make each other's lines frequent. Lines above the limits are
-removed; a document that loses more than the allowed share of its words is rejected.
+hashed. A line's frequency at a host is the number of distinct documents with it. Documents
+with one text count once, and near copies, which mostly share their longest line, don't make
+each other's lines frequent: the number is the effective one, (sum c)^2 / sum c^2 over the c
+texts of each longest line. Lines above the limits are removed; a document that loses more than the allowed share of its words is rejected.
 Built-in functions only. Texts stay where they are as long as the documents with frequent
 lines, a few numbers each, measure under the broadcast limit; beyond it they are shuffled once.
 """
@@ -129,8 +129,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
-    """``_host``, ``_line`` above the limits. A line's documents are spread over tasks by document, so no line is too frequent."""
-    counted = rows.groupBy("_host", "_line", "_main").agg(F.lit(1).alias("one")).groupBy("_host", "_line").agg(F.count("*").alias("n"))
+    """``_host``, ``_line`` above the limits. A line's texts are spread over tasks by text, so no line is too frequent."""
+    texts = rows.groupBy("_host", "_line", "_main", "_t1", "_t2").agg(F.lit(1).alias("one")).groupBy("_host", "_line", "_main").agg(F.count("*").cast("double").alias("c"))
+    counted = texts.groupBy("_host", "_line").agg((F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("n"))
     hosts = rows.groupBy("_host", "_main").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("all"))
     above = counted.where(F.col("n") >= limits.line_texts).join(hosts, "_host")
     return above.where((F.col("n") > F.col("all") * F.lit(limits.line_share)) | (F.col("n") >= limits.line_many)).select("_host", "_line")

@@ -152,7 +152,10 @@ own AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln WHERE norm <> '
 main AS (SELECT doc_id, arg_max(norm, struct_pack(a := length(norm), b := norm)) AS main FROM ln WHERE norm <> '' GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT main) AS texts FROM d JOIN main USING (doc_id) GROUP BY host),
 often AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT main) AS n FROM ln JOIN main USING (doc_id) WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
+  SELECT host, norm FROM (
+    SELECT host, norm, sum(c) * sum(c) / sum(c * c) AS n FROM (
+      SELECT host, norm, main, count(DISTINCT text)::DOUBLE AS c FROM ln JOIN main USING (doc_id) WHERE norm <> '' GROUP BY host, norm, main)
+    GROUP BY host, norm) JOIN hosts USING (host)
   WHERE n >= 10 AND (n > texts * 0.10 OR n >= 20)),
 lost AS (SELECT doc_id, sum(length(norm) - length(replace(norm, ' ', '')) + 1)::BIGINT AS n FROM ln JOIN often USING (host, norm) GROUP BY doc_id),
 m AS (
