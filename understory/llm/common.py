@@ -51,7 +51,7 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 #: Edges of a node beyond which it is a hub, and hubs at most, as a share of all edges.
-HUB_EDGES, HUB_SHARE = 1_000, 50_000
+HUB_EDGES, HUB_SHARE = 10_000, 50_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,11 +83,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _with_low(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
-    """``edges`` with ``m`` of their ``u`` from ``low`` (``u``, ``m``, ``n``); those of hubs, with more than ``limit`` edges, aren't shuffled."""
-    hubs = small_side(low.where(F.col("n") > limit).select("u", "m"))
-    marked = edges.join(hubs, "u", "left")
-    rest = marked.where("m is null").select("u", "v").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
-    return marked.where("m is not null").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+    """``edges`` with ``m`` of their ``u`` from ``low`` (``u``, ``m``, ``n``); those of hubs, with more than ``limit`` edges, aren't shuffled.
+
+    There are at most twice ``HUB_SHARE`` hubs, as few as one in ``limit`` edges.
+    """
+    hubs = low.where(F.col("n") > limit).select("u", "m").toArrow()
+    if not hubs.num_rows:
+        return edges.join(low.select("u", "m"), "u").select("u", "v", "m")
+    known = F.broadcast(edges.sparkSession.createDataFrame(hubs))
+    rest = edges.join(known, "u", "left_anti").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
+    return edges.join(known, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
 
 
 def _print(edges: DataFrame) -> tuple:
