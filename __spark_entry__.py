@@ -369,9 +369,9 @@ def tree_log_det(spark, sf_dir):
 
 
 def tree_times(spark, sf_dir):
-    """Row sums of the tip covariance from its sparse factor."""
-    factor = tree.tip_factor(edges(spark, sf_dir))
-    return rounded(tree.times(factor, factor.select("tip").distinct().withColumn("x", F.lit(1.0))))
+    """Row sums of the tip covariance."""
+    branches = edges(spark, sf_dir)
+    return rounded(message.product(branches, tree.tips(branches).withColumn("x", F.lit(1.0))))
 
 
 def scaled_vcv(spark, sf_dir):

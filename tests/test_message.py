@@ -76,6 +76,19 @@ def test_a_comb_of_a_thousand_forks_takes_few_rounds(spark, monkeypatch):
     assert root["c"] == pytest.approx(p["c0"], rel=1e-9) and root["ld"] == pytest.approx(ld["c0"], rel=1e-9)
 
 
+@pytest.mark.parametrize("chain,small", [(False, 0), (True, 60)])
+def test_product_with_the_covariance(spark, chain, small, monkeypatch):
+    monkeypatch.setattr(message, "SMALL", small)
+    rng = np.random.default_rng(9)
+    edges = random_tree(84 if chain else 60, rng, chain)
+    ends, v = covariance(edges)
+    x = rng.normal(size=len(ends))
+    x[:3] = 0
+    vector = spark.createDataFrame([(t, float(a)) for t, a in list(zip(ends, x))[3:]], "tip string, x double")
+    got = {r["tip"]: r["y"] for r in message.product(spark.createDataFrame(edges, EDGE), vector).collect()}
+    assert sorted(got) == ends and [got[t] for t in ends] == pytest.approx(list(v @ x))
+
+
 def test_strange_labels_and_broken_trees(spark):
     edges = spark.createDataFrame([("r", "a", 1.0), ("r", "b", 2.0)], EDGE)
     sums = spark.createDataFrame([("zzz", 1.0, 1.0)], "tip string, n double, s double")

@@ -162,6 +162,39 @@ def log_determinant(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(float(root["ld"]), int(root["n"]))], "log_det double, n_tips long")
 
 
+def _climb(state: DataFrame, top: str, composed: dict[str, Column]) -> DataFrame:
+    """Rows (``node``, ``up``, ...) composed along the ways to the root ``top``. The reach doubles each round.
+
+    ``composed`` gives a column from a node's own and, with ``_`` behind its name, the one of the node it reaches; null at the root.
+    """
+    state = pin(state)
+    while not state.where(F.col("up") != F.lit(top)).isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), *[F.col(c).alias(f"{c}_") for c in composed])
+        both = state.join(above, "up", "left")
+        state = pin(both.select("node", F.coalesce("further", "up").alias("up"), *[v.alias(c) for c, v in composed.items()]))
+    return state
+
+
+def product(edges: DataFrame, vector: DataFrame) -> DataFrame:
+    """The tips' covariance times a vector (``tip``, ``x``), as ``(tip, y)`` for every tip.
+
+    Sums below each branch by contraction, then their products with the branch lengths added
+    up along the ways to the root: a row per node and round, and neither pairs of tips nor
+    pairs of a tip and a branch. Tips without an ``x`` count zero.
+    """
+    edges = pin(edges)
+    every, none = pin(rooted(edges)), F.lit(0.0)
+    given = vector.select(F.col("tip").alias("node"), F.col("x").cast("double").alias("x")).groupBy("node").agg(F.sum("x").alias("x"))
+    # Without precision or variance the weighted value is a plain sum.
+    filled = every.join(given, "node", "left").select(
+        "node", "parent", none.alias("v"), none.alias("c"), F.coalesce("x", none).alias("h"), none.alias("ld"), F.lit(0).cast("long").alias("n")
+    )
+    root, known, _ = contract(filled)
+    state = every.where("parent is not null").join(known, "node").select("node", F.col("parent").alias("up"), (F.col("v") * F.col("h")).alias("y"))
+    state = _climb(state, root["node"], {"y": F.col("y") + F.coalesce("y_", none)})
+    return state.join(tips(edges).withColumnRenamed("tip", "node"), "node", "left_semi").select(F.col("node").alias("tip"), "y")
+
+
 def tip_effects(sums: DataFrame, edges: DataFrame, within: float, between: float) -> DataFrame:
     """Effects of the tips under the tree's covariance: ``(tip, n, estimate, est_error)`` for every tip of the tree.
 
@@ -187,20 +220,14 @@ def tip_effects(sums: DataFrame, edges: DataFrame, within: float, between: float
     root, known, _ = contract(filled)
     grown = 1 + F.col("v") * F.col("p")
     # Value of a node given its parent's: a z + b, with variance w; composed up to the root, whose value is zero.
-    state = pin(
-        every.where("parent is not null").join(known, "node")
-        .select("node", F.col("parent").alias("up"), (1 / grown).alias("a"), (F.col("v") * F.col("h") / grown).alias("b"), (F.col("v") / grown).alias("w"))
+    state = every.where("parent is not null").join(known, "node").select(
+        "node", F.col("parent").alias("up"), (1 / grown).alias("a"), (F.col("v") * F.col("h") / grown).alias("b"), (F.col("v") / grown).alias("w")
+    )
+    above = {c: F.coalesce(f"{c}_", F.lit(1.0 if c == "a" else 0.0)) for c in "abw"}
+    state = _climb(
+        state, root["node"],
+        {"a": F.col("a") * above["a"], "b": F.col("b") + F.col("a") * above["b"], "w": F.col("w") + F.col("a") * F.col("a") * above["w"]},
     )
-    top = root["node"]
-    while not state.where(F.col("up") != F.lit(top)).isEmpty():
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
-        both = state.join(above, "up", "left")
-        state = pin(
-            both.select(
-                "node", F.coalesce("further", "up").alias("up"), (F.col("a") * F.coalesce("a2", F.lit(1.0))).alias("a"),
-                (F.col("b") + F.col("a") * F.coalesce("b2", none)).alias("b"), (F.col("w") + F.col("a") * F.col("a") * F.coalesce("w2", none)).alias("w"),
-            )
-        )
     found = state.join(ends.withColumnRenamed("tip", "node"), "node", "left_semi").join(own.select("node", F.col("w").alias("weight")), "node", "left")
     return found.select(F.col("node").alias("tip"), F.coalesce("weight", none).alias("n"), F.col("b").alias("estimate"), F.sqrt("w").alias("est_error"))
 
