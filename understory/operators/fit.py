@@ -126,7 +126,7 @@ def check_support(frame: DataFrame, formula: Formula, family: str) -> None:
 def fit(frame: DataFrame, formula: Formula, family: str, trials: str | None = None) -> Fit:
     """Fit the fixed terms of ``formula`` on a design frame.
 
-    Linear families read the frame twice: for means and checks, and for cross-products. The others iterate over the frame, which
+    Linear families read the frame once. The others iterate over the frame, which
     is kept for the time of the fit. ``trials`` names a column of binomial
     denominators when the response is a share of successes.
     """

@@ -107,6 +107,30 @@ class Gram:
         return turn @ (np.linalg.inv(products) / np.outer(size, size)) @ turn.T
 
 
+def _anchor(shift: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``shift`` with the columns that have none yet set to their mean here; a constant column's is its value."""
+    seen = ~np.isnan(table)
+    n = seen.sum(0)
+    low, high = np.where(seen, table, np.inf).min(0, initial=np.inf), np.where(seen, table, -np.inf).max(0, initial=-np.inf)
+    mean = np.where(seen, table, 0.0).sum(0) / np.maximum(n, 1)
+    return np.where(np.isnan(shift) & (n > 0), np.where(low == high, low, mean), shift)
+
+
+TASK_SCHEMA = "grp int, bad long, shift array<double>, sums array<double>"
+
+
+def _task_row(group: int, bad: int, shift: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    numbers = [pa.array([v], pa.list_(pa.float64())) for v in (shift, sums)]
+    return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([bad], pa.int64()), *numbers], ["grp", "bad", "shift", "sums"])
+
+
+def _task_rows(sums: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows of ``TASK_SCHEMA`` at the driver: one per task and group."""
+    table = sums.toArrow()
+    arrays = [[v.values.to_numpy() for v in table.column(c)] for c in ("shift", "sums")]
+    return list(zip(table.column("grp").to_pylist(), table.column("bad").to_pylist(), *arrays))
+
+
 def gram_by(
     df: DataFrame,
     columns: list[str],
@@ -117,11 +141,12 @@ def gram_by(
     forbidden: Column | None = None,
     complaint: str = "rows are not allowed",
 ) -> dict[int, Gram]:
-    """Cross-products per value of a small integer column, such as a fold number.
+    """Cross-products per value of a small integer column, such as a fold number, in one pass.
 
-    Rows with a missing value take no part. Products are always taken about the means,
-    which one pass before finds: about zero, a column far from it would lose its digits.
-    The same pass counts ``forbidden`` rows, which are an error.
+    Rows with a missing value take no part. Products are always taken about the means: about
+    zero, a column far from it would lose its digits. A task takes them about the means of its
+    first batch; the few sums of every task are then moved to the means of all rows. The
+    same pass counts ``forbidden`` rows, which are an error.
     """
     p = len(columns) + 1
     names = [f"x{i}" for i in range(p - 1)]
@@ -130,33 +155,58 @@ def gram_by(
         (F.lit(0.0) if response is None else nan_to_null(response)).alias("y"),
         (F.lit(1.0) if weight is None else nan_to_null(weight)).alias("w"),
         (F.lit(0) if group is None else group.cast("int")).alias("grp"),
-        (F.lit(False) if forbidden is None else forbidden).alias("bad"),
+        F.coalesce(F.lit(False) if forbidden is None else forbidden, F.lit(False)).alias("bad"),
     )
     whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in [*names, "y", "w", "grp"]])
-    centre = data.agg(*[F.avg(F.when(whole, F.col(n))).alias(n) for n in [*names, "y"]], F.count_if(F.coalesce("bad", F.lit(False))).alias("bad")).first()
-    if centre["bad"]:
-        raise ValueError(f"{centre['bad']} {complaint}")
-    data = data.where(whole).drop("bad")
-    shift = np.array([0.0, *[centre[n] or 0.0 for n in names]])
-    y_shift = (centre["y"] or 0.0) if centre_response else 0.0
-    about = np.append(shift[1:], y_shift)
-
-    def part(batch):
-        x = np.column_stack([np.ones(batch.num_rows), to_matrix(batch, [*names, "y"]) - about])
-        w = to_matrix(batch, ["w"])[:, 0]
-        groups = batch.column("grp").to_numpy(zero_copy_only=False)
-        for value in np.unique(groups):
-            rows = groups == value
-            z = x[rows]
-            cross = z.T @ (z * w[rows, None])
-            yield int(value), np.append(cross.ravel(), rows.sum())
-
-    vectors = collect_vectors(batch_sums(data, part), (p + 1) ** 2 + 1)
-    result = {}
-    for value, vector in vectors.items():
-        cross = vector[:-1].reshape(p + 1, p + 1)
-        result[value] = Gram(cross[:p, :p], cross[:p, p], float(cross[p, p]), int(round(vector[-1])), shift, y_shift)
-    return result
+    data = data.withColumn("whole", whole).where(F.col("whole") | F.col("bad"))
+
+    def run(batches):
+        shift, totals, bad = np.full(p, np.nan), {}, 0
+        for batch in batches:
+            bad += int(batch.column("bad").to_numpy(zero_copy_only=False).sum())
+            rows = batch.filter(batch.column("whole"))
+            if not rows.num_rows:
+                continue
+            table, w = to_matrix(rows, [*names, "y"]), to_matrix(rows, ["w"])[:, 0]
+            shift = _anchor(shift, table)
+            if not centre_response:
+                shift[-1] = 0.0
+            x = np.column_stack([np.ones(len(table)), table - shift])
+            groups = rows.column("grp").to_numpy(zero_copy_only=False)
+            for value in np.unique(groups):
+                own = groups == value
+                z = x[own]
+                sums = np.concatenate([(z.T @ (z * w[own, None])).ravel(), z.sum(0)])
+                totals[int(value)] = totals.get(int(value), 0.0) + sums
+        if bad:
+            yield _task_row(0, bad, np.zeros(0), np.zeros(0))
+        for value, sums in totals.items():
+            yield _task_row(value, 0, shift, sums)
+
+    parts = _task_rows(data.mapInArrow(run, TASK_SCHEMA))
+    bad = sum(b for _, b, _, _ in parts)
+    if bad:
+        raise ValueError(f"{bad} {complaint}")
+    if not parts:
+        return {}
+    first = parts[0][2]
+    # Plain sums of a part: its rows, then its columns about its shift.
+    plain = [sums[(p + 1) ** 2 :] for _, _, _, sums in parts]
+    moved = sum(s[1:] + s[0] * (shift - first) for (_, _, shift, _), s in zip(parts, plain))
+    about = first + moved / sum(s[0] for s in plain)
+    if not centre_response:
+        about[-1] = 0.0
+    totals: dict[int, tuple[np.ndarray, float]] = {}
+    for (value, _, shift, sums), s in zip(parts, plain):
+        turn = np.eye(p + 1)
+        turn[1:, 0] = shift - about
+        cross, rows = totals.get(value, (0.0, 0.0))
+        totals[value] = cross + turn @ sums[: (p + 1) ** 2].reshape(p + 1, p + 1) @ turn.T, rows + s[0]
+    shift = np.append(0.0, about[:-1])
+    return {
+        value: Gram(cross[:p, :p], cross[:p, p], float(cross[p, p]), int(round(rows)), shift, float(about[-1]))
+        for value, (cross, rows) in totals.items()
+    }
 
 
 def gram(
@@ -176,27 +226,42 @@ def gram(
 
 
 def pairwise_moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Correlation and row count of each column pair over the rows complete for it.
+    """Correlation and row count of each column pair over the rows complete for it, in one pass.
 
-    Products are taken about the means of the columns, which one pass before finds; a
-    correlation does not depend on the shift.
+    A task takes products about means of its own; its sums are then moved to those of all
+    rows. A correlation does not depend on the shift.
     """
     p = len(columns)
     names = [f"x{i}" for i in range(p)]
     clean = df.select(*[nan_to_null(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, names)])
 
-    centre = clean.agg(*[F.avg(n).alias(n) for n in names]).first()
-    shift = np.array([centre[n] or 0.0 for n in names])
-
-    def part(batch):
-        x = to_matrix(batch, names) - shift
-        seen = (~np.isnan(x)).astype(float)
-        x = np.where(seen > 0, x, 0.0)
-        parts = (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)
-        yield 0, np.concatenate([m.ravel() for m in parts])
-
-    vectors = collect_vectors(batch_sums(clean, part), 4 * p * p)
-    n, s, ss, cross = vectors.get(0, np.zeros(4 * p * p)).reshape(4, p, p)
+    def run(batches):
+        shift, totals = np.full(p, np.nan), 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = to_matrix(batch, names)
+            shift = _anchor(shift, x)
+            seen = (~np.isnan(x)).astype(float)
+            x = np.where(seen > 0, x - shift, 0.0)
+            totals = totals + np.concatenate([m.ravel() for m in (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)])
+        if np.ndim(totals):
+            yield _task_row(0, 0, np.nan_to_num(shift), totals)
+
+    parts = [(shift, sums.reshape(4, p, p)) for _, _, shift, sums in _task_rows(clean.mapInArrow(run, TASK_SCHEMA))]
+    n, s, ss, cross = np.zeros((4, p, p))
+    count = sum((np.diag(m[0]) for _, m in parts), np.zeros(p))
+    # Of tasks that saw a column.
+    first = np.zeros(p)
+    for shift, m in reversed(parts):
+        first = np.where(np.diag(m[0]) > 0, shift, first)
+    moved = sum((np.diag(m[1]) + np.diag(m[0]) * (shift - first) for shift, m in parts), np.zeros(p))
+    about = first + moved / np.maximum(count, 1)
+    for shift, (own_n, own_s, own_ss, own_cross) in parts:
+        d = np.where(np.diag(own_n) > 0, shift - about, 0.0)[:, None]
+        n, s = n + own_n, s + own_s + d * own_n
+        ss = ss + own_ss + 2 * d * own_s + d * d * own_n
+        cross = cross + own_cross + d * own_s.T + d.T * own_s + d * d.T * own_n
     with np.errstate(divide="ignore", invalid="ignore"):
         covariance = cross - s * s.T / n
         spread = ss - s * s / n
