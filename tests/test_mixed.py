@@ -163,3 +163,21 @@ def test_inflation_without_levels_is_the_classical_one(spark, rows):
         assert value == pytest.approx(1 / (1 - r * r))
     grouped = dict(mixed.vif_rows(mixed.fit_mixed(frame, FORMULA, "gaussian").fixed))
     assert all(math.isfinite(v) and v >= 1 for v in grouped.values())
+
+
+def test_few_levels_beside_a_large_factor_need_no_iteration(spark, rows, monkeypatch):
+    """72 plots are too many for the driver here, 15 areas and islands aren't: the plots are taken out exactly."""
+    monkeypatch.setattr(mixed, "SMALL", 256)
+    taken = []
+    whole = mixed._eliminate
+    monkeypatch.setattr(mixed, "_eliminate", lambda *a: taken.append(a[2]) or whole(*a))
+    fitted = mixed.fit_mixed(table(spark, rows), FORMULA, "gaussian")
+    assert taken == [1]
+    within, between = fitted.fixed.scale**2, [fitted.group_sd[g] ** 2 for g in FORMULA.group_names]
+    coef, cov, effects = dense(rows, rows["y"], np.ones(900), within, between)
+    np.testing.assert_allclose(fitted.fixed.coef, coef, rtol=1e-9)
+    np.testing.assert_allclose(fitted.fixed.cov, cov, rtol=1e-7, atol=1e-12)
+    found = {(r["grp"], r["level"]): r["estimate"] for r in fitted.effects.collect()}
+    assert found.keys() == effects.keys()
+    for key, value in effects.items():
+        assert found[key] == pytest.approx(value, abs=1e-9)

@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from understory.functions.links import bernoulli_log_density, beta_log_density, inverse_logit, normal_log_density
 from understory.functions.nulls import match_join
@@ -38,6 +38,8 @@ TOLERANCE = 1e-9
 PATIENCE = 25
 #: Numbers of a level table and its links up to which the steps are taken at the driver, where a step needs no job.
 SMALL = 1 << 20
+#: Hashes that are tried as numbers of the levels.
+HASHES = 4
 #: Step of the linear predictor's coefficients, in standard errors, at which quasi-likelihood has settled.
 STEP = 1e-4
 
@@ -76,28 +78,34 @@ def cell_sums(frame: DataFrame, groups: list[str], columns: list[Column], weight
 
 
 def levels_of(cells: DataFrame, groups: list[str], width: int) -> Levels:
-    """Sums per level, and of weight per pair of levels, from the cells."""
+    """Sums per level, and of weight per pair of levels, from the cells.
+
+    A level's number is a hash of its factor and key, so pairs are numbered without a
+    join. That no two levels share one is checked; else another hash is taken.
+    """
     names = [f"t{k}" for k in range(width)]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.col(f"k{i}").alias("key")) for i in range(len(groups))]))
-    rows = pin(
-        cells.select(each.alias("at"), "d", *names).groupBy("at").agg(F.sum("d").alias("d"), *[F.sum(n).alias(n) for n in names])
-        .select("at.*", "d", *names).withColumn("id", F.monotonically_increasing_id())
-    )
-    if len(groups) == 1:
-        return Levels(rows, None, groups, width)
+    for seed in range(HASHES):
+        number = lambda i: F.xxhash64(F.lit(seed), F.lit(i), F.col(f"k{i}"))  # noqa: B023, E731
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.col(f"k{i}").alias("key"), number(i).alias("id")) for i in range(len(groups))]))
+        rows = pin(
+            cells.select(each.alias("at"), "d", *names).groupBy("at").agg(F.sum("d").alias("d"), *[F.sum(n).alias(n) for n in names])
+            .select("at.grp", "at.key", "d", *names, "at.id")
+        )
+        if len(groups) == 1:
+            return Levels(rows, None, groups, width)
+        if rows.groupBy("id").count().where("count > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"{HASHES} hashes of the levels collide")
     pairs = F.explode(
         F.array(
             *[
-                F.struct(F.lit(i).alias("f"), F.col(f"k{i}").alias("a"), F.lit(j).alias("g"), F.col(f"k{j}").alias("b"))
+                F.struct(F.lit(i).alias("f"), number(i).alias("i"), F.lit(j).alias("g"), number(j).alias("j"))
                 for i in range(len(groups)) for j in range(i)
             ]
         )
     )
-    met = cells.select(pairs.alias("p"), "d").groupBy("p").agg(F.sum("d").alias("n")).select("p.*", "n")
-    ids = rows.select("id", "grp", "key")
-    one = ids.select(F.col("id").alias("i"), F.col("grp").alias("f"), F.col("key").alias("a"))
-    other = ids.select(F.col("id").alias("j"), F.col("grp").alias("g"), F.col("key").alias("b"))
-    half = pin(met.join(one, ["f", "a"]).join(other, ["g", "b"]).select("i", "j", "n", "f", "g"))
+    half = pin(cells.select(pairs.alias("p"), "d").groupBy("p").agg(F.sum("d").alias("n")).select("p.i", "p.j", "n", "p.f", "p.g"))
     back = half.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", F.col("g").alias("f"), F.col("f").alias("g"))
     return Levels(rows, half.unionByName(back), groups, width)
 
@@ -145,7 +153,7 @@ def solve_levels(levels: Levels, ridge: np.ndarray, tolerance: float = TOLERANCE
 
     Conjugate gradients with one reduction a step. Each step costs one product and one
     row of numbers at the driver. Levels and links that measure under ``SMALL`` take the
-    same steps there. Raises if ``PATIENCE`` steps bring no progress.
+    same steps there. If all factors but the largest have few levels, it is taken out exactly. Raises if ``PATIENCE`` steps bring no progress.
     """
     m = levels.width
     ridges = F.element_at(F.array(*[F.lit(float(v)) for v in ridge]), F.col("grp") + 1)
@@ -154,6 +162,10 @@ def solve_levels(levels: Levels, ridge: np.ndarray, tolerance: float = TOLERANCE
         return rows.select("*", *[(F.col(f"t{k}") / F.col("d")).alias(f"x{k}") for k in range(m)]), 0.0
     if rows.count() * (m + 2) + levels.links.count() * 3 <= SMALL:
         return _solve_small(rows, levels.links, m, tolerance)
+    sizes = {r["grp"]: r["count"] for r in rows.groupBy("grp").count().collect()}  # one row a factor
+    largest = max(sizes, key=lambda f: (sizes[f], f))
+    if (sum(sizes.values()) - sizes[largest]) ** 2 <= SMALL:
+        return _eliminate(rows, levels.links, largest, m, tolerance)
 
     links = levels.links.select("i", "j", "n")
 
@@ -243,6 +255,77 @@ def _solve_small(rows: DataFrame, links: DataFrame, m: int, tolerance: float) ->
     return rows.sparkSession.createDataFrame(table), left
 
 
+def _eliminate(rows: DataFrame, links: DataFrame, largest: int, m: int, tolerance: float) -> tuple[DataFrame, float]:
+    """``solve_levels`` without iteration where the factors but ``largest`` have few levels together.
+
+    Levels of one factor don't meet each other, so each level of ``largest`` depends on the few others only. Tasks
+    add up what it takes from their equations, these are solved at the driver, and every level of ``largest`` follows.
+    """
+    spark = rows.sparkSession
+    few = rows.where(F.col("grp") != largest).toArrow()  # at most sqrt(SMALL) levels
+    ids = few.column("id").to_numpy()
+    order = np.argsort(ids)
+    k, d = len(ids), few.column("d").to_numpy()
+    t = np.column_stack([few.column(f"t{c}").to_numpy() for c in range(m)])
+    met = links.where((F.col("f") != largest) & (F.col("g") != largest)).select("i", "j", "n").toArrow()  # at most SMALL pairs
+    place = lambda numbers: order[np.searchsorted(ids, numbers, sorter=order)]
+    system = np.diag(d)
+    system[place(met.column("i").to_numpy()), place(met.column("j").to_numpy())] += met.column("n").to_numpy()
+    names = [f"t{c}" for c in range(m)]
+    own = links.where(F.col("f") == largest).groupBy(F.col("i").alias("id")).agg(F.collect_list("j").alias("j"), F.collect_list("n").alias("n"))
+    many = pin(rows.where(F.col("grp") == largest).join(own, "id"))
+
+    def met_rows(batch):
+        """Chunks of a batch: their slice and their weights with the few levels, as a matrix."""
+        j, n = batch.column("j"), batch.column("n")
+        bounds = j.offsets.to_numpy()
+        at, weight = place(j.values.to_numpy()), n.values.to_numpy()
+        starts = n.offsets.to_numpy()
+        step = max(1, SMALL // k)
+        for lo in range(0, batch.num_rows, step):
+            hi = min(lo + step, batch.num_rows)
+            matrix = np.zeros((hi - lo, k))
+            which = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+            matrix[which, at[bounds[lo] : bounds[hi]]] = weight[starts[lo] : starts[hi]]
+            yield slice(lo, hi), matrix
+
+    def part(batch):
+        table = to_matrix(batch, ["d", *names])
+        for span, matrix in met_rows(batch):
+            taken = matrix / table[span, :1]
+            yield 0, np.concatenate([(matrix.T @ taken).ravel(), (taken.T @ table[span, 1:]).ravel()])
+
+    sums = collect_vectors(batch_sums(many, part), k * (k + m))[0]
+    left_system, right = system - sums[: k * k].reshape(k, k), t - sums[k * k :].reshape(k, m)
+    size = np.sqrt(d)
+    scaled = (left_system + left_system.T) / 2 / np.outer(size, size)
+    x = np.linalg.solve(scaled, right / size[:, None]) / size[:, None]
+    # What is left of the few equations; the others hold by construction.
+    first = (t * t / d[:, None]).sum(0)
+    off = right - left_system @ x
+    left = float(np.sqrt(np.max((off * off / d[:, None]).sum(0) / np.where(first > 0, first, 1.0))))
+    if not math.isfinite(left):
+        raise ArithmeticError("the mixed-model equations have no finite solution")
+    if left > tolerance:
+        raise RuntimeError(f"the mixed-model equations stay {left:.3g} from solved")
+    shared = spark.sparkContext.broadcast(x)
+    kept = ["grp", "key", "d", *names, "id"]
+
+    def back(batches):
+        for batch in batches:
+            table = to_matrix(batch, ["d", *names])
+            out = np.empty((batch.num_rows, m))
+            for span, matrix in met_rows(batch):
+                out[span] = (table[span, 1:] - matrix @ shared.value) / table[span, :1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c) for c in out.T]], [*kept, *[f"x{c}" for c in range(m)]])
+
+    schema = T.StructType([*[many.schema[c] for c in kept], *[T.StructField(f"x{c}", T.DoubleType()) for c in range(m)]])
+    table = few.select(kept)
+    for c in range(m):
+        table = table.append_column(f"x{c}", pa.array(x[:, c]))
+    return many.mapInArrow(back, schema).unionByName(spark.createDataFrame(table)), left
+
+
 @dataclass(frozen=True)
 class Solution:
     """Solved equations: coefficients with covariance, level effects, variances."""
