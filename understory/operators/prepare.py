@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from understory.functions.nulls import gt0, match_join, n_distinct_na, null_to_zero, share, sum_na
+from understory.session import scratch_path
 from understory.sources.schema import ENV_NAMES
 
 STATUSES = ["alien", "native"]
@@ -214,8 +215,13 @@ def alien_native(plots: DataFrame, env_raw: DataFrame) -> DataFrame:
 
 
 def alien_native_stepwise(plots: DataFrame, env_raw: DataFrame) -> DataFrame:
-    """The same table from the separate operators, one join per step."""
-    kept = keep_native_plots(plots)
+    """The same table from the separate operators, one join per step.
+
+    The selected rows are written once, since three steps read them and each would make the survey rows anew.
+    """
+    path = scratch_path(plots.sparkSession, "kept")
+    keep_native_plots(plots).write.parquet(path)
+    kept = plots.sparkSession.read.parquet(path)
     joined = match_join(
         abundance_shares(kept), richness_shares(kept), ["Island", "PlotID"], "left"
     )
