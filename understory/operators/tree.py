@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from understory.session import pin
 
 MAX_DOUBLINGS = 20
+#: Tips of a block, tips of a branch up to which it shares blocks, and pairs of tips that are worth a task.
+BLOCK_TIPS, SHARED_TIPS, TASK_PAIRS = 1024, 32, 1 << 22
 
 
 def root_paths(edges: DataFrame) -> DataFrame:
@@ -75,12 +77,43 @@ def times(factor: DataFrame, vector: DataFrame) -> DataFrame:
     return factor.join(below, "branch").groupBy("tip").agg(F.sum(F.col("length") * F.col("x")).alias("y"))
 
 
+def _pairs(sides: DataFrame) -> DataFrame:
+    """``(tip_i, tip_j, shared)`` of tips below different branches of a fork. ``sides`` has ``fork``, ``shared``, ``branch``, ``tip``.
+
+    Tips below a fork are cut into blocks, and pairs of blocks are dealt over tasks by the rows they
+    make, so neither a fork nor a branch is one task. A branch has blocks of its own; small ones
+    share blocks, where pairs of one branch are skipped.
+    """
+    sized = sides.join(sides.groupBy("fork", "branch").agg(F.count(F.lit(1)).alias("n")), ["fork", "branch"])
+    # A node's name, after a sign that tells it from the blocks that small branches share.
+    sized = sized.withColumn("of", F.when(F.col("n") > SHARED_TIPS, F.concat(F.lit("="), "branch")).otherwise(F.lit("")))
+    number = sized.groupBy("fork", "of").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TIPS)).alias("blocks"))
+    blocks = pin(
+        sized.join(number, ["fork", "of"])
+        .groupBy("fork", "shared", "of", F.pmod(F.xxhash64("tip"), "blocks").alias("part"))
+        .agg(F.collect_list(F.struct("branch", "tip")).alias("tips"))
+    )
+    side = lambda s: blocks.select("fork", F.col("of").alias(f"of_{s}"), F.col("part").alias(f"part_{s}"), F.col("tips").alias(f"tips_{s}"))
+    light = lambda s: blocks.select("fork", F.col("of").alias(f"of_{s}"), F.size("tips").cast("long").alias(f"n_{s}"))
+    apart = (F.col("of_i") != F.col("of_j")) | (F.col("of_i") == "")
+    rows = light("i").join(light("j"), "fork").where(apart).agg(F.sum(F.col("n_i") * F.col("n_j"))).scalar()
+    rows = sides.sparkSession.range(1).select(rows.alias("n")).first()["n"] or 0  # one number
+    slots = sides.sparkSession.sparkContext.defaultParallelism
+    tasks = slots * max(1, -(-rows // (slots * TASK_PAIRS)))
+    met = side("i").join(side("j"), "fork").where(apart).join(blocks.select("fork", "shared").distinct(), "fork")
+    dealt = met.repartition(int(tasks), "fork", "of_i", "part_i", "of_j", "part_j")
+    one = dealt.select("shared", F.explode("tips_i").alias("i"), "tips_j")
+    return one.select("shared", "i", F.explode("tips_j").alias("j")).where("i.branch <> j.branch").select(
+        F.col("i.tip").alias("tip_i"), F.col("j.tip").alias("tip_j"), "shared"
+    )
+
+
 def vcv(edges: DataFrame) -> DataFrame:
     """Shared branch length of tip pairs as sparse triplets ``(tip_i, tip_j, shared)``.
 
     A pair that meets only at the root shares nothing and has no row. Each pair
     is produced once, at the node where its lineages part, from the two child
-    branches it lies on; no pair is built and then summed or thrown away.
+    branches it lies on; no pair is built and then summed.
     """
     edges = pin(edges)
     paths = root_paths(edges)
@@ -92,16 +125,8 @@ def vcv(edges: DataFrame) -> DataFrame:
         .unionByName(leaves.select(F.col("tip").alias("branch"), "tip"))
     )
     inner = depths.where("depth > 0").select(F.col("node").alias("fork"), F.col("depth").alias("shared"))
-    left = edges.select(F.col("parent").alias("fork"), F.col("child").alias("branch_i"))
-    right = edges.select(F.col("parent").alias("fork"), F.col("child").alias("branch_j"))
-    parting = (
-        left.join(inner, "fork").join(right, "fork").where("branch_i <> branch_j")
-    )
-    pairs = (
-        parting.join(below.withColumnsRenamed({"branch": "branch_i", "tip": "tip_i"}), "branch_i")
-        .join(below.withColumnsRenamed({"branch": "branch_j", "tip": "tip_j"}), "branch_j")
-        .select("tip_i", "tip_j", "shared")
-    )
+    sides = edges.select(F.col("parent").alias("fork"), F.col("child").alias("branch")).join(inner, "fork").join(below, "branch")
+    pairs = _pairs(sides)
     own = depths.join(leaves, depths["node"] == leaves["tip"]).select(
         F.col("tip").alias("tip_i"), F.col("tip").alias("tip_j"), F.col("depth").alias("shared")
     )
