@@ -219,18 +219,39 @@ def _across(table: pa.Table) -> np.ndarray:
     return own[:, None] != own[None, :]
 
 
+def _own(table: pa.Table) -> np.ndarray:
+    """Which pairs of members are of one block."""
+    own = table.column("_in").to_numpy()
+    return (own[:, None] == own[None, :]) & ~np.eye(len(own), dtype=bool)
+
+
+def _roots(near: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which members to link to which, so that all pairs of blocks together connect what ``near`` does.
+
+    Within a block every member is linked to the first of its part. Two blocks link those firsts
+    only, so a large group has about one link a member and a few for each pair of blocks. Members are
+    in the order of their digests, so all tasks take the same firsts.
+    """
+    firsts, label = _labels(near & _own(table)), _labels(near)
+    at = np.arange(len(near))
+    if table.column("_bi")[0].as_py() == table.column("_bj")[0].as_py():
+        return at[firsts != at], firsts[firsts != at]
+    moved = (firsts == at) & (label != at)
+    return at[moved], label[moved]
+
+
 def candidates(members: DataFrame, found: DataFrame, least: float) -> DataFrame:
     """``a``, ``b``: for each bucket, links that keep members connected whose sketches agree at ``least`` of the positions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["_path", "_bi", "_bj"]):
+            t = t.sort_by("_set")
             names = t.column("_set").to_pylist()
             marks = np.frombuffer(b"".join(t.column("_sketch").to_pylist()), "<u4").reshape(len(names), POSITIONS)
             same = np.stack([(marks == m).sum(1, dtype=np.int16) for m in marks])
-            label = _labels((same >= least * POSITIONS) & _across(t))
-            at = np.flatnonzero(label != np.arange(len(label)))
+            at, first = _roots((same >= least * POSITIONS) & ~np.eye(len(names), dtype=bool), t)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([names[i] for i in label[at]], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([names[i] for i in first], pa.binary())], ["a", "b"])
 
     rows = found.join(members.select("_set", "_sketch"), "_set").select("_path", "_set", "_size", "_sketch")
     dealt = blocked(rows, "_path", "_set", F.greatest(F.lit(1), F.ceil(F.col("_size") / SMALL)))
@@ -260,7 +281,7 @@ def verified(docs: DataFrame, members: DataFrame, groups: DataFrame, threshold:
     """``_set``, ``_low``, ``_links`` by exact comparison within the groups (``node``, ``root``) of candidates.
 
     A row is one member in one pair of blocks: the number of documents it is linked to
-    there, and the first member of its connected part.
+    there, and the member it is linked to as ``_roots`` says, if any.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,17 +289,21 @@ def verified(docs: DataFrame, members: DataFrame, groups: DataFrame, threshold:
             names = t.column("_set").to_pylist()
             # Repeated rows of one document give a member more than once.
             first = list({n: i for i, n in reversed(list(enumerate(names)))}.values())
-            t = t.take(pa.array(sorted(first)))
+            t = t.take(pa.array(sorted(first, key=names.__getitem__)))
             names, weight = t.column("_set").to_pylist(), t.column("_copies").to_numpy().astype(float)
             sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in t.column("_shingles")]
             both = overlaps(sets)
             size = np.array([len(s) for s in sets], float)
-            near = (both / (size[:, None] + size[None, :] - both) >= threshold) & _across(t)
-            at = np.flatnonzero(near.any(1))
-            if len(at):
-                label, links = _labels(near), near @ weight
+            near = (both / (size[:, None] + size[None, :] - both) >= threshold) & ~np.eye(len(names), dtype=bool)
+            low: list[bytes | None] = [None] * len(names)
+            for i, first in zip(*_roots(near, t)):
+                low[i] = names[first]
+            near &= _across(t)
+            at = [i for i in range(len(names)) if low[i] is not None or near[i].any()]
+            if at:
+                links = near @ weight
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in at], pa.binary()), pa.array([names[i] for i in label[at]], pa.binary()), pa.array(links[at].astype(np.int64))],
+                    [pa.array([names[i] for i in at], pa.binary()), pa.array([low[i] for i in at], pa.binary()), pa.array(links[at].astype(np.int64))],
                     ["_set", "_low", "_links"],
                 )
 
@@ -335,7 +360,7 @@ def _classed(docs: DataFrame, threshold: float, recall: float, doc_id: str, text
     found = buckets(members, threshold, runs_needed(threshold, recall))
     groups = pin(components(candidates(members, found, floor_needed(threshold, recall) / POSITIONS)))
     links = pin(verified(docs, members, groups, threshold, doc_id, text))
-    classes = components(links.select(F.col("_set").alias("a"), F.col("_low").alias("b")))
+    classes = components(links.where("_low is not null").select(F.col("_set").alias("a"), F.col("_low").alias("b")))
     counts = links.groupBy("_set").agg(F.sum("_links").alias("_links"))
     known = members.select("_set", "_copies", "_least", "_first").join(classes.withColumnRenamed("node", "_set"), "_set", "left").join(counts, "_set", "left")
     known = known.withColumn("_class", F.coalesce("root", "_set"))
