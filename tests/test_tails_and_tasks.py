@@ -2,6 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as registry
 from understory.operators import predict
 
 
@@ -29,3 +32,36 @@ def test_bounds_of_rows_with_values_that_are_not_finite(odd, n):
             low, part = int(at), at - int(at)
             a, b = rows[:, low], rows[:, min(low + 1, n - 1)]
             np.testing.assert_array_equal(found[k], a + (b - a) * part)
+
+
+@pytest.mark.parametrize("family", ["beta", "binomial"])
+def test_rows_share_a_generator_and_have_their_own_numbers(monkeypatch, family):
+    eta, keys = np.random.default_rng(1).normal(size=(5, 300)), np.array([3, -(10**15), 2**62, -(2**62), 3])
+    trials, mu = np.array([1.0, 4.0, 9.0, 20.0, 1.0]), 1.0 / (1.0 + np.exp(-eta))
+    want = []
+    for i, key in enumerate(keys.tolist()):
+        rng = np.random.Generator(np.random.Philox(key=[1, key & predict.FULL]))
+        want.append(rng.beta(mu[i] * 6.0, (1.0 - mu[i]) * 6.0) if family == "beta" else rng.binomial(int(trials[i]), mu[i]) / trials[i])
+    made, plain = [], np.random.Philox
+    monkeypatch.setattr(np.random, "Philox", lambda **options: (made.append(1), plain(**options))[1])
+    found = predict.Response(family, 6.0).simulated(eta.copy(), keys, np.arange(300), 1, trials)
+    assert len(made) == 1
+    np.testing.assert_array_equal(found, np.array(want))
+
+
+def test_rows_of_crossed_predictions_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    area, plot, island, kind = F.col("id") % 4, F.col("id") % 24, F.col("id") % 3, F.col("id") % 5
+    x1, x2 = F.col("id") * 7919 % 600 / 600, F.col("id") * 104729 % 599 / 599
+    y = 0.02 + F.col("id") * 31 % 17 / 60 + area * 0.05 + island * 0.04 + kind * 0.03 + plot * 0.004 + x1 * 0.1 + x2 * 0.05
+    texts = [c.cast("string").alias(n) for c, n in ((area, "Plot_Area2"), (plot, "PlotID"), (island, "Island"), (kind, "species"))]
+    rows = spark.range(600).select(F.col("id").alias("row_id"), x1.alias("x1"), x2.alias("x2"), (F.col("id") * 13 % 7 / 7).alias("x3"), F.col("id").cast("double").alias("urgent"), y.alias("y"), *texts)
+    monkeypatch.setattr(registry, "obs", lambda *more: rows.mapInArrow(count, rows.schema))
+    assert registry.crossed_predictions(spark, "unused").count() == 600
+    assert made.value == 600

@@ -77,20 +77,29 @@ class Response:
             return np.exp(y, out=y) if self.family == "lognormal" else y
         if self.family == "bernoulli":
             return self.happened(eta, keys, draws, seed).astype(float)
-        mu = 1.0 / (1.0 + np.exp(-eta))
-        y = np.empty_like(mu)
-        # No closed form: a generator for every row, keyed by the row, over all draws in their order.
+        y = np.empty_like(eta)
+        mu, a, b = np.empty((3, eta.shape[1]))
+        source = np.random.Philox(key=[seed, 0])
+        rng, state = np.random.Generator(source), source.state
+        # No closed form: a generator for every row, keyed by the row, over all draws in their order. Its numbers stay in a core's cache.
         for i, key in enumerate(keys):
-            rng = np.random.Generator(np.random.Philox(key=[seed, int(key) & FULL]))
+            state["state"]["key"][:] = np.asarray([seed, int(key) & FULL]).astype(np.uint64)  # as ``Philox(key=...)`` reads it
+            source.state = state
+            np.negative(eta[i], out=mu)
+            np.exp(mu, out=mu)
+            mu += 1.0
+            np.reciprocal(mu, out=mu)
             if self.family == "binomial":
-                y[i] = rng.binomial(int(trials[i]), mu[i]) / trials[i]
+                np.divide(rng.binomial(int(trials[i]), mu), trials[i], out=y[i])
+                continue
+            np.multiply(mu, self.scale, out=a)
+            np.subtract(1.0, mu, out=b)
+            b *= self.scale
+            if a.min() > 0 and b.min() > 0:
+                y[i] = rng.beta(a, b)
             else:
-                a, b = mu[i] * self.scale, (1.0 - mu[i]) * self.scale
-                if a.min() > 0 and b.min() > 0:
-                    y[i] = rng.beta(a, b)
-                else:
-                    inner = (a > 0) & (b > 0)
-                    y[i] = np.where(inner, rng.beta(np.where(inner, a, 1.0), np.where(inner, b, 1.0)), mu[i])
+                inner = (a > 0) & (b > 0)
+                y[i] = np.where(inner, rng.beta(np.where(inner, a, 1.0), np.where(inner, b, 1.0)), mu)
         if self.zoi:
             edge = uniforms(keys, draws, 2, seed) < self.zoi
             y = np.where(edge, uniforms(keys, draws, 3, seed) < self.coi, y)
