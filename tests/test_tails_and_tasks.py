@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from understory.operators import predict
+from understory.operators.design import Formula
+from understory.operators.fit import Fit
 
 
 @pytest.mark.parametrize("spread", [0.2, 1.0, 3.0])
@@ -49,6 +51,18 @@ def test_rows_share_a_generator_and_have_their_own_numbers(monkeypatch, family):
     np.testing.assert_array_equal(found, np.array(want))
 
 
+def test_tasks_that_sort_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(predict, "TASK_ROWS", 20)
+    model = Fit(Formula("y", ("x1",), (), (("g",),)), "bernoulli", np.array([0.2, -0.5]), np.eye(2) * 0.01, 1.0, 100)
+    frame = spark.range(3000).select(F.col("id").alias("row_id"), F.lit(0.1).alias("x1"), (F.col("id") % 500).cast("string").alias("g"))
+    effects = spark.range(500).select(
+        F.lit("g").alias("grp"), F.col("id").cast("string").alias("level"), F.lit(0.1).alias("estimate"), F.lit(0.2).alias("est_error"), F.lit(0.3).alias("group_sd")
+    )
+    held = predict._rows(frame, model, effects, 8000, ["row_id"], {}, None, ["row_id"]).rdd.glom().map(len).collect()
+    assert sum(held) == 3000
+    assert len(held) >= 3000 / 20 and max(held) <= 3 * 20
+
+
 def test_rows_of_crossed_predictions_are_made_once(spark, monkeypatch):
     made = spark.sparkContext.accumulator(0)
 
