@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from understory.operators import predict
+from understory.operators import mixed, predict
 from understory.operators.design import Formula
 from understory.operators.fit import Fit
+from understory.plans import models, plot_share
 
 
 @pytest.mark.parametrize("spread", [0.2, 1.0, 3.0])
@@ -63,6 +64,34 @@ def test_tasks_that_sort_grow_in_number_with_the_rows(spark, monkeypatch):
     assert len(held) >= 3000 / 20 and max(held) <= 3 * 20
 
 
+def test_levels_of_a_step_are_broadcast(spark, monkeypatch):
+    plans, plain = [], mixed.solve_mixed
+
+    def watched(frame, *more, **options):
+        plans.append(frame._jdf.queryExecution().analyzed().toString())
+        return plain(frame, *more, **options)
+
+    monkeypatch.setattr(mixed, "solve_mixed", watched)
+    x1, g = (F.col("id") * 7919) % 600 / 600, F.col("id") % 6
+    rows = spark.range(600).select(x1.alias("x1"), g.cast("string").alias("g"), (0.02 + F.col("id") * 31 % 17 / 60 + g * 0.08 + x1 * 0.2).alias("y"))
+    mixed.fit_mixed(rows, Formula("y", ("x1",), (), (("g",),)), "beta")
+    assert len(plans) > 1
+    assert all("strategy=broadcast" in plan for plan in plans[1:])
+
+
+def test_share_rows_keep_what_the_models_use(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plot_share, "fit_share", lambda rows, *more: seen.append(rows.columns))
+    monkeypatch.setattr(plot_share, "fit_with_space", lambda rows, *more: seen.append(rows.columns))
+    names = ["PlotID", "row_id", "Long_Dec", "Lat_Dec", "Island", "Plot_Area", "AlienSppN_Prop", "AlienAbund_Prop", *models.CLIMATE]
+    wide = spark.range(3).select(*[F.col("id").cast("double").alias(c) for c in [*names, "MAPs", "Elev_m", "Native_SppN"]])
+    monkeypatch.setattr(plot_share, "prepare_plots", lambda *more: wide)
+    monkeypatch.setattr(plot_share, "model_rows", lambda table: table)
+    plot_share.run(wide, wide, "unused")
+    assert len(seen) == 3
+    assert all(set(columns) == set(names) - {"PlotID"} for columns in seen)
+
+
 def test_rows_of_crossed_predictions_are_made_once(spark, monkeypatch):
     made = spark.sparkContext.accumulator(0)
 
